@@ -147,18 +147,17 @@ def _copies(docs: DataFrame, weights: dict[str | None, float] | None, share: flo
     # equal ids and sizes are taken alike: the order is over distinct places
     spot = last.groupBy("key", "at").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     run = F.sum("words").over(Window.partitionBy("key").orderBy("at"))
-    # a document is taken while the middle of its words lies within the rest
-    chosen = spot.withColumn("end", F.col("before") + run).where(F.col("end") - F.col("words") / 2 <= F.col("rest"))
-    chosen = chosen.groupBy("key").agg(F.max("at").alias("last_at"))
+    # documents are taken as long as they fit; one more, of any place after them, fills the gap best
+    chosen = spot.withColumn("end", F.col("before") + run).where(F.col("end") <= F.col("rest"))
+    chosen = chosen.groupBy("key").agg(F.max("at").alias("last_at"), F.max("end").alias("filled"))
     # a row per pattern: metadata, as bounded as the plan itself
-    limits = cut(plan.join(ends, "key", "left").join(chosen, "key", "left"))
+    limits = cut(plan.join(ends, "key", "left").join(chosen, "key", "left").withColumn("gap", F.col("rest") - F.coalesce("filled", "before")))
+    taken = (F.col("range") < F.col("end_range")) | ((F.col("range") == F.col("end_range")) & F.coalesce(F.col("at") <= F.col("last_at"), F.lit(False)))
+    off = F.abs(F.col("size") - F.col("gap"))
+    closest = base.join(F.broadcast(limits), "key").where(~taken & (F.col("size") > 0) & (off < F.col("gap"))).groupBy("key").agg(F.min_by("at", F.struct(off, F.col("at"))).alias("one_at"))
+    limits = cut(limits.join(closest, "key", "left"))
     placed = every.select("_row", "_p.*").withColumn("size", F.col("at.n")).join(F.broadcast(limits), "key")
-    extra = (
-        F.when(F.col("rest") == 0, 0)
-        .when(F.col("end_range").isNull(), 1)
-        .when(F.col("range") != F.col("end_range"), (F.col("range") < F.col("end_range")).cast("int"))
-        .otherwise(F.coalesce((F.col("at") <= F.col("last_at")).cast("int"), F.lit(0)))
-    )
+    extra = F.when(F.col("rest") == 0, 0).when(F.col("end_range").isNull(), 1).otherwise((taken | F.coalesce(F.col("at") == F.col("one_at"), F.lit(False))).cast("int"))
     copies = F.least(F.col("whole") + extra, F.lit(most)).cast("int")
     return placed.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(copies))
 
