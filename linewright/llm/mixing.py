@@ -19,7 +19,7 @@ from linewright.llm.common import cut, fresh, unit_hash
 
 #: Hash ranges of a pattern whose words are summed before any document is ordered; only the
 #: documents of the range in which a quota ends are sorted.
-RANGES = 1 << 16
+RANGES = 1 << 12
 
 
 def quotas(sizes: dict[str | None, int], weights: dict[str | None, float], budget: float, most: float) -> dict[str | None, float]:
@@ -111,7 +111,7 @@ def _placed(docs: DataFrame, source: Column, many: bool, id_col: str, text_col:
     order = F.struct(unit_hash(F.col(id_col), seed).alias("h"), F.col(id_col).alias("d"), size.alias("n"))
     # a pattern's key is JSON text, for equality of arrays that hold nulls
     key = F.to_json(F.struct(F.transform(pattern, lambda s: F.coalesce(s, F.lit("\x00"))).alias("s")))
-    place = F.struct(order.alias("at"), pattern.alias("sources"), key.alias("key"), (F.shiftright(unit_hash(F.col(id_col), seed), 48).cast("int") + RANGES // 2).alias("range"))
+    place = F.struct(order.alias("at"), pattern.alias("sources"), key.alias("key"), (F.shiftright(unit_hash(F.col(id_col), seed), 52).cast("int") + RANGES // 2).alias("range"))
     return docs.select(F.struct(*docs.columns).alias("_row"), place.alias("_p"))
 
 
