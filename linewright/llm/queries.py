@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import mixing, packing, set_join, token_counts, url_filter, vectors
+from linewright.llm import language_id, mixing, packing, set_join, token_counts, url_filter, vectors
 from linewright.llm.common import table
 
 RULES: list[url_filter.Rule] = [
@@ -29,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_RANKS)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +53,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_dedup, op3_packing, op5_top_k, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
