@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import language_id, mixing, packing, set_join, token_counts, url_filter, vectors
+from linewright.llm import language_id, mixing, packing, quality, set_join, token_counts, toxicity, url_filter, vectors
 from linewright.llm.common import table
 
 RULES: list[url_filter.Rule] = [
@@ -21,6 +21,10 @@ RULES: list[url_filter.Rule] = [
 BYTE_BPE, BYTE_RANKS, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -37,6 +41,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
@@ -53,6 +61,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op6_toxicity, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
