@@ -16,9 +16,11 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linewright.llm.common import crc_mod, cut, fresh
 from linewright.llm.labelled import labelled_sample
+from linewright.llm.set_join import shingles
 
 #: Labelled examples of each class, at most; terms kept, at most, by the strength of their
 #: association with the label, and the least strength (log-likelihood ratio).
@@ -144,7 +146,15 @@ def _odds(share):
 def build_index(docs: DataFrame, labels: DataFrame, known: Column, label: str = "toxic", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Select terms and index at most `examples` labelled documents of each class."""
     sample, totals = labelled_sample(docs, labels, label, known, examples, 6, id_col, text_col)
-    sample = cut(sample)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(mark=[int(t.min() >> np.uint64(1)) if len(t) else -1 for t in map(shingles, batch["text"])])
+
+    # copies would vouch for the chance words they share: of examples with the same least
+    # shingle, as copies and near copies mostly have, the first stays
+    first = F.row_number().over(Window.partitionBy("label", "mark").orderBy("doc_id", "text"))
+    sample = cut(sample.mapInPandas(mark, "doc_id long, text string, label int, mark long").withColumn("_k", first).where("_k = 1").select("doc_id", "text", "label"))
     size = {0: 0, 1: 0} | {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
