@@ -181,14 +181,18 @@ class Postings:
         """The k best (places, scores) but the query's own; ties to the smaller id."""
         rows = self.exact if np.abs(query).max(initial=0) < self.limit else self.rows
         query = query.astype(rows.dtype)
-        bounds = np.maximum(query * self.highest, query * self.lowest).clip(0)
+        wide = query.astype(np.float64)
+        bounds = np.maximum(wide * self.highest, wide * self.lowest).clip(0)
         terms = np.argsort(-bounds, kind="stable")
-        left = np.append(np.cumsum(bounds[terms][::-1])[::-1], 0)  # left[j]: bound of terms[j:]
+        # left[j]: bound of terms[j:], and a little more than rounding can take from it
+        left = np.append(np.cumsum(bounds[terms][::-1])[::-1], 0) * (1 + 1e-12)
+        slack = 1e-12 * bounds.sum()
         # a first threshold: the best of those at the heads of the heaviest lists
         heads = np.unique(np.concatenate([self.tops[d] if query[d] > 0 else self.ends[d] for d in terms[:4]]))
         heads = heads[self.ids[heads] != own]
         scores = rows[heads] @ query
         least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+        least = float(least) - slack
         # rows in no essential list stay below the threshold: their score is at most left[cutoff]
         cutoff = int(np.searchsorted(-left, -least, side="right")) if np.isfinite(least) else len(terms)
         cutoff = min(cutoff, len(terms)) if least > 0 else len(terms)
@@ -227,7 +231,7 @@ def top_k(
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by
     `every`; a query's own id is no candidate. Ties go to the smaller id, so the result is
-    one of a kind if ids are; repeated ids give a row each. Vectors that are null or hold
+    one of a kind if ids are; repeated ids give a row each. Scores must fit a long. Vectors that are null or hold
     null or non-finite components take no part, and queries meet vectors of their own length
     only. Null ids are no queries. With fewer candidates than k all come back; an empty
     table gives no rows.
