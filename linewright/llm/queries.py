@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import language_id, mixing, packing, quality, set_join, token_counts, toxicity, url_filter, vectors
+from linewright.llm import language_id, mixing, oracle, packing, quality, set_join, token_counts, toxicity, url_filter, vectors
 from linewright.llm.common import table
 
 RULES: list[url_filter.Rule] = [
@@ -63,4 +63,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op6_toxicity, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": oracle.NEAR_VECTORS,
+    "op5_top_k": oracle.TOP_K,
+    "op8_set_join": oracle.NEAR_DOCUMENTS,
+    "op10_url_filter": oracle.url_verdicts(RULES),
+}
