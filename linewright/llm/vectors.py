@@ -16,7 +16,7 @@ from linewright.llm.components import forest, named_components
 from linewright.llm.hnsw import Graph
 
 #: Vectors of a shard, and queries that search it in one task. Both bound a task's memory.
-SHARD_ROWS, QUERY_ROWS = 250_000, 100_000
+SHARD_ROWS, QUERY_ROWS = 100_000, 100_000
 #: Least number of shards, so that a small table keeps several tasks busy.
 LEAST_SHARDS = 8
 
