@@ -25,9 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Reject documents of no language (null texts and texts without a letter); where `lang`
     is missing, the prediction fills it. Repeated rows are treated alike."""
     predict = language_id.predictor(docs, language_id.held_out_default())
-    judged = docs.withColumn("_p", predict(F.col("text")))
-    lang = F.coalesce("lang", "_p.lang_pred")
-    return judged.where(F.col("_p.lang_pred") != "und").select(*[lang.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    judged = docs.withColumn("__language", predict(F.col("text")))
+    lang = F.coalesce("lang", "__language.lang_pred")
+    return judged.where(F.col("__language.lang_pred") != "und").select(*[lang.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +41,14 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document of the least id stays. Rows of one id
     and text count as one document, of which one row stays."""
     groups = cut(set_join.similar_documents(docs).select("doc_id", "kept"))
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
-    repeated = cut(groups.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_id")))
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__gone_id")), "left_anti")
+    repeated = cut(groups.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__gone_id")))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept.doc_id.eqNullSafe(F.col("_id")), "left_anti")
-    return once.unionByName(kept.join(repeated, kept.doc_id.eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = kept.join(repeated, kept.doc_id.eqNullSafe(F.col("__gone_id")), "left_anti")
+    return once.unionByName(kept.join(repeated, kept.doc_id.eqNullSafe(F.col("__gone_id")), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
