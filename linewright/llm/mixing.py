@@ -15,11 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linewright.llm.common import cut, fresh, unit_hash
+from linewright.llm.common import cut, fresh
 
-#: Hash ranges of a pattern whose words are summed before any document is ordered; only the
-#: documents of the range in which a quota ends are sorted.
-RANGES = 1 << 12
 
 
 def quotas(sizes: dict[str | None, int], weights: dict[str | None, float], budget: float, most: float) -> dict[str | None, float]:
@@ -108,10 +105,12 @@ def cycled_weights(names: list[str | None], weights: tuple[float, ...] = (1, 2,
 def _placed(docs: DataFrame, source: Column, many: bool, id_col: str, text_col: str, seed: int) -> DataFrame:
     pattern = F.array_sort(F.array_distinct(F.coalesce(source, F.array()))) if many else F.array(source)
     size = words_of(F.col(text_col))
-    order = F.struct(unit_hash(F.col(id_col), seed).alias("h"), F.col(id_col).alias("d"), size.alias("n"))
+    # a seeded order that any engine can repeat
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    order = F.struct(mark.alias("h"), F.col(id_col).alias("d"), size.alias("n"))
     # a pattern's key is JSON text, for equality of arrays that hold nulls
     key = F.to_json(F.struct(F.transform(pattern, lambda s: F.coalesce(s, F.lit("\x00"))).alias("s")))
-    place = F.struct(order.alias("at"), pattern.alias("sources"), key.alias("key"), (F.shiftright(unit_hash(F.col(id_col), seed), 52).cast("int") + RANGES // 2).alias("range"))
+    place = F.struct(order.alias("at"), pattern.alias("sources"), key.alias("key"), F.conv(F.left(mark, F.lit(3)), 16, 10).cast("int").alias("range"))
     return docs.select(F.struct(*docs.columns).alias("_row"), place.alias("_p"))
 
 
@@ -133,7 +132,8 @@ def _copies(docs: DataFrame, weights: dict[str | None, float] | None, share: flo
     rows = [(p, *(divmod(want[p], sums[p]) if sums[p] else (1, 0)), sum(sizes[s] for s in sources[p]), float(sum(target[s] for s in sources[p]))) for p in patterns]
     plan = docs.sparkSession.createDataFrame(rows, "key string, whole long, rest long, source_size long, target double")
     based = base.join(F.broadcast(plan), "key")
-    # words before each range of a pattern, then before each document of the range in which the rest ends
+    # a pattern's order in 4,096 ranges by its first three hex digits: only the documents of the
+    # range in which a quota ends are sorted; words before each range, then before each document of the range in which the rest ends
     ranges = based.groupBy("key", "range").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = F.sum("words").over(Window.partitionBy("key").orderBy("range"))
     ends = (

@@ -26,6 +26,20 @@ NEAR_DOCUMENTS = rf"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents)
  n AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS first FROM e GROUP BY a), {ROOTS}
  SELECT c.id AS doc_id, least(c.id, coalesce(first, c.id)) AS class_id, coalesce(n_links, 0) AS n_links, root AS component_id, c.id = root AS kept FROM c LEFT JOIN n ON n.a = c.id"""
 
+MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('9:' || doc_id) AS h FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+ o AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * words / weight, source) AS k, sum(words) OVER () AS every FROM s),
+ x AS (SELECT *, (every - 3 * coalesce(sum(words) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS left_over, sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM o),
+ -- the first source, by how soon it is full, whose share at the level of all that follow isn't above three times its size
+ f AS (SELECT min(k) AS k FROM x WHERE left_over * weight / open_weight <= 3 * words),
+ t AS (SELECT x.*, CASE WHEN x.k < coalesce(f.k, 1 << 40) THEN 3.0::DOUBLE * words ELSE (SELECT left_over FROM x y WHERE y.k = f.k) * weight / (SELECT open_weight FROM x y WHERE y.k = f.k) END AS target FROM x, f),
+ q AS (SELECT *, least(CAST(round_even(target, 0) AS BIGINT), 3 * words) AS want FROM t),
+ p AS (SELECT doc_id, size, h, words AS source_size, target, CASE WHEN words > 0 THEN want // words ELSE 1 END AS whole, CASE WHEN words > 0 THEN want % words ELSE 0 END AS rest, d.source,
+   sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+ g AS (SELECT *, rest - coalesce(max(upto) FILTER (WHERE upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM p),
+ c AS (SELECT source, arg_min(doc_id, (abs(size - gap), h, doc_id)) AS one FROM g WHERE upto > rest AND rest > 0 AND size > 0 AND abs(size - gap) < gap GROUP BY source)
+ SELECT g.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * least(3, whole + CASE WHEN rest = 0 THEN 0 WHEN upto <= rest OR g.doc_id IS NOT DISTINCT FROM one THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM g LEFT JOIN c ON g.source IS NOT DISTINCT FROM c.source"""
+
 
 def url_verdicts(rules: list[tuple[str, str, str]], depth: int = 4, least_rows: int = 8, least_share: float = 0.05, differs: float = 2.0, prior_weight: float = 2.0, reject_at: float = 0.7) -> str:
     """The template tree level by level, as common table expressions."""

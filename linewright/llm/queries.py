@@ -67,5 +67,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": oracle.NEAR_VECTORS,
     "op5_top_k": oracle.TOP_K,
     "op8_set_join": oracle.NEAR_DOCUMENTS,
+    "op9_mixing": oracle.MIX,
     "op10_url_filter": oracle.url_verdicts(RULES),
 }
