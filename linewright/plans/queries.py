@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from linewright.functions import display
 from linewright.functions.encodings import encoding_name
 from linewright.functions.predicates import Search
-from linewright.functions.spans import byte_to_char_spans, match_spans
+from linewright.functions.spans import ansi, byte_to_char_spans, match_spans
 from linewright.operators import changes, context, marks, pages, ranks, rules
 from linewright.operators import search as s
 from linewright.plans import render
@@ -388,7 +388,7 @@ def drop_overlap(spark, sf):
 
 # spans and what is shown
 
-# byte spans of matches of [a-z]+ing, folded over the pieces between them
+# spans of runs of digits: sums over the pieces between them and the runs before them
 SPANS = """, x AS (SELECT *, regexp_split_to_array(text, '[0-9]+') AS b, regexp_extract_all(text, '[0-9]+') AS f FROM l),
  y AS (SELECT *, list_transform(range(1, len(f) + 1), lambda k: {'start': CAST(coalesce(list_sum(list_transform(b[1:k], lambda t: UNIT(t))), 0) + coalesce(list_sum(list_transform(f[1:k - 1], lambda t: UNIT(t))), 0) AS INT), 'end': CAST(coalesce(list_sum(list_transform(b[1:k], lambda t: UNIT(t))), 0) + coalesce(list_sum(list_transform(f[1:k], lambda t: UNIT(t))), 0) AS INT)}) AS spans FROM x)"""
 DIGITS = Search("[0-9]+")
@@ -411,8 +411,6 @@ def _shown(spans):
 
 @query(" SELECT file_id, line_no, regexp_replace(text, '[0-9]+', chr(27) || '[0;31m\\0' || chr(27) || '[0m', 'g') AS coloured FROM l")
 def ansi_matches(spark, sf):
-    from linewright.functions.spans import ansi
-
     return lines(spark, sf).select("file_id", "line_no", ansi(F.col("text"), DIGITS).alias("coloured"))
 
 
