@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linewright.functions.predicates import Search, in_range, matches
+from linewright.sources.tables import lines_from_table
 
 
 def _hit(lines: DataFrame, search: Search):
@@ -25,6 +26,17 @@ def find(lines: DataFrame, search: Search) -> DataFrame:
     return found if search.limit is None else first_n(found, search.limit)
 
 
+def find_in_table(table: DataFrame, id_col: str, text_col: str, search: Search) -> DataFrame:
+    """The matching lines of a table's texts.
+
+    A literal that a line holds is in its whole text too, so that for literals only the texts
+    that hold one are split into lines at all.
+    """
+    if not search.regex and not any("\n" in p for p in search.patterns):
+        table = table.where(matches(F.col(text_col), search))
+    return find(lines_from_table(table, id_col, text_col), search)
+
+
 def ordered(found: DataFrame) -> DataFrame:
     """By file and line number."""
     return found.orderBy("file_id", "line_no")

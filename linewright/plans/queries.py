@@ -51,6 +51,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "text")
 
 
+def literal(spark: SparkSession, sf_dir: str, search: Search) -> DataFrame:
+    return s.find_in_table(docs(spark, sf_dir), "doc_id", "text", search)
+
+
 def html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from_table(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
 
@@ -116,12 +120,12 @@ def go_to_line(spark, sf):
 
 @query(f" SELECT file_id, line_no, text FROM l WHERE {HIT}")
 def search_ignore_case(spark, sf):
-    return keyed(s.find(lines(spark, sf), NEEDLE), "text")
+    return keyed(literal(spark, sf, NEEDLE), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ')")
 def search_literal(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search("the ", regex=False)), "text")
+    return keyed(literal(spark, sf, Search("the ", regex=False)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(replace(text, 'É', 'é'), 'éle')")
@@ -132,17 +136,17 @@ def search_unicode_ignore_case(spark, sf):
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(lower(text), 'éau')")
 def search_folded(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search("ÉAU", ignore_case=True, regex=False)), "text")
+    return keyed(literal(spark, sf, Search("ÉAU", ignore_case=True, regex=False)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'License') OR contains(text, '@') OR contains(text, 'http')")
 def search_multi_literal(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search(["License", "@", "http"], regex=False)), "text")
+    return keyed(literal(spark, sf, Search(["License", "@", "http"], regex=False)), "text")
 
 
 @query("".join([" SELECT file_id, line_no, text FROM l WHERE ", " OR ".join(f"contains(text, '{chr(97 + k)}{chr(98 + k)}')" for k in range(20))]))
 def search_many_literals(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search([f"{chr(97 + k)}{chr(98 + k)}" for k in range(20)], regex=False)), "text")
+    return keyed(literal(spark, sf, Search([f"{chr(97 + k)}{chr(98 + k)}" for k in range(20)], regex=False)), "text")
 
 
 @query(r" SELECT file_id, line_no, text FROM l WHERE regexp_matches(text, '[0-9]{3,}')")
@@ -162,12 +166,12 @@ def search_regex_ignore_case(spark, sf):
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') AND line_no >= 2 AND line_no < 6")
 def search_line_range(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search("the ", regex=False, start=2, end=6)), "text")
+    return keyed(literal(spark, sf, Search("the ", regex=False, start=2, end=6)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') AND line_no >= 9")
 def search_from_offset(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search("the ", regex=False, start=9)), "text")
+    return keyed(literal(spark, sf, Search("the ", regex=False, start=9)), "text")
 
 
 @query(f" SELECT file_id, line_no, {HIT} AS is_match FROM l")
@@ -185,22 +189,22 @@ def conversation_search(spark, sf):
 
 @query(f" SELECT file_id, line_no, text FROM l WHERE {HIT} ORDER BY file_id, line_no")
 def ordered_matches(spark, sf):
-    return keyed(s.ordered(s.find(lines(spark, sf), NEEDLE)), "text")
+    return keyed(s.ordered(literal(spark, sf, NEEDLE)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') ORDER BY file_id, line_no LIMIT 25")
 def first_n(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search("the ", regex=False, limit=25)), "text")
+    return keyed(literal(spark, sf, Search("the ", regex=False, limit=25)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM l WHERE contains(text, 'the ')) WHERE k <= 2")
 def first_n_of_each(spark, sf):
-    return keyed(s.first_n_of_each(s.find(lines(spark, sf), Search("the ", regex=False)), 2), "text")
+    return keyed(s.first_n_of_each(literal(spark, sf, Search("the ", regex=False)), 2), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') AND (file_id > 40 OR (file_id = 40 AND line_no > 2)) ORDER BY file_id, line_no LIMIT 100")
 def result_page(spark, sf):
-    return keyed(s.next_page(s.find(lines(spark, sf), Search("the ", regex=False)), (40, 2), 100), "text")
+    return keyed(s.next_page(literal(spark, sf, Search("the ", regex=False)), (40, 2), 100), "text")
 
 
 @query(", p AS (SELECT DISTINCT doc_id AS file_id, 0 AS line_no FROM labels WHERE toxic = 1) SELECT l.file_id, l.line_no, l.text FROM l JOIN p ON l.file_id = p.file_id AND l.line_no = p.line_no")
@@ -416,7 +420,7 @@ def ansi_matches(spark, sf):
 
 @query(f" SELECT file_id, line_no, line_no || ':' || text AS rendered FROM l WHERE {HIT}")
 def render_lines(spark, sf):
-    return render.render_lines(s.find(lines(spark, sf), NEEDLE))
+    return render.render_lines(literal(spark, sf, NEEDLE))
 
 
 @query(

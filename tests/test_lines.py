@@ -48,6 +48,13 @@ def test_corpus_counts(app):
     assert s.exists(app, Search("analysis")) and not s.exists(app, Search("zzz"))
 
 
+def test_find_in_table(spark):
+    table = spark.createDataFrame([(1, "a ERROR\nb"), (2, "fine\n"), (3, None), (4, "error\nERR\nOR")], "id long, text string")
+    found = s.find_in_table(table, "id", "text", Search("error", ignore_case=True, regex=False))
+    assert sorted((r.file_id, r.line_no) for r in found.collect()) == [(1, 0), (4, 0)]
+    assert s.find_in_table(table, "id", "text", Search("^b$")).count() == 1
+
+
 def test_context_output(app):
     near = context.with_context(app, s.find(app, Search("ERROR request 0000", regex=False)), around=1)
     shown = [r.rendered for r in render.render_context(near).orderBy("line_no").collect()]
