@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from linewright.llm.common import cut, fresh
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Tables of kept segments and of purities are broadcast up to this many rows.
+BROADCAST_ROWS = 200_000
+
 Rule = tuple[str, str, str]  # (allow or block, host, path)
 
 
@@ -37,6 +40,12 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def _small(df: DataFrame):
+    """The table, written, and how it joins: broadcast if its counted rows are few enough."""
+    df = cut(df)
+    return df, (F.broadcast if df.count() <= BROADCAST_ROWS else lambda d: d)
+
+
 def judge(
     pages: DataFrame,
     rules: list[Rule],
@@ -74,8 +83,8 @@ def judge(
         .withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
         .withColumn("blocked", (action == "block").cast("int"))
         .withColumn("segments", segments)
-        .withColumn("template", F.lit(""))
     )
+    rows = cut(rows).withColumn("template", F.lit(""))
     for level in range(depth):
         segment = F.get(F.col("segments"), F.lit(level))
         rows = rows.withColumn("segment", segment)
@@ -88,17 +97,18 @@ def judge(
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / rest_l))
         # one side without a label: whether there are labels at all tells the branches apart
         alike = F.when((F.col("l") == 0) & (rest_l == 0), True).when((F.col("l") == 0) | (rest_l == 0), F.col("n") == F.col("node_n")).otherwise(F.abs(F.col("b") / F.col("l") - rest_b / rest_l) <= differs * error)
-        kept = often.join(node, ["host", "template"]).where((F.col("n") >= least_share * F.col("node_n")) & ~alike).select("host", "template", "segment", F.lit(True).alias("stays"))
-        rows = rows.join(kept, ["host", "template", "segment"], "left")
+        kept, joins = _small(often.join(node, ["host", "template"]).where((F.col("n") >= least_share * F.col("node_n")) & ~alike).select("host", "template", "segment", F.lit(True).alias("stays")))
+        rows = rows.join(joins(kept), ["host", "template", "segment"], "left")
         name = F.when(F.col("segment").isNull(), "").when(F.col("stays"), F.concat(F.lit("/"), F.col("segment"))).otherwise("/*")
         rows = rows.withColumn("template", F.concat("template", name)).drop("segment", "stays")
     below = F.when(F.size("segments") > depth, "/**").otherwise("")
-    rows = cut(rows.withColumn("template", F.concat("template", below)).drop("segments"))
+    rows = rows.withColumn("template", F.concat("template", below)).drop("segments")
     purities = rows.where(F.col("blocked").isNotNull()).groupBy("host", "template").agg(F.count("*").alias("l"), F.sum("blocked").alias("b"))
-    prior = rows.agg(F.coalesce(F.avg("blocked"), F.lit(0.0)).alias("p"))
-    # a row per template that has labels, and one row for the prior
-    purity = (F.col("b") + prior_weight * F.col("p")) / (F.col("l") + prior_weight)
-    purities = purities.join(F.broadcast(prior)).select("host", "template", F.round(purity, 6).alias("purity"))
+    purities, joins = _small(purities)
+    total = purities.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
+    prior = total.b / total.l if total.l else 0.0
+    purity = F.round((F.col("b") + prior_weight * prior) / (F.col("l") + prior_weight), 6)
+    purities = joins(purities.select("host", "template", purity.alias("purity")))
     judged = rows.join(purities, ["host", "template"], "left").withColumn("purity", F.coalesce("purity", F.lit(0.0)))
     verdict = F.when(F.col("blocked") == 1, "block").when(F.col("blocked") == 0, "allow").when(F.col("purity") >= reject_at, "block").otherwise("allow")
     return judged.select(F.col("page_id").alias(id_col), "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
