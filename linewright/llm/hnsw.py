@@ -33,7 +33,7 @@ class Graph:
             self._insert(self.order[done : done + size], done)
             done += size
 
-    def _search(self, queries: np.ndarray, found: np.ndarray, sims: np.ndarray, layer: int, width: int, floor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, queries: np.ndarray, found: np.ndarray, sims: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search from the given entries; -1 where a beam isn't full."""
         links = self.layers[layer]
         rows = np.arange(len(queries))
@@ -73,12 +73,12 @@ class Graph:
         return found, sims
 
     def _descend(self, queries: np.ndarray, down_to: int) -> tuple[np.ndarray, np.ndarray]:
-        """From the top node by a beam of one to the entries of layer `down_to`."""
+        """From the top node by a narrow beam to the entries of layer `down_to`."""
         top = self.order[0]
         found = np.full((len(queries), 1), top, np.int32)
         sims = (queries @ self.vectors[top])[:, None].astype(np.float32)
         for layer in range(len(self.layers) - 1, down_to, -1):
-            found, sims = self._search(queries, found, sims, layer, 1)
+            found, sims = self._search(queries, found, sims, layer, 3)
         return found, sims
 
     def _choose(self, found: np.ndarray, sims: np.ndarray, size: int) -> np.ndarray:
@@ -105,6 +105,7 @@ class Graph:
         # what of the batch itself is near: the graph doesn't hold it yet
         own = queries @ queries.T
         np.fill_diagonal(own, FAR)
+        made = []
         for layer in range(int(self.level[nodes].max()), -1, -1):
             here = np.flatnonzero(self.level[nodes] >= layer)
             if before:
@@ -115,10 +116,11 @@ class Graph:
             mates, mate_sims = _reach(np.broadcast_to(nodes[here].astype(np.int32), (len(here), len(here))), own[np.ix_(here, here)], self.beam)
             mates = np.where(mate_sims > FAR, mates, -1)
             found, sims = _reach(np.concatenate([found, mates], 1), np.concatenate([sims, mate_sims], 1), self.beam)
-            links = self.layers[layer]
-            chosen = self._choose(found, sims, self.links)
-            links[nodes[here], : self.links] = chosen
-            self._link_back(layer, nodes[here], chosen)
+            made.append((layer, nodes[here], self._choose(found, sims, self.links)))
+        # linked only now: every layer was searched as it was before the batch
+        for layer, own_nodes, chosen in made:
+            self.layers[layer][own_nodes, : self.links] = chosen
+            self._link_back(layer, own_nodes, chosen)
 
     def _link_back(self, layer: int, nodes: np.ndarray, chosen: np.ndarray) -> None:
         links = self.layers[layer]

@@ -70,10 +70,10 @@ def _dealt(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, sha
 def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, least: float, width: int, audit: int, target: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) places of all pairs found with cosine >= least.
 
-    The beam starts at `width`. It doubles while an audit of up to `audit` evenly spaced
-    queries against all rows finds less than `target` of their links. A query whose whole
-    beam is links searches again with a beam four times as wide, and beyond 1,024 against
-    every row. All pairs are verified in double precision.
+    The beam starts at `width` and doubles while an audit of up to `audit` evenly spaced
+    queries against all rows finds less than `target` of their links. A query whose beam
+    is links to a third searches again with a beam four times as wide, and beyond 1,024
+    against every row. All pairs are verified in double precision.
     """
     fast = queries.astype(np.float32)
     near = np.float32(least - 1e-4)
@@ -90,7 +90,8 @@ def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, least: float, wi
     while len(todo):
         if width <= 1024:
             found, sims = graph.search(fast[todo], width)
-            full = (sims >= near).all(1) & (found.shape[1] < len(rows))
+            # a beam that links fill by a third may have missed some of a crowd
+            full = ((sims >= near).sum(1) * 3 >= width) & (width < len(rows))
             q, c = np.nonzero((sims >= near) & ~full[:, None])
             pairs.append((todo[q], found[q, c]))
             todo, width = todo[full], width * 4
@@ -110,7 +111,7 @@ def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, least: float, wi
 def near_duplicates(
     df: DataFrame,
     least: float = 0.9,
-    width: int = 24,
+    width: int = 16,
     audit: int = 96,
     target: float = 0.99,
     shard_rows: int = SHARD_ROWS,

@@ -58,7 +58,10 @@ def planted(seed=0, n=400, dim=16):
 def test_graph_recall():
     x = planted(3, 2000, 24)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    found, sims = Graph(x).search(x[:300], 48)
+    graph = Graph(x)
+    for layer in graph.layers:
+        assert all(len(set(n[n >= 0].tolist()) - {k}) == (n >= 0).sum() for k, n in enumerate(layer))  # no repeats, no loops
+    found, sims = graph.search(x[:300], 48)
     true = np.argsort(-(x[:300] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(t) & set(f[:48].tolist())) / 10 for t, f in zip(true, found, strict=True)]) > 0.9
     assert all(np.allclose(s[f >= 0], (x[k] @ x[f[f >= 0]].T), atol=1e-5) for k, (f, s) in enumerate(zip(found, sims, strict=True)))
