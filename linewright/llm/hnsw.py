@@ -37,6 +37,7 @@ class Graph:
         """Beam search from the given entries; -1 where a beam isn't full."""
         links = self.layers[layer]
         rows = np.arange(len(queries))
+        found, sims = _reach(found, sims, width)
         pad = width - found.shape[1]
         if pad > 0:
             found = np.pad(found, ((0, 0), (0, pad)), constant_values=-1)
