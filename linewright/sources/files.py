@@ -80,8 +80,8 @@ def file_states(files: DataFrame, window: int = WINDOW_BYTES, old: DataFrame | N
     return _spread(files).mapInPandas(capture, "file_id string, size long, head_len long, head_hash long, tail_hash long, prefix_hash long")
 
 
-def _scan(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    """One scan of files of one encoding: lines numbered without sorting them.
+def _scan(spark: SparkSession, marks: list[tuple[str, int]], encoding: str) -> DataFrame:
+    """One scan of files of one encoding, (path, bom width) each: lines numbered without sorting them.
 
     Each split of a file counts its lines and bytes (a small table), a running sum over a
     file's splits gives the numbers at which they begin, and a line's place within its split
@@ -95,15 +95,19 @@ def _scan(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
         spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
         reader = reader.option("encoding", encoding)
     place = F.monotonically_increasing_id()
-    raw = reader.text(paths).select("value", F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
+    raw = reader.text([path for path, _ in marks]).select("value", F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
     length = F.octet_length("value").cast("long")
     blocks = raw.groupBy("file_id", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum(length + width).alias("bytes"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = blocks.select("file_id", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before")).persist()
+    base = blocks.select("file_id", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
+    # marks go to the blocks, not to the lines; the scan may write file:/ for file:///
+    path = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    named = spark.createDataFrame(marks, "_path string, bom int").withColumn("_path", path("_path"))
+    base = base.join(named, path("file_id") == F.col("_path")).drop("_path").persist()
     joined = raw.join(F.broadcast(base) if base.count() <= BROADCAST_BLOCKS else base, ["file_id", "block"])
     inside = F.sum(length + width).over(Window.partitionBy("file_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     line_no = F.col("place") - F.col("first") + F.col("lines_before")
-    return joined.select("file_id", "size", line_no.alias("line_no"), F.col("value").alias("raw"), length.alias("byte_len"), (F.col("bytes_before") + F.coalesce(inside, F.lit(0))).alias("byte_start"))
+    return joined.select("file_id", "size", "bom", line_no.alias("line_no"), F.col("value").alias("raw"), length.alias("byte_len"), (F.col("bytes_before") + F.coalesce(inside, F.lit(0))).alias("byte_start"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None = None, fallback: str = "windows-1252", geometry: bool = True) -> DataFrame:
@@ -125,17 +129,14 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None
     out = None
     for name in sorted({f["encoding"] for f in files if f["size"]}):
         own = [f for f in files if f["encoding"] == name and f["size"]]
-        lines = _scan(spark, [f["file_id"] for f in own], name)
-        marks = spark.createDataFrame([(f["file_id"], f["bom_width"]) for f in own], "_path string, bom int")
-        key = F.regexp_replace("file_id", "^file:/+", "file:/")
-        lines = lines.join(marks.withColumn("_path", F.regexp_replace("_path", "^file:/+", "file:/")), key == F.col("_path"))
+        lines = _scan(spark, [(f["file_id"], f["bom_width"]) for f in own], name)
         first, utf8 = (F.col("line_no") == 0) & (F.col("bom") > 0), name.upper() in ("UTF-8", "UTF8")
         text = decode_lossy(F.col("raw"), name)
         # the reader drops a UTF-8 mark itself; others are the first line's first character
         text = text if utf8 else F.when(first & text.startswith("﻿"), F.substring(text, 2, 1 << 30)).otherwise(text)
-        shift = F.col("bom") if utf8 else F.when(first, 0).otherwise(0)
-        start = F.col("byte_start") + shift + (F.lit(0) if utf8 else F.when(first, F.col("bom")).otherwise(0))
-        length = F.col("byte_len") - (F.lit(0) if utf8 else F.when(first, F.col("bom")).otherwise(0))
+        kept = F.lit(0) if utf8 else F.when(first, F.col("bom")).otherwise(0)
+        start = F.col("byte_start") + (F.col("bom") if utf8 else kept)
+        length = F.col("byte_len") - kept
         ended = start + length + line_feed_width(name) <= F.col("size")
         lines = lines.select("file_id", "line_no", text.alias("text"), *([start.alias("byte_start"), length.alias("byte_len"), ended.alias("has_lf")] if geometry else []))
         out = lines if out is None else out.unionByName(lines)
