@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a batch that a Python worker gets at once: documents are long.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound what Python workers hold of texts: batches of this session get BATCH_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > BATCH_ROWS or int(conf.get(key)) <= 0:
+        conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give memory that Python, Arrow and numpy have freed back to the system; a reused worker
+    keeps its peak otherwise, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function):
+    """A batch function of a task that releases memory when the task's batches are done."""
+
+    @functools.wraps(function)
+    def wrapped(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What an operator keeps in a Python worker: made once, and dropped when the worker goes
+    on to another operator, so that a reused worker holds the tables of one at a time."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linewright.llm.common import crc_mod, fresh, unit_hash
+from linewright.llm.common import crc_mod, fresh, resident, small_batches, tidy, unit_hash
 
 #: Labelled text kept for each language: this many characters, of at most SAMPLE_ROWS rows.
-MODEL_CHARS, SAMPLE_ROWS = 60_000, 64
+MODEL_CHARS, SAMPLE_ROWS = 32_000, 64
 #: Symbols of the automata: the letters seen most often in the labelled text; 0 is any other.
 SYMBOLS = 63
 #: Documents are parsed in windows of this many symbols, side by side; a phrase ends there.
@@ -42,21 +42,23 @@ class SuffixAutomaton:
     """steps[state, symbol] is the next state, or 0 (the empty match) where none is."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int):
-        go: list[dict[int, int]] = [{}]
+        most = 2 * len(symbols) + 2  # an automaton has fewer states than that
+        steps = np.zeros((most, alphabet), np.uint16 if most < 1 << 16 else np.int32)
+        go = memoryview(steps.reshape(-1))
         link, length = [-1], [0]
 
         def twin(p: int, c: int) -> int:
             """The state after p by c whose longest match is just one longer than p's."""
-            q = go[p][c]
+            q = go[p * alphabet + c]
             if length[q] == length[p] + 1:
                 return q
-            made = len(go)
-            go.append(dict(go[q]))
+            made = len(length)
+            steps[made] = steps[q]
             length.append(length[p] + 1)
             link.append(link[q])
             link[q] = made
-            while p >= 0 and go[p].get(c) == q:
-                go[p][c] = made
+            while p >= 0 and go[p * alphabet + c] == q:
+                go[p * alphabet + c] = made
                 p = link[p]
             return made
 
@@ -64,23 +66,19 @@ class SuffixAutomaton:
         for c in symbols.tolist():
             if c == 0:
                 last = 0  # no phrase goes across an unknown symbol or a text's end
-            elif c in go[last]:
+            elif go[last * alphabet + c]:
                 last = twin(last, c)
             else:
-                made = len(go)
-                go.append({})
+                made = len(length)
                 length.append(length[last] + 1)
                 link.append(0)
                 p = last
-                while p >= 0 and c not in go[p]:
-                    go[p][c] = made
+                while p >= 0 and not go[p * alphabet + c]:
+                    go[p * alphabet + c] = made
                     p = link[p]
                 link[made] = twin(p, c) if p >= 0 else 0
                 last = made
-        self.steps = np.zeros((len(go), alphabet), np.int32)
-        for state, edges in enumerate(go):
-            for c, to in edges.items():
-                self.steps[state, c] = to
+        self.steps = steps[: len(length)].copy()
 
 
 class Model:
@@ -127,7 +125,7 @@ class Model:
             columns = np.ascontiguousarray(padded[lanes].T)
             ends = np.searchsorted(-lengths[lanes], -np.arange(WINDOW), side="left")  # lanes longer than t
             for k, steps in enumerate(self.automata):
-                flat_steps, state = steps.reshape(-1), np.zeros(len(lanes), np.int32)
+                flat_steps, state = steps.reshape(-1), np.zeros(len(lanes), np.int64)
                 count = np.zeros(len(lanes), np.int32)
                 for t in range(WINDOW):
                     n = ends[t]
@@ -143,9 +141,6 @@ class Model:
         return out / np.maximum(sizes, 1)[:, None]
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def labelled_texts(docs: DataFrame, known: Column, model_chars: int = MODEL_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """A seeded, bounded sample of labelled text for each language.
 
@@ -163,27 +158,28 @@ def labelled_texts(docs: DataFrame, known: Column, model_chars: int = MODEL_CHAR
     texts: dict[str, list[str]] = {}
     for row in sorted(first, key=lambda r: (r.lang, r.k)):
         had = texts.setdefault(row.lang, [])
-        if sum(map(len, had)) < model_chars:
-            had.append(letters_of(row.text))
+        text = letters_of(row.text)
+        if sum(map(len, had)) + len(text) + len(had) < model_chars:
+            had.append(text)
     return texts
 
 
 def predictor(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """Learn from the rows of docs that aren't held out; a function of a text column that
     gives (lang_pred, score)."""
+    small_batches(docs)
     plain = fresh(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(labelled_texts(plain, ~F.col("held_out")))  # bounded: model_chars for each language
 
+    @tidy
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         texts = shared.value
         key = zlib.crc32(repr(sorted(texts.items())).encode("utf-8", "surrogatepass"))
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(texts)
+        model = resident(("language_id", key), lambda: Model(texts))
         for batch in batches:
-            # a few megabytes of text at a time
-            block = (batch.str.len().fillna(0).cumsum() // 4_000_000).astype(int)
-            yield pd.concat([_predicted(part, _MODELS[key]) for _, part in batch.groupby(block, sort=False)] or [_predicted(batch, _MODELS[key])])
+            # about a megabyte of text at a time
+            block = (batch.str.len().fillna(0).cumsum() // 1_000_000).astype(int)
+            yield pd.concat([_predicted(part, model) for _, part in batch.groupby(block, sort=False)] or [_predicted(batch, model)])
 
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(predict, "lang_pred string, score double")

@@ -12,20 +12,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import cut, fresh
+from linewright.llm.common import cut, fresh, release, resident, small_batches, tidy
 
 #: Pieces that one task packs among themselves. Larger groups leave fewer bins part empty:
 #: of 8,000 pieces' bins about 0.1 % stay open.
-GROUP_PIECES = 16_384
-
-_ENCODERS: dict[tuple[str, str], object] = {}
+GROUP_PIECES = 8_192
 
 
 def encoder(tokenizer: str, ranks: str):
     """The byte-level vocabulary as a tiktoken encoding, which gives the same ids as the
     tokenizer file's own library several times faster. `ranks` is the same vocabulary as
     ranks; its pattern and special strings come from the tokenizer file."""
-    if (tokenizer, ranks) not in _ENCODERS:
+
+    def make():
         import public_tokenizers
         import tiktoken
 
@@ -34,8 +33,9 @@ def encoder(tokenizer: str, ranks: str):
         with open(ranks, "rb") as file:
             known = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        _ENCODERS[tokenizer, ranks] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
-    return _ENCODERS[tokenizer, ranks]
+        return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
+
+    return resident(("packing", tokenizer, ranks), make)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -46,6 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = 2, c
     piece may be shorter. Repeated rows give repeated pieces.
     """
 
+    @tidy
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer, ranks)
         for batch in batches:
@@ -66,6 +67,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = 2, c
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
+    small_batches(docs)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return fresh(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut_up, schema)
 
@@ -122,6 +124,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIEC
         bins, offsets = pack_sizes(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = frame["_group"].astype(np.int64) * stride + bins
         frame["offset"] = offsets
+        release()
         return frame.drop(columns="_group")
 
     schema = kept.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema

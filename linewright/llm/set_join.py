@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import cut, fresh
+from linewright.llm.common import cut, fresh, release, resident, small_batches, tidy
 from linewright.llm.components import forest, named_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -32,9 +32,11 @@ COORDINATES, PICKS, DEPTH = 64, 2, 3
 #: compared in blocks of this many sets, each pair of blocks in a task of its own.
 BUCKET = 512
 #: A table of at most this many compared documents is broadcast to pick their texts out.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 #: Rows of small buckets that one task call compares.
 GROUP_ROWS = 2_000
+#: Words whose hashes a worker remembers; emptied when full, which changes no result.
+MEMO_WORDS = 50_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _U64 = np.uint64
@@ -42,7 +44,7 @@ _U64 = np.uint64
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= MEMO_WORDS:
             self.clear()
         raw = word.encode("utf-8", "surrogatepass")
         value = (zlib.crc32(raw) << 32 | zlib.adler32(raw)) * 0x9E3779B97F4A7C15 + zlib.crc32(raw, 0x5BD1E995) & 0xFFFFFFFFFFFFFFFF
@@ -50,9 +52,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U64(31))
     x = x * _U64(0x7FB5D329728EA185)
@@ -67,7 +66,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = _WORD.findall((text or "").lower())
     if not found:
         return np.empty(0, _U64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, found), _U64, len(found))
+    known = resident("set_join", _WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, found), _U64, len(found))
     size = min(words, len(hashes))
     out = np.full(len(hashes) - size + 1, len(found) if size < words else 0, _U64)
     for k in range(size):
@@ -133,6 +133,7 @@ def _name(tokens: np.ndarray) -> int:
 def _sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, node, n, sketch): a 64-bit name of the shingle set (null if empty), its size, its minhashes."""
 
+    @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, n, rows = [], [], []
@@ -149,12 +150,14 @@ def _sketched(docs: DataFrame) -> DataFrame:
 def _buckets(classes: DataFrame, runs: int, split_rounds: int) -> DataFrame:
     """(key, node) for every bucket of two sets or more, after splitting the large ones."""
 
+    @tidy
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), COORDINATES)
             keys = _first_keys(sketch, runs)
             yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(batch["node"].to_numpy(), keys.shape[1])})
 
+    @tidy
     def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint32).reshape(len(batch), COORDINATES)
@@ -162,7 +165,7 @@ def _buckets(classes: DataFrame, runs: int, split_rounds: int) -> DataFrame:
             wide = keys.shape[1]
             yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(batch["node"].to_numpy(), wide), "was": np.repeat(batch["key"].to_numpy(), wide), "size": np.repeat(batch["size"].to_numpy(), wide)})
 
-    rows = cut(classes.select("node", "sketch").mapInPandas(first, "key long, node long").distinct())
+    rows = cut(classes.select("node", "sketch").mapInPandas(first, "key long, node long"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     rows = cut(rows.join(sizes, "key"))
     done = rows.where(F.col("size") <= BUCKET)
@@ -239,6 +242,7 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
     word (null and empty texts too) link with nothing. Rows that repeat an id are documents
     of their own; null ids come last in naming a class. An empty table gives no rows.
     """
+    small_batches(docs)
     base = fresh(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(_sketched(base))
     some = sketched.where(F.col("n") > 0)
@@ -249,6 +253,7 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
     members = cut(members.join(classes.select("node", "rep", "copies"), "node"))
     picked = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
+    @tidy
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(t.as_py()) for t in batch.column("text")]
@@ -287,6 +292,7 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
         nodes, place = np.unique(np.concatenate([left, right]), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([*na, *nb]) if na else None, minlength=len(nodes)).astype(np.int64)
         low, high = forest(left, right)
+        release()
         return pd.DataFrame({"a": np.concatenate([nodes, low]), "b": np.concatenate([nodes, high]), "n": np.concatenate([counts, np.zeros(len(low), np.int64)])})
 
     found = cut(dealt.groupBy("deal", "pair").applyInPandas(brute, "a long, b long, n long"))

@@ -26,18 +26,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import fresh
+from linewright.llm.common import fresh, resident, small_batches, tidy
 
 #: Texts of more characters than this are counted chunk by chunk, in several tasks.
 CHUNK_CHARS = 1 << 16
 #: Entries of a worker's memo of words; it is emptied when full, which changes no result.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Compiled states of a worker; started anew when full, which changes no result.
-MAX_STATES = 400_000
+MAX_STATES = 100_000
 
 WORD_END = "</w>"
 
@@ -218,14 +219,9 @@ def _segments(text: str) -> list[str]:
     return text.split()
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """The compiled tokenizer of this Python worker."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    return resident(("token_counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -235,18 +231,21 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     counts as empty: 0 bytes, 0 tokens. Ids may be null or repeat; each row is counted on its
     own. Texts of more than `chunk_chars` characters are cut and counted in several tasks.
     """
+    small_batches(docs)
     base = fresh(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "id long, n_bytes long, n_tokens long"
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for batch in batches:
             texts = batch.column("text")
             made = [count.text(t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.compute.binary_length(texts).cast(pa.int64()), pa.array(made, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(made, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     short = base.where(F.length("text") <= chunk_chars).mapInArrow(whole, schema)
 
+    @tidy
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(tokenizer)
         for batch in batches:

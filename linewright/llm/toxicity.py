@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linewright.llm.common import crc_mod, cut, fresh
+from linewright.llm.common import crc_mod, cut, fresh, small_batches, tidy
 from linewright.llm.labelled import labelled_sample
 from linewright.llm.set_join import shingles
 
@@ -74,7 +74,7 @@ class Index:
         for word in _WORD.findall((text or "").lower()):
             known = self.memo.get(word)
             if known is None:
-                if len(self.memo) > 300_000:
+                if len(self.memo) > 100_000:
                     self.memo.clear()
                 known = self.memo[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
             for term in known:
@@ -145,6 +145,7 @@ def _odds(share):
 
 def build_index(docs: DataFrame, labels: DataFrame, known: Column, label: str = "toxic", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Select terms and index at most `examples` labelled documents of each class."""
+    small_batches(docs)
     sample, totals = labelled_sample(docs, labels, label, known, examples, 6, id_col, text_col)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,6 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     index = build_index(docs, labels, ~held_out_default() if id_col == "doc_id" else ~held_out, examples=examples, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples and TERMS
 
+    @tidy
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
