@@ -34,7 +34,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Reject documents whose score is below the threshold; learns from the labels of the
     documents that came here."""
     score = quality.scorer(docs, table(spark, sf_dir, "labels"), ~quality.held_out_default())
-    return docs.where(score(F.col("text")) >= quality.ACCEPT - 1e-12)
+    return docs.where(score(F.col("text")) >= quality.ACCEPT)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
