@@ -17,7 +17,7 @@ from linewright.llm import language_id, mixing, packing, quality, set_join
 from linewright.llm.common import cut, table
 from linewright.llm.queries import BYTE_BPE, BYTE_RANKS
 
-#: Ids taken out are broadcast up to this many (8 bytes each), and shuffled beyond.
+#: Documents taken out are broadcast up to this many (16 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 
 
@@ -38,17 +38,23 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays. Rows of one id
-    and text count as one document, of which one row stays."""
-    groups = cut(set_join.similar_documents(docs).select("doc_id", "kept"))
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"))
+    """Of each group of near duplicates the document of the least id stays, null ids last; of
+    several texts of that id, one. Rows of one id and text count as one document, of which
+    one row stays."""
+    groups = cut(set_join.grouped_documents(docs).groupBy("doc_id", "text_key").agg(F.first("group").alias("group"), F.count("*").alias("rows")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = groups.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("least"))
+    first = first.select(F.col("least.doc_id").alias("__id"), F.col("least.text_key").alias("__key"))
+    same = lambda df: df["doc_id"].eqNullSafe(F.col("__id")) & (df["text_key"] == F.col("__key"))
+    gone = cut(groups.where(F.col("group").isNotNull()).join(first, same(groups), "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__gone_id")), "left_anti")
-    repeated = cut(groups.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__gone_id")))
+    here = docs["doc_id"].eqNullSafe(F.col("__id")) & (set_join.text_key(docs["text"]) == F.col("__key"))
+    kept = docs.join(gone, here, "left_anti")
+    repeated = cut(groups.where(F.col("rows") > 1).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept.doc_id.eqNullSafe(F.col("__gone_id")), "left_anti")
-    return once.unionByName(kept.join(repeated, kept.doc_id.eqNullSafe(F.col("__gone_id")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = kept.join(repeated, here, "left_anti")
+    return once.unionByName(kept.join(repeated, here, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

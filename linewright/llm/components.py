@@ -40,18 +40,19 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def named_components(members: DataFrame, classes: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, component_id) for each of members (doc_id, node).
+    """class_id, n_links, component_id and group for each of members (node and others, which stay).
 
     classes: (node, rep, copies), rep being the class's least id. links: (a, links) counts a
     class's linked documents outside it. edges: (a, b) join linked classes. A component is
-    named by the least id in it.
+    named by the least id in it, which is null if all its ids are; group tells it apart from
+    others in any case.
     """
     roots = connected(edges)
     placed = classes.select("node", "rep", "copies").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
     names = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("name"))
     about = placed.join(names, "component", "left").join(links, F.col("node") == F.col("a"), "left")
-    about = about.select("node", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "rep").alias("component_id"))
-    return members.select("doc_id", "node").join(about, "node").drop("node")
+    about = about.select("node", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "rep").alias("component_id"), F.coalesce("component", "node").alias("group"))
+    return members.join(about, "node").drop("node")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright.llm.common import cut, fresh, release, resident, small_batches, tidy
@@ -131,7 +131,7 @@ def _name(tokens: np.ndarray) -> int:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, sketch): a 64-bit name of the shingle set (null if empty), its size, its minhashes."""
+    """(doc_id, text_key, node, n, sketch): a 64-bit name of the shingle set (null if empty), its size, its minhashes."""
 
     @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +142,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 n.append(len(tokens))
                 nodes.append(_name(tokens) if len(tokens) else None)
                 rows.append(minhashes(tokens).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "text_key", "node", "n", "sketch"])
 
-    return docs.mapInArrow(sketch, "doc_id long, node long, n long, sketch binary")
+    return docs.mapInArrow(sketch, "doc_id long, text_key long, node long, n long, sketch binary")
 
 
 def _buckets(classes: DataFrame, runs: int, split_rounds: int) -> DataFrame:
@@ -242,9 +242,22 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
     word (null and empty texts too) link with nothing. Rows that repeat an id are documents
     of their own; null ids come last in naming a class. An empty table gives no rows.
     """
+    return grouped_documents(docs, least, recall, split_rounds, id_col, text_col).select(
+        F.col("doc_id").alias(id_col), "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit name of a text: with the id it tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
+def grouped_documents(docs: DataFrame, least: float = SIMILARITY, recall: float = 0.999, split_rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, class_id, n_links, component_id and group of each row, the group
+    being a component's own number; it is null for a document without a word."""
     small_batches(docs)
     base = fresh(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut(_sketched(base))
+    sketched = cut(_sketched(base.withColumn("text_key", text_key(F.col("text")))))
     some = sketched.where(F.col("n") > 0)
     classes = cut(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
     buckets = cut(_pruned(_buckets(classes, runs_for(recall, least), split_rounds)))
@@ -297,6 +310,6 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
 
     found = cut(dealt.groupBy("deal", "pair").applyInPandas(brute, "a long, b long, n long"))
     links = found.groupBy("a").agg(F.sum("n").alias("links")).where(F.col("links") > 0)
-    return named_components(some, classes, links, found.where(F.col("n") == 0).select("a", "b")).unionByName(
-        sketched.where(F.col("n") == 0).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    ).select(F.col("doc_id").alias(id_col), "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return named_components(some.select("doc_id", "text_key", "node"), classes, links, found.where(F.col("n") == 0).select("a", "b")).unionByName(
+        sketched.where(F.col("n") == 0).select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    )

@@ -157,7 +157,7 @@ def near_duplicates(
 
     out = cut(_dealt(nodes, nodes.select("id", "vec"), n, n, shard_rows, query_rows).applyInPandas(search, "a long, b long, n long"))
     counts = out.where(F.col("n") > 0).groupBy("a").agg(F.sum("n").alias("links"))
-    good = named_components(valid, classes, counts, out.where(F.col("n") == 0).select("a", "b")).select("doc_id", "n_links", "component_id")
+    good = named_components(valid.select("doc_id", "node"), classes, counts, out.where(F.col("n") == 0).select("a", "b")).select("doc_id", "n_links", "component_id")
     bad = packed.where(F.col("vec").isNull()).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(bad).select(F.col("doc_id").alias(id_col), "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

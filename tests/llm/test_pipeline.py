@@ -81,3 +81,17 @@ def test_empty_table(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_near_duplicates_by_row(spark, make_docs):
+    words = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    stays = lambda *rows: sorted(map(repr, (tuple(r) for r in corpus_pipeline.join_near_duplicates(spark, make_docs(*rows), "").select("doc_id", "text").collect())))
+    a, b, c, d = map(words, "abcd")
+    # a null id that copies a document takes no other null id along
+    assert stays((1, a), (None, a), (None, b), (None, c)) == sorted(map(repr, [(1, a), (None, b), (None, c)]))
+    # of a repeated id only the near copy goes, and the other text still stands for its group
+    assert stays((1, b), (2, a), (2, b + " tail"), (3, a + " tail")) == sorted(map(repr, [(1, b), (2, a)]))
+    # near copies of no id: one stays
+    assert len(stays((None, a), (None, a + " tail"), (None, a + " end"), (4, d))) == 2
+    # of two near texts of the least id one stays, and repeated rows once; wordless rows link with nothing
+    assert len(stays((5, a), (5, a + " tail"), (5, a), (6, a), (7, ""), (7, ""), (None, None), (8, ""))) == 4
