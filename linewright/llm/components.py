@@ -55,19 +55,36 @@ def named_components(members: DataFrame, classes: DataFrame, links: DataFrame, e
     return members.join(about, "node").drop("node")
 
 
+class Forest:
+    """What joins n nodes, kept up as links come in: no more than an edge for each node."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Link the nodes left[i] and right[i]."""
+        parent = self.parent
+        left, right = parent[left], parent[right]
+        while True:
+            open_ = left != right
+            left, right = left[open_], right[open_]
+            if not len(left):
+                return
+            # hang the larger root of each pair on the least root that a pair leads it to
+            np.minimum.at(parent, np.maximum(left, right), np.minimum(left, right))
+            while (parent != parent[parent]).any():
+                parent[:] = parent[parent]
+            left, right = parent[left], parent[right]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        hung = np.flatnonzero(self.parent != np.arange(len(self.parent)))
+        return self.parent[hung], hung
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join the same nodes as the pairs (a, b) do, fewer than there are nodes."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = np.arange(len(nodes))
-    left, right = ends[: len(a)], ends[len(a) :]
-    while len(left):
-        # hang the larger root of each pair on the least root that a pair leads it to
-        low, high = np.minimum(left, right), np.maximum(left, right)
-        np.minimum.at(parent, high, low)
-        while (parent != parent[parent]).any():
-            parent = parent[parent]
-        left, right = parent[left], parent[right]
-        open_ = left != right
-        left, right = left[open_], right[open_]
-    hung = parent != np.arange(len(nodes))
-    return nodes[parent[hung]], nodes[hung]
+    tree = Forest(len(nodes))
+    tree.join(ends[: len(a)], ends[len(a) :])
+    low, high = tree.edges()
+    return nodes[low], nodes[high]

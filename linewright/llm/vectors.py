@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linewright.llm.common import cut, fresh
-from linewright.llm.components import forest, named_components
+from linewright.llm.components import Forest, named_components
 from linewright.llm.hnsw import Graph
 
 #: Vectors of a shard, and queries that search it in one task. Both bound a task's memory.
 SHARD_ROWS, QUERY_ROWS = 100_000, 100_000
 #: Least number of shards, so that a small table keeps several tasks busy.
 LEAST_SHARDS = 8
+#: Products held at once where queries meet every row.
+SCAN_PAIRS = 1 << 22
 
 
 def packed_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float | None = None) -> DataFrame:
@@ -67,16 +69,44 @@ def _dealt(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, sha
     return left.groupBy(keys).cogroup(right.groupBy(keys))
 
 
-def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, least: float, width: int, audit: int, target: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) places of all pairs found with cosine >= least.
+def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, width: int, audit: int, target: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) places of the pairs found with cosine >= least, a bounded number at a time.
 
-    The beam starts at `width` and doubles while an audit of up to `audit` evenly spaced
-    queries against all rows finds less than `target` of their links. A query whose beam
-    is links to a third searches again with a beam four times as wide, and beyond 1,024
-    against every row. All pairs are verified in double precision.
+    own: the row that is the query itself, or -1; it is no link. The beam starts at `width` and
+    doubles while an audit of up to `audit` evenly spaced queries against all rows finds less
+    than `target` of their links. A query whose beam is links to a third searches again with a
+    beam four times as wide, and beyond 1,024 against every row. All pairs are verified in double precision.
     """
     fast = queries.astype(np.float32)
     near = np.float32(least - 1e-4)
+    slice_ = max(1, SCAN_PAIRS // max(1, len(rows)))
+
+    def verified(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sure = np.concatenate([np.einsum("nd,nd->n", queries[q[s : s + 65536]], rows[r[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.empty(0)])
+        # a tie at the threshold isn't lost to the last bit of a product of unit vectors
+        keep = (sure >= least - 1e-12) & (own[q] != r)
+        return q[keep], r[keep]
+
+    def scanned(places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, len(places), slice_):
+            part = places[start : start + slice_]
+            q, r = np.nonzero(fast[part] @ graph.vectors.T >= near)
+            yield verified(part[q], r)
+
+    def searched(places: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while len(places) and width <= min(1024, len(rows) - 1):
+            again = []
+            for start in range(0, len(places), 256):
+                part = places[start : start + 256]
+                found, sims = graph.search(fast[part], width)
+                # a beam that links fill by a third may have missed some of a crowd
+                full = (sims >= near).sum(1) * 3 >= width
+                again.append(part[full])
+                q, c = np.nonzero((sims >= near) & ~full[:, None])
+                yield verified(part[q], found[q, c])
+            places, width = np.concatenate(again), width * 4
+        yield from scanned(places)
+
     probe = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
     true = fast[probe] @ graph.vectors.T >= near
     while True:
@@ -86,26 +116,7 @@ def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, least: float, wi
         if hit >= target * room or width >= len(rows):
             break
         width *= 2
-    todo, pairs = np.arange(len(queries)), []
-    while len(todo):
-        if width <= 1024:
-            found, sims = graph.search(fast[todo], width)
-            # a beam that links fill by a third may have missed some of a crowd
-            full = ((sims >= near).sum(1) * 3 >= width) & (width < len(rows))
-            q, c = np.nonzero((sims >= near) & ~full[:, None])
-            pairs.append((todo[q], found[q, c]))
-            todo, width = todo[full], width * 4
-        else:
-            for start in range(0, len(todo), 256):
-                part = todo[start : start + 256]
-                q, r = np.nonzero(fast[part] @ graph.vectors.T >= near)
-                pairs.append((part[q], r))
-            break
-    q, r = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-    sure = np.concatenate([np.einsum("nd,nd->n", queries[q[s : s + 65536]], rows[r[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.empty(0)])
-    # a tie at the threshold isn't lost to the last bit of a product of unit vectors
-    keep = sure >= least - 1e-12
-    return q[keep], r[keep]
+    yield from searched(np.arange(len(queries)), width)
 
 
 def near_duplicates(
@@ -141,12 +152,16 @@ def near_duplicates(
             return pd.DataFrame({c: np.empty(0, np.int64) for c in "abn"})
         x, y = _units(rows["vec"]), _units(queries["vec"])
         row_ids, query_ids, copies = rows["id"].to_numpy(), queries["id"].to_numpy(), rows["copies"].to_numpy()
-        q, r = linked(Graph(x.astype(np.float32)), x, y, least, width, audit, target)
-        other = query_ids[q] != row_ids[r]
-        q, r = q[other], r[other]
-        counts = np.bincount(q, weights=copies[r], minlength=len(y)).astype(np.int64)
+        nodes, ends = np.unique(np.concatenate([row_ids, query_ids]), return_inverse=True)
+        row_ends, query_ends = ends[: len(x)], ends[len(x) :]
+        place = np.full(len(nodes), -1)
+        place[row_ends] = np.arange(len(x))
+        counts, tree = np.zeros(len(y), np.int64), Forest(len(nodes))
+        for q, r in linked(Graph(x.astype(np.float32)), x, y, place[query_ends], least, width, audit, target):
+            np.add.at(counts, q, copies[r])
+            tree.join(query_ends[q], row_ends[r])
         some = np.flatnonzero(counts)
-        low, high = forest(query_ids[q], row_ids[r])
+        low, high = (nodes[e] for e in tree.edges())
         return pd.DataFrame(
             {
                 "a": np.concatenate([query_ids[some], low]),

@@ -91,6 +91,29 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.n_links, r.component_id) for r in vectors.near_duplicates(twice).collect()) == [(0, 1), (2, 1), (2, 1), (2, 1)]
 
 
+def found_by(graph, x, y, own, width=16):
+    parts = list(vectors.linked(graph, x, y, own, 0.9, width, 96, 0.99))
+    return {(int(a), int(b)) for q, r in parts for a, b in zip(q, r, strict=True)}, parts
+
+
+def unit_rows(rng, n, dim=16):
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_crowd_comes_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(vectors, "SCAN_PAIRS", 60_000)
+    rng = np.random.default_rng(4)
+    x = unit_rows(rng, 3000)
+    x[:1500] = x[0] + 0.01 * rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got, parts = found_by(Graph(x.astype(np.float32)), x, x, np.arange(3000))
+    want = x @ x.T >= 0.9
+    np.fill_diagonal(want, False)
+    assert got == set(zip(*(k.tolist() for k in np.nonzero(want)), strict=True)) and len(got) > 2_000_000
+    assert max(len(q) for q, _ in parts) <= 256 * 1024 // 3 and sum(len(q) for q, _ in parts) == len(got)
+
+
 def test_top_k_equals_brute_force(spark):
     x = planted(5, 500)
     x[300:330] = x[20]
