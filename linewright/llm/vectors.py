@@ -19,8 +19,9 @@ from linewright.llm.hnsw import Graph
 SHARD_ROWS, QUERY_ROWS = 100_000, 100_000
 #: Least number of shards, so that a small table keeps several tasks busy.
 LEAST_SHARDS = 8
-#: Products held at once where queries meet every row.
-SCAN_PAIRS = 1 << 22
+#: Queries with links to other vectors by which a shard's beam is judged, at least; products
+#: held at once where queries meet every row.
+LEAST_LINKED, SCAN_PAIRS = 200, 1 << 22
 
 
 def packed_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float | None = None) -> DataFrame:
@@ -72,10 +73,13 @@ def _dealt(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, sha
 def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, width: int, audit: int, target: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, row) places of the pairs found with cosine >= least, a bounded number at a time.
 
-    own: the row that is the query itself, or -1; it is no link. The beam starts at `width` and
-    doubles while an audit of up to `audit` evenly spaced queries against all rows finds less
-    than `target` of their links. A query whose beam is links to a third searches again with a
-    beam four times as wide, and beyond 1,024 against every row. All pairs are verified in double precision.
+    own: the row that is the query itself, or -1; it is no link and no evidence. Queries drawn
+    at random, `audit` and one of 200 at least, meet every row until LEAST_LINKED of them have
+    links. The beam starts at `width` and doubles until the search of those finds `target` of
+    a query's links on average; then it serves the others. Where half of the queries were drawn
+    and those with links are still too few to judge by, the others meet every row as well. A query whose
+    beam is links to a third searches again with a beam four times as wide, and beyond 1,024
+    against every row. All pairs are verified in double precision.
     """
     fast = queries.astype(np.float32)
     near = np.float32(least - 1e-4)
@@ -107,16 +111,27 @@ def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray,
             places, width = np.concatenate(again), width * 4
         yield from scanned(places)
 
-    probe = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    true = fast[probe] @ graph.vectors.T >= near
-    while True:
-        found, sims = graph.search(fast[probe], width)
-        hit = (np.take_along_axis(true, np.maximum(found, 0), 1) & (found >= 0)).sum()
-        room = np.minimum(true.sum(1), width).sum()  # wider beams follow for the rest
-        if hit >= target * room or width >= len(rows):
+    order = np.random.default_rng(3).permutation(len(queries))
+    drawn, enough = 0, max(audit, len(queries) // 200)
+    true = np.zeros(len(queries), np.int64)
+    while drawn < len(order) and (drawn < enough or ((true > 0).sum() < LEAST_LINKED and drawn * 2 < len(order))):
+        part = order[drawn : drawn + slice_]
+        drawn += len(part)
+        for q, r in scanned(part):
+            np.add.at(true, q, 1)
+            yield q, r
+    rest, some = order[drawn:], np.flatnonzero(true)
+    if len(some) < LEAST_LINKED:
+        yield from scanned(rest)
+        return
+    while len(rest) and width <= 1024:
+        hit = np.zeros(len(queries), np.int64)
+        for q, _ in searched(some, width):
+            np.add.at(hit, q, 1)
+        if (hit[some] / true[some]).mean() >= target:
             break
         width *= 2
-    yield from searched(np.arange(len(queries)), width)
+    yield from searched(rest, width)
 
 
 def near_duplicates(

@@ -114,6 +114,29 @@ def test_crowd_comes_in_bounded_parts(monkeypatch):
     assert max(len(q) for q, _ in parts) <= 256 * 1024 // 3 and sum(len(q) for q, _ in parts) == len(got)
 
 
+@pytest.mark.parametrize("pairs", [3, 700])
+def test_audit_needs_evidence(pairs):
+    """A search that finds nothing but the query itself can't pass, with few links or many."""
+
+    class Blind(Graph):
+        def search(self, queries, width, block=256):
+            sims = queries @ self.vectors.T
+            found = sims.argmax(1)[:, None]
+            best = np.take_along_axis(sims, found, 1)
+            same = best > 0.99999
+            return np.where(same, found, -1), np.where(same, best, np.float32(-2))
+
+    rng = np.random.default_rng(6)
+    x = unit_rows(rng, 2000)
+    x[1000 : 1000 + pairs] = x[:pairs] + 0.02 * rng.normal(size=(pairs, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for rows, own in ((x, np.arange(2000)), (x[:1000], np.where(np.arange(2000) < 1000, np.arange(2000), -1))):
+        want = x @ rows.T >= 0.9
+        want[own >= 0, own[own >= 0]] = False
+        got, _ = found_by(Blind(rows.astype(np.float32)), rows, x, own)
+        assert got == set(zip(*(k.tolist() for k in np.nonzero(want)), strict=True)) and len(got) >= pairs
+
+
 def test_top_k_equals_brute_force(spark):
     x = planted(5, 500)
     x[300:330] = x[20]
