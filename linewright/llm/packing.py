@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from linewright.llm.common import cut, fresh, release, resident, small_batches,
 #: of 8,000 pieces' bins about 0.1 % stay open.
 GROUP_PIECES = 8_192
 
+#: Runs of white space that are encoded on their own where the whole text is too much for the pattern.
+_RUN = regex.compile(r"\p{White_Space}{1024,}+")
+
 
 def encoder(tokenizer: str, ranks: str):
     """The byte-level vocabulary as a tiktoken encoding, which gives the same ids as the
@@ -38,6 +42,26 @@ def encoder(tokenizer: str, ranks: str):
     return resident(("packing", tokenizer, ranks), make)
 
 
+def token_ids(encode, text: str) -> np.ndarray:
+    """The ids of a text, special strings in it included.
+
+    The pattern backtracks over a run of white space, too far in a very long one. Such a run is
+    one piece but for its last character, which belongs to what follows (not where the text or
+    a special string's neighbour ends there), so it can be encoded apart.
+    """
+    try:
+        return encode.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        out, done = [], 0
+        for run in _RUN.finditer(text):
+            stop = run.end()
+            if stop < len(text) and not any(text.startswith(s, stop) for s in encode.special_tokens_set):
+                stop -= 1
+            out += [encode.encode_to_numpy(text[done : run.start()], allowed_special="all"), np.array(encode._encode_single_piece(text[run.start() : stop]), "<u4")]
+            done = stop
+        return np.concatenate([*out, encode.encode_to_numpy(text[done:], allowed_special="all")])
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids on request).
 
@@ -52,7 +76,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = 2, c
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []))}
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encode.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(token_ids(encode, text or ""), end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
