@@ -20,10 +20,12 @@ from pyspark.sql.window import Window
 
 from linewright.llm.common import crc_mod, fresh, resident, small_batches, tidy, unit_hash
 
-#: Labelled text kept for each language: this many characters, of at most SAMPLE_ROWS rows.
-MODEL_CHARS, SAMPLE_ROWS = 32_000, 64
-#: Symbols of the automata: the letters seen most often in the labelled text; 0 is any other.
-SYMBOLS = 63
+#: Labelled text kept for each language: this many characters, of at most SAMPLE_ROWS rows,
+#: PIECE_CHARS of each before any gives more.
+MODEL_CHARS, SAMPLE_ROWS, PIECE_CHARS = 32_000, 64, 4_000
+#: Automata are tables of states and symbols as long as those of a worker take no more bytes
+#: than this; the others are lists of steps, which are slower and find the same.
+TABLE_BYTES = 64 << 20
 #: Documents are parsed in windows of this many symbols, side by side; a phrase ends there.
 WINDOW = 256
 #: Windows parsed at once.
@@ -38,80 +40,98 @@ def letters_of(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-class SuffixAutomaton:
-    """steps[state, symbol] is the next state, or 0 (the empty match) where none is."""
-
-    def __init__(self, symbols: np.ndarray, alphabet: int):
-        most = 2 * len(symbols) + 2  # an automaton has fewer states than that
-        steps = np.zeros((most, alphabet), np.uint16 if most < 1 << 16 else np.int32)
-        go = memoryview(steps.reshape(-1))
-        link, length = [-1], [0]
-
-        def twin(p: int, c: int) -> int:
-            """The state after p by c whose longest match is just one longer than p's."""
-            q = go[p * alphabet + c]
-            if length[q] == length[p] + 1:
-                return q
-            made = len(length)
-            steps[made] = steps[q]
-            length.append(length[p] + 1)
-            link.append(link[q])
-            link[q] = made
-            while p >= 0 and go[p * alphabet + c] == q:
-                go[p * alphabet + c] = made
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The next state by symbol for each state; symbol 0 is no part of any match."""
+    steps: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+
+    def twin(p: int, c: int) -> int:
+        """The state after p by c whose longest match is just one longer than p's."""
+        q = steps[p][c]
+        if length[q] == length[p] + 1:
+            return q
+        made = len(steps)
+        steps.append(steps[q].copy())
+        length.append(length[p] + 1)
+        link.append(link[q])
+        link[q] = made
+        while p >= 0 and steps[p].get(c) == q:
+            steps[p][c] = made
+            p = link[p]
+        return made
+
+    last = 0
+    for c in symbols.tolist():
+        if c == 0:
+            last = 0  # no phrase goes across a text's end
+        elif c in steps[last]:
+            last = twin(last, c)
+        else:
+            made = len(steps)
+            steps.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in steps[p]:
+                steps[p][c] = made
                 p = link[p]
-            return made
-
-        last = 0
-        for c in symbols.tolist():
-            if c == 0:
-                last = 0  # no phrase goes across an unknown symbol or a text's end
-            elif go[last * alphabet + c]:
-                last = twin(last, c)
-            else:
-                made = len(length)
-                length.append(length[last] + 1)
-                link.append(0)
-                p = last
-                while p >= 0 and not go[p * alphabet + c]:
-                    go[p * alphabet + c] = made
-                    p = link[p]
-                link[made] = twin(p, c) if p >= 0 else 0
-                last = made
-        self.steps = steps[: len(length)].copy()
+            link[made] = twin(p, c) if p >= 0 else 0
+            last = made
+    return steps
+
+
+class Automaton:
+    """A language's suffix automaton over the letters of its own text, each a symbol from 1;
+    0 is any other. after() gives the next states, 0 (the empty match) where there is none."""
+
+    def __init__(self, texts: list[str], shared: dict[str, int], table_bytes: int):
+        letters = sorted({c for t in texts for c in t})
+        self.symbol_of = np.zeros(len(shared) + 1, np.uint16 if len(letters) < 1 << 16 else np.int32)
+        own = {c: k for k, c in enumerate(letters, 1)}
+        for c, k in own.items():
+            self.symbol_of[shared[c]] = k
+        self.size = len(letters) + 1
+        steps = suffix_automaton(np.array([k for t in texts for k in (*map(own.__getitem__, t), 0)], np.int64))
+        state = np.repeat(np.arange(len(steps)), list(map(len, steps)))
+        keys = state * self.size + np.array([c for s in steps for c in s], np.int64)
+        goes = np.array([g for s in steps for g in s.values()], np.int64)
+        kind = np.uint16 if len(steps) < 1 << 16 else np.int32
+        self.bytes = len(steps) * self.size * np.dtype(kind).itemsize
+        if self.bytes <= table_bytes:
+            self.table = np.zeros(len(steps) * self.size, kind)
+            self.table[keys] = goes
+        else:
+            order = np.argsort(keys)
+            self.table, self.keys, self.goes, self.bytes = None, np.append(keys[order], -1), np.append(goes[order], 0), 0
+
+    def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        wanted = state * self.size + symbol
+        if self.table is not None:
+            return self.table[wanted]
+        at = np.searchsorted(self.keys[:-1], wanted)
+        return np.where(self.keys[at] == wanted, self.goes[at], 0)
 
 
 class Model:
-    """The automata of all languages, over one alphabet."""
+    """The automata of all languages."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], table_bytes: int = TABLE_BYTES):
         self.languages = sorted(texts)
-        counts: dict[str, int] = {}
-        for parts in texts.values():
-            total = sum(map(len, parts)) or 1
-            for part in parts:
-                for c in part:
-                    counts[c] = counts.get(c, 0) + 1_000_000 // total + 1
-        ranked = sorted(counts, key=lambda c: (-counts[c], c))[:SYMBOLS]
-        self.table = np.zeros(0x110000, np.uint8)
-        for k, c in enumerate(ranked):
-            self.table[ord(c)] = k + 1
-        alphabet = len(ranked) + 1
+        shared = {c: k for k, c in enumerate(sorted({c for parts in texts.values() for t in parts for c in t}), 1)}
+        # letters by number, 0 being one that no language has
+        self.number = np.zeros(0x110000, np.uint16 if len(shared) < 1 << 16 else np.int32)
+        self.number[[ord(c) for c in shared]] = list(shared.values())
         self.automata = []
         for name in self.languages:
-            joined = np.concatenate([np.append(self.symbols(t), 0).astype(np.uint8) for t in texts[name]] or [np.zeros(0, np.uint8)])
-            self.automata.append(SuffixAutomaton(joined, alphabet).steps)
-        self.alphabet = alphabet
-
-    def symbols(self, text: str) -> np.ndarray:
-        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            self.automata.append(Automaton(texts[name], shared, table_bytes))
+            table_bytes -= self.automata[-1].bytes
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns), per symbol."""
-        coded = [self.symbols(t) for t in texts]
+        """Phrases of each text (rows) in each language (columns), per letter."""
+        coded = [self.number[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for t in texts]
         sizes = np.array([len(c) for c in coded])
         windows = -(-sizes // WINDOW)
-        padded = np.zeros((int(windows.sum()), WINDOW), np.uint8)
+        padded = np.zeros((int(windows.sum()), WINDOW), self.number.dtype)
         flat = padded.reshape(-1)
         first = np.concatenate([[0], np.cumsum(windows)[:-1]]).astype(int)
         for at, c in zip(first, coded, strict=True):
@@ -124,19 +144,20 @@ class Model:
             lanes = order[start : start + LANES]
             columns = np.ascontiguousarray(padded[lanes].T)
             ends = np.searchsorted(-lengths[lanes], -np.arange(WINDOW), side="left")  # lanes longer than t
-            for k, steps in enumerate(self.automata):
-                flat_steps, state = steps.reshape(-1), np.zeros(len(lanes), np.int64)
-                count = np.zeros(len(lanes), np.int32)
+            for k, automaton in enumerate(self.automata):
+                begins = automaton.after(np.zeros(automaton.size, np.int64), np.arange(automaton.size))
+                state, count = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int32)
                 for t in range(WINDOW):
                     n = ends[t]
                     if not n:
                         break
-                    c = columns[t, :n]
-                    to = flat_steps[state[:n] * self.alphabet + c]
+                    c = automaton.symbol_of[columns[t, :n]]
+                    to = automaton.after(state[:n], c)
                     stuck = to == 0
-                    # a phrase ends; the next begins with this symbol, or skips an unknown one
-                    count[:n] += stuck
-                    state[:n] = np.where(stuck, steps[0][c], to)
+                    # a phrase begins here; an unknown symbol, which has to be spelled out, counts as two
+                    count[:n] += stuck | (state[:n] == 0)
+                    count[:n] += c == 0
+                    state[:n] = np.where(stuck, begins[c], to)
                 out[:, k] += np.bincount(owner[lanes], weights=count, minlength=len(texts))
         return out / np.maximum(sizes, 1)[:, None]
 
@@ -144,23 +165,27 @@ class Model:
 def labelled_texts(docs: DataFrame, known: Column, model_chars: int = MODEL_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """A seeded, bounded sample of labelled text for each language.
 
-    Of the rows with a language where `known` holds, each language's first in a hash order:
-    at most `rows` of them, whole, until model_chars characters are there. Rows are thinned
-    by the languages' counts first, so that no task sorts a language whole.
+    Of the rows with a language where `known` holds, each language's first in a hash order,
+    at most `rows` of them: PIECE_CHARS characters of each, then as many more and so on, until
+    model_chars are there. Rows are thinned by the languages' counts first, so that no task
+    sorts a language whole.
     """
-    labelled = docs.where(known & F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= model_chars))
-    labelled = labelled.select("lang", "text", unit_hash(F.col("doc_id"), 4).alias("h"))
+    labelled = docs.where(known & F.col("lang").isNotNull() & (F.length("text") > 0))
+    labelled = labelled.select("lang", F.left("text", F.lit(2 * model_chars)).alias("text"), unit_hash(F.col("doc_id"), 4).alias("h"))
     counts = labelled.groupBy("lang").count()
     span = F.lit(2.0**64)
-    thin = labelled.join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / span + 0.5) * F.col("count") <= 8.0 * rows)
+    thin = labelled.join(counts, "lang").where((F.col("h").cast("double") / span + 0.5) * F.col("count") <= 8.0 * rows)
     order = Window.partitionBy("lang").orderBy("h", "text")
     first = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("lang", "k", "text").collect()
     texts: dict[str, list[str]] = {}
-    for row in sorted(first, key=lambda r: (r.lang, r.k)):
-        had = texts.setdefault(row.lang, [])
-        text = letters_of(row.text)
-        if sum(map(len, had)) + len(text) + len(had) < model_chars:
-            had.append(text)
+    rest = [(r.lang, letters_of(r.text)) for r in sorted(first, key=lambda r: (r.lang, r.k))]
+    while rest:
+        for lang, text in rest:
+            had = texts.setdefault(lang, [])
+            room = model_chars - sum(map(len, had))
+            if text and room > 0:
+                had.append(text[: min(room, PIECE_CHARS)])
+        rest = [(lang, text[PIECE_CHARS:]) for lang, text in rest if len(text) > PIECE_CHARS]
     return texts
 
 
@@ -182,7 +207,8 @@ def predictor(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             yield pd.concat([_predicted(part, model) for _, part in batch.groupby(block, sort=False)] or [_predicted(batch, model)])
 
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(predict, "lang_pred string, score double")
+    # a filter on the prediction doesn't make it twice
+    return F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()
 
 
 def held_out_default(id_col: str = "doc_id") -> Column:

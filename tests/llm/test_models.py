@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from linewright.llm import language_id, mixing, quality, toxicity, url_filter
 from linewright.llm.queries import RULES
 
@@ -19,13 +21,13 @@ def test_automaton_knows_every_substring():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 4, 300).astype(np.uint8)
     text[[90, 91, 200]] = 0
-    steps = language_id.SuffixAutomaton(text, 4).steps
+    steps = language_id.suffix_automaton(text)
     parts = bytes(text.tolist())
     pieces = {parts[a:b] for a in range(300) for b in range(a + 1, min(a + 9, 301)) if 0 not in parts[a:b]}
     for piece in pieces | {bytes(rng.integers(1, 4, 8).tolist()) for _ in range(300)}:
         state, alive = 0, True
         for c in piece:
-            state = int(steps[state, c])
+            state = steps[state].get(c, 0)
             alive = alive and state != 0
             if not alive:
                 break
@@ -45,13 +47,36 @@ def test_phrases_are_greedy_longest_matches():
                 window, phrase = clean[start : start + language_id.WINDOW], ""
                 for c in window:
                     if any(phrase + c in k for k in known):
+                        count += not phrase
                         phrase += c
                     else:
-                        count += 1
                         phrase = c if any(c in k for k in known) else ""
+                        count += 1 if phrase else 2
             assert got[column] == pytest.approx(count / len(clean))
 
 
+def test_tables_and_lists_of_steps_find_the_same():
+    texts = {k: [language_id.letters_of(speak(k, 200))] for k in TONGUES}
+    asked = [language_id.letters_of(speak(k, 90) + "żó") for k in TONGUES]
+    tables, lists = language_id.Model(texts), language_id.Model(texts, table_bytes=0)
+    assert all(a.table is not None for a in tables.automata) and all(a.table is None for a in lists.automata)
+    assert (tables.phrases(asked) == lists.phrases(asked)).all()
+
+
+def test_many_scripts_and_long_labelled_texts(make_docs):
+    """Every language has its own letters: 30 of disjoint ones, two of 400 ideographs each, and
+    one whose only labelled text is long."""
+    rng = random.Random(8)
+    pools = {f"s{k:02}": [chr(0xAC00 + 30 * k + j) for j in range(30)] for k in range(30)}
+    pools |= {"x1": [chr(0x4E00 + j) for j in range(400)], "x2": [chr(0x4E00 + 200 + j) for j in range(400)]}
+    write = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    rows = [(k * 40 + j, write(pool, 150), lang) for k, (lang, pool) in enumerate(pools.items()) for j in range(12)]
+    rows.append((5001, "lorem ipsum dolor " * 9000, "zz"))
+    asked = [(9000 + k, write(pool, 60), None) for k, pool in enumerate(pools.values())] + [(9900, "dolor lorem", None)]
+    got = {r.doc_id: r for r in language_id.identify(make_docs(*rows, *asked), held_out=F.col("doc_id") >= 9000).collect()}
+    assert [got[k].lang_pred for k, _, _ in asked] == [*pools, "zz"]
+
+
 def test_identify(make_docs):
     rows = [(k, speak(lang), lang) for k, lang in enumerate(list(TONGUES) * 30)]
     odd = [(900, None, "aa"), (901, "", "bb"), (902, "12 !?", "cc"), (903, speak("bb"), None), (903, speak("bb"), None), (None, speak("cc"), "cc"), (904, speak("aa", 30_000), None)]
