@@ -12,11 +12,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, known: Colum
     """(doc_id, text, label) of at most `rows` labelled documents of each class, and the
     numbers of all labelled ones by class.
 
-    Only rows where `known` (an expression over doc_id) holds; labels other than 0 and 1 are
-    none; of several labels of one id the least counts. The sample is the first in a seeded
-    hash order; a threshold on the hash thins the classes before they are sorted.
+    Only ids where `known` (an expression over the id) holds; labels other than 0 and 1 are
+    none; of several labels of one id the least counts, and of several texts the first by
+    order. The sample is the first in a seeded hash order; a threshold on the hash thins the
+    classes before they are sorted.
     """
-    marks = fresh(labels, F.col(id_col).alias("doc_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & known)
+    marks = fresh(labels.where(known), F.col(id_col).alias("doc_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.min("label").cast("int").alias("label")).withColumn("h", unit_hash(F.col("doc_id"), seed))
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     share = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
@@ -27,5 +28,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, known: Colum
     if picked is None:
         picked = marks.limit(0)
     texts = fresh(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # at most 2 * rows ids
-    return texts.join(F.broadcast(picked.select("doc_id", "label")), "doc_id"), counts
+    # at most 2 * rows ids, and one row of each however often an id is there
+    found = texts.join(F.broadcast(picked.select("doc_id", "label")), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), counts
