@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples in TF-IDF space, through a block-max index.
 
-Examples and documents are vectors over the terms (words, and pieces of words) that tell the
-labels apart; each document's k nearest examples by exact cosine vote, weighted by closeness.
-Postings are kept in blocks of examples with each term's largest weight: a block whose bound
-cannot reach the k-th best so far is passed over.
+Examples and documents are TF-IDF vectors over words and pieces of words, in which a term
+weighs the more the better it tells the labels apart; each document's k nearest examples by
+exact cosine vote, weighted by closeness. Postings are kept in blocks of examples with each
+term's largest weight in the block: the postings of a block whose bound cannot reach the k-th
+best so far are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from linewright.llm.common import crc_mod, cut, fresh, small_batches, tidy
 from linewright.llm.labelled import labelled_sample
 from linewright.llm.set_join import shingles
 
-#: Labelled examples of each class, at most; terms kept, at most, by the strength of their
-#: association with the label, and the least strength (log-likelihood ratio).
-EXAMPLES, TERMS, LEAST_RATIO = 3000, 20_000, 24.0
-NEIGHBOURS, BLOCK, PIECE = 16, 64, 5
+#: Labelled examples of each class, at most; terms kept, at most, by their association with
+#: the label (log-likelihood ratio r); a term's weight is scaled by r / (r + HALF_RATIO).
+EXAMPLES, TERMS, HALF_RATIO = 3000, 20_000, 24.0
+NEIGHBOURS, BLOCK, PIECE = 32, 64, 5
+#: Words whose terms a worker remembers; emptied when full, which changes no result.
+MEMO_WORDS = 200_000
 ACCEPT = 0.7
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -45,66 +48,93 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges [first, first + size), one after the other."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Index:
-    """The examples' postings, in blocks of BLOCK examples."""
+    """The examples' postings by term and block. scale: what a term's counts are weighed by."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[dict[int, float]], ids: np.ndarray, labels: np.ndarray, weights: np.ndarray):
+    def __init__(self, vocabulary: list[str], scale: np.ndarray, examples: list[dict[int, int]], ids: np.ndarray, labels: np.ndarray, weights: np.ndarray):
         self.place = {t: k for k, t in enumerate(vocabulary)}
-        self.idf, self.ids, self.labels, self.weights = idf, ids, labels, weights
-        n, blocks = len(examples), -(-len(examples) // BLOCK)
-        term = np.array([t for e in examples for t in e], np.int64)
-        owner = np.repeat(np.arange(n), [len(e) for e in examples])
-        weight = np.array([w for e in examples for w in e.values()])
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        self.highest = np.zeros((len(vocabulary), blocks), np.float32)
-        np.maximum.at(self.highest, (term, owner // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.scale, self.ids, self.labels, self.weights = scale, ids, labels, weights
         self.curve = (0.0, 1.0, 0.0)
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """Unit vector of the counts of index terms."""
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(w * w for w in raw.values())) or 1.0
-        return {t: w / norm for t, w in raw.items()}
-
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
+        self.vectors = [self.vector(np.fromiter(e, np.int64, len(e)), np.fromiter(e.values(), float, len(e))) for e in examples]
+        sizes = [len(v[0]) for v in self.vectors]
+        term = np.concatenate([v[0] for v in self.vectors] or [np.empty(0, np.int64)])
+        owner = np.repeat(np.arange(len(examples), dtype=np.int32), sizes)
+        weight = np.concatenate([v[1] for v in self.vectors] or [np.empty(0)])
+        order = np.lexsort((owner, term))
+        term, self.owner, self.weight = term[order], owner[order], weight[order]
+        # an entry for each term and block: its postings' range and their largest weight
+        self.blocks = -(-len(examples) // BLOCK)
+        key = term * max(self.blocks, 1) + self.owner // BLOCK
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        self.begin, self.size = begins, np.diff(begins, append=len(key))
+        self.block = (self.owner[begins] // BLOCK).astype(np.int32)
+        self.highest = np.nextafter((np.maximum.reduceat(self.weight, begins) if len(begins) else self.weight).astype(np.float32), np.float32(2))
+        self.first = np.searchsorted(term[begins], np.arange(len(vocabulary) + 1))
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.word_first, self.word_terms = [0], []
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "word_first", "word_terms", "vectors")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of length 1."""
+        raw = (1 + np.log(counts)) * self.scale[terms]
+        norm = np.sqrt((raw * raw).sum())
+        return terms, raw / norm if norm else raw
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(index terms, how often each is there) of a text."""
+        if len(self.memo) > MEMO_WORDS:
+            self.forget()
+        words = []
         for word in _WORD.findall((text or "").lower()):
             known = self.memo.get(word)
             if known is None:
-                if len(self.memo) > 100_000:
-                    self.memo.clear()
-                known = self.memo[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-            for term in known:
-                out[term] += 1
-        return out
-
-    def nearest(self, vector: dict[int, float], but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines), best first: the k nearest with a cosine above 0."""
-        if not vector:
-            return np.empty(0, np.int64), np.empty(0)
-        terms, values = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
-        bounds = values @ self.highest[terms]
-        first, spans = self.first[terms], self.first[terms + 1] - self.first[terms]
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-        owner, value = self.owner[at], self.weight[at] * np.repeat(values, spans)
-        block, order = owner // BLOCK, np.argsort(-bounds, kind="stable")
-        sums, done, size = np.zeros(len(self.ids)), 0, 8
+                known = self.memo[word] = len(self.memo)
+                self.word_terms += [self.place[t] for t in terms_of(word) if t in self.place]
+                self.word_first.append(len(self.word_terms))
+            words.append(known)
+        own, often = np.unique(np.array(words, np.int64), return_counts=True)
+        spans = [(self.word_first[w], self.word_first[w + 1]) for w in own.tolist()]
+        found = np.array([t for a, b in spans for t in self.word_terms[a:b]], np.int64)
+        terms, at = np.unique(found, return_inverse=True)
+        return terms, np.bincount(at, weights=np.repeat(often, [b - a for a, b in spans]), minlength=len(terms))
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines), best first: the nearest with a cosine above 0, without some."""
+        first, sizes = self.first[terms], self.first[terms + 1] - self.first[terms]
+        entries, value = _ranges(first, sizes), np.repeat(values, sizes)
+        block = self.block[entries]
+        bounds = np.bincount(block, weights=self.highest[entries] * value, minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        sums, done, step = np.zeros(len(self.ids)), 0, 4
         while done < len(order) and bounds[order[done]] > 0:
             best = np.partition(sums, len(sums) - NEIGHBOURS)[len(sums) - NEIGHBOURS] if done and len(sums) > NEIGHBOURS else 0.0
-            some = order[done : done + size]
+            some = order[done : done + step]
             some = some[(bounds[some] > 0) & (bounds[some] >= best)]
             if not len(some):
                 break
-            open_ = np.zeros(len(bounds), bool)
+            open_ = np.zeros(self.blocks, bool)
             open_[some] = True
-            hit = open_[block]
-            sums += np.bincount(owner[hit], weights=value[hit], minlength=len(sums))
-            done, size = done + size, size * 4
-        if but >= 0:
-            sums[but] = 0
+            read = np.flatnonzero(open_[block])
+            size = self.size[entries[read]]
+            postings = _ranges(self.begin[entries[read]], size)
+            sums += np.bincount(self.owner[postings], weights=self.weight[postings] * np.repeat(value[read], size), minlength=len(sums))
+            if but is not None:
+                sums[but] = 0
+            done, step = done + step, step * 2
         found = np.argsort(-sums, kind="stable")[:NEIGHBOURS]
         found = found[sums[found] > 1e-9]
         return found, np.minimum(sums[found], 1.0)
@@ -132,7 +162,7 @@ class Index:
         self.curve = (float(a), float(max(b, 1e-3)), float(base))
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        found, cosines = self.nearest(self.vector(self.counts(text)))
+        found, cosines = self.nearest(*self.vector(*self.counts(text)))
         a, b, base = self.curve
         score = 1 / (1 + np.exp(-np.clip(a + b * _odds(self.vote(found, cosines)), -40, 40))) if len(found) else base
         return float(score), found, cosines
@@ -144,49 +174,60 @@ def _odds(share):
 
 
 def build_index(docs: DataFrame, labels: DataFrame, known: Column, label: str = "toxic", examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Select terms and index at most `examples` labelled documents of each class."""
+    """Weigh terms and index at most `examples` labelled documents of each class.
+
+    Copies would vouch for the chance words they share: in the terms' association, examples of
+    one label with the same least shingle, as copies and near copies mostly have, count as one
+    together. All of them are indexed.
+    """
     small_batches(docs)
     sample, totals = labelled_sample(docs, labels, label, known, examples, 6, id_col, text_col)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(mark=[int(t.min() >> np.uint64(1)) if len(t) else -1 for t in map(shingles, batch["text"])])
+            yield batch.assign(mark=[int(t.min() >> np.uint64(1)) if len(t) else None for t in map(shingles, batch["text"])]).astype({"mark": "Int64"})
 
-    # copies would vouch for the chance words they share: of examples with the same least
-    # shingle, as copies and near copies mostly have, the first stays
-    first = F.row_number().over(Window.partitionBy("label", "mark").orderBy("doc_id", "text"))
-    sample = cut(sample.mapInPandas(mark, "doc_id long, text string, label int, mark long").withColumn("_k", first).where("_k = 1").select("doc_id", "text", "label"))
-    size = {0: 0, 1: 0} | {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    alike = Window.partitionBy("label", "mark")
+    share = F.when(F.col("mark").isNull(), 1.0).otherwise(1.0 / F.count("*").over(alike))
+    sample = cut(sample.mapInPandas(mark, "doc_id long, text string, label int, mark long").withColumn("share", share))
+    sums = {r.label: r for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.sum("share").alias("share")).collect()}
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = [(t, y) for text, y in zip(batch["text"], batch["label"], strict=True) for t in term_counts(text)]
-            yield pd.DataFrame(seen, columns=["term", "label"])
+            seen = [(t, y, s) for text, y, s in zip(batch["text"], batch["label"], batch["share"], strict=True) for t in term_counts(text)]
+            yield pd.DataFrame(seen, columns=["term", "label", "share"])
 
-    frequency = sample.mapInPandas(spread, "term string, label int").groupBy("term").agg(F.sum((F.col("label") == 1).cast("long")).alias("a"), F.sum((F.col("label") == 0).cast("long")).alias("b"))
-    n1, n0 = max(size[1], 1), max(size[0], 1)
-    total = float(n1 + n0)
+    n1, n0 = (max(sums[y].share, 1.0) if y in sums else 1.0 for y in (1, 0))
+    of = lambda y: F.sum(F.when(F.col("label") == y, F.col("share")).otherwise(0.0))
+    frequency = sample.mapInPandas(spread, "term string, label int, share double").groupBy("term").agg(F.least(of(1), F.lit(n1)).alias("a"), F.least(of(0), F.lit(n0)).alias("b"))
+    total = n1 + n0
     seen = F.col("a") + F.col("b")
     part = lambda got, want: F.when(got > 0, got * F.log(got / want)).otherwise(0.0)
     ratio = 2 * (part(F.col("a"), seen * n1 / total) + part(F.col("b"), seen * n0 / total) + part(n1 - F.col("a"), (total - seen) * n1 / total) + part(n0 - F.col("b"), (total - seen) * n0 / total))
-    chosen = frequency.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
+    # rounded, so that the order of the sums doesn't matter
+    chosen = frequency.withColumn("ratio", F.round(F.greatest(ratio, F.lit(0.0)), 6)).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
     vocabulary = [r.term for r in chosen]
-    idf = np.array([np.log((total + 1) / (r.a + r.b + 0.5)) for r in chosen])
+    scale = np.array([np.log((total + 1) / (r.a + r.b + 0.5)) * max(r.ratio, 1e-6) / (r.ratio + HALF_RATIO) for r in chosen])
     place = {t: k for k, t in enumerate(vocabulary)}
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [{place[t]: n for t, n in term_counts(x).items() if t in place} for x in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [np.array(list(m), np.int64) for m in made], "counts": [np.array(list(m.values()), np.int64) for m in made]})
+            yield batch[["doc_id", "label", "mark"]].assign(terms=[np.array(list(m), np.int32) for m in made], counts=[np.array(list(m.values()), np.int32) for m in made]).astype({"mark": "Int64"})
 
-    rows = sample.mapInPandas(select, "doc_id long, label int, terms array<long>, counts array<long>").orderBy("doc_id", "terms", "counts").collect()
+    # examples of one label and heaviest term are neighbours, so that few blocks hold what is alike
+    lead = F.coalesce(F.array_min("terms"), F.lit(-1))
+    rows = sample.mapInPandas(select, "doc_id long, label int, mark long, terms array<int>, counts array<int>").orderBy("label", lead, "doc_id", "terms", "counts").collect()
     targets = np.array([r.label for r in rows], float)
-    weights = np.where(targets == 1, totals.get(1, 0) / n1, totals.get(0, 0) / n0)
-    index = Index(vocabulary, idf, [], np.empty(0, np.int64), targets, weights)
-    vectors = [index.vector(Counter(dict(zip(r.terms, r.counts, strict=True)))) for r in rows]
-    index = Index(vocabulary, idf, vectors, np.array([r.doc_id for r in rows], np.int64), targets, weights)
+    share = {y: totals.get(y, 0) / max(sums[y].n, 1) if y in sums else 0.0 for y in (0, 1)}
+    weights = np.where(targets == 1, share[1], share[0])
+    index = Index(vocabulary, scale, [dict(zip(r.terms, r.counts, strict=True)) for r in rows], np.array([r.doc_id for r in rows], np.int64), targets, weights)
     if len(rows):
-        found = [index.nearest(v, but=k) for k, v in enumerate(vectors)]
+        same: dict[int | None, list[int]] = {}
+        for k, r in enumerate(rows):
+            same.setdefault(r.mark, []).append(k)
+        # an example is judged without itself and its copies
+        found = [index.nearest(*v, but=np.array(same[r.mark] if r.mark is not None else [k])) for k, (v, r) in enumerate(zip(index.vectors, rows, strict=True))]
         index.calibrate(np.array([index.vote(*f) for f in found]), np.array([len(f[0]) > 0 for f in found]), targets, weights)
     return index
 
@@ -198,15 +239,16 @@ def held_out_default(id_col: str = "doc_id") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each text's toxicity: id, held_out, score, predicted, evidence.
 
-    Learns from the labels of ids that aren't held out (crc32 of the id modulo 3 is 1 by
-    default); only the text is an input. predicted is 1 from a score of 0.7. evidence lists
+    Learns from the labels of ids that aren't held out (held_out is an expression over the
+    id; by default crc32 of the id modulo 3 is 1); only the text is an input. predicted is 1
+    from a score of 0.7. evidence lists
     the three nearest examples (doc_id, cosine, label). A null text counts as empty; a text
     without an index term has no evidence and the rate of label 1 among such examples as its
     score. Repeated rows score alike; without labels every score is 0; an empty table gives
     no rows.
     """
     held_out = held_out_default(id_col) if held_out is None else held_out
-    index = build_index(docs, labels, ~held_out_default() if id_col == "doc_id" else ~held_out, examples=examples, id_col=id_col, text_col=text_col)
+    index = build_index(docs, labels, ~held_out, examples=examples, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples and TERMS
 
     @tidy

@@ -151,17 +151,49 @@ def test_toxicity(make_docs, make_labels):
 
 def test_block_max_is_exact():
     rng = np.random.default_rng(5)
-    index = toxicity.Index([f"t{k}" for k in range(60)], np.ones(60), [], np.empty(0, int), np.zeros(0), np.zeros(0))
-    vectors = []
-    for _ in range(700):
-        terms = rng.choice(60, rng.integers(0, 6), replace=False)
-        vectors.append(index.vector({int(t): int(rng.integers(1, 9)) for t in terms}))
-    index = toxicity.Index([f"t{k}" for k in range(60)], np.ones(60), vectors, np.arange(700), np.zeros(700), np.ones(700))
-    for q in vectors[:200]:
-        found, cosines = index.nearest(q)
-        exact = np.array([sum(w * v.get(t, 0) for t, w in q.items()) for v in vectors])
-        best = np.sort(exact[exact > 1e-9])[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose(cosines, np.minimum(best, 1)) and np.allclose(exact[found], cosines)
+    examples = [dict(zip(rng.choice(60, rng.integers(0, 6), replace=False).tolist(), rng.integers(1, 9, 6).tolist())) for _ in range(700)]
+    index = toxicity.Index([f"t{k}" for k in range(60)], rng.random(60) + 0.1, examples, np.arange(700), np.zeros(700), np.ones(700))
+    dense = np.zeros((700, 60))
+    for k, (terms, weights) in enumerate(index.vectors):
+        dense[k, terms] = weights
+    for q in range(200):
+        for but in (None, np.array([q, 3])):
+            found, cosines = index.nearest(*index.vectors[q], but=but)
+            exact = dense @ dense[q]
+            exact[but if but is not None else []] = 0
+            best = np.sort(exact[exact > 1e-9])[::-1][: toxicity.NEIGHBOURS]
+            assert np.allclose(cosines, np.minimum(best, 1)) and np.allclose(exact[found], cosines)
+
+
+def test_blocks_out_of_reach_are_not_read():
+    """Two themes in blocks of their own: a query of one reads no posting of the other's blocks."""
+    examples = [{0: 1 + k % 3, 1: 1} for k in range(640)] + [{1: 1, 2 + k % 7: 3} for k in range(640)]
+    index = toxicity.Index([f"t{k}" for k in range(9)], np.array([1.0, 0.1, *[1.0] * 7]), examples, np.arange(1280), np.zeros(1280), np.ones(1280))
+    index.weight = index.weight.copy()
+    index.weight[index.owner >= 640] = np.nan  # would spoil every sum
+    found, cosines = index.nearest(*index.vectors[0])
+    assert (found < 640).all() and np.isfinite(cosines).all() and len(found) == toxicity.NEIGHBOURS
+
+
+def test_copies_of_an_example_have_cosine_one(make_docs, make_labels):
+    rows = [(k, speak("aa", 30) + (" grossness" if k % 3 == 0 else "")) for k in range(60)]
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(60)]
+    got = toxicity.classify(make_docs(*rows), make_labels(*labels), held_out=F.col("doc_id") >= 50).collect()
+    for r in got:
+        if not r.held_out:
+            assert r.evidence[0].cosine == pytest.approx(1)
+
+
+def test_held_out_labels_are_not_used(make_docs, make_labels):
+    """With all held out nothing is learned; held-out labels make no difference."""
+    rows, labels = good_bad(make_docs, make_labels, 80)
+    docs = make_docs(*rows)
+    labels = [(k, q, int(not q)) for k, q, _ in labels]
+    turned = [(k, 1 - q, 1 - t) if k >= 60 else (k, q, t) for k, q, t in labels]
+    for module in (quality, toxicity):
+        assert len({r.score for r in module.classify(docs, make_labels(*labels), held_out=F.lit(True)).collect()}) == 1
+        scores = [sorted((r.doc_id, r.score) for r in module.classify(docs, make_labels(*y), held_out=F.col("doc_id") >= 60).collect()) for y in (labels, turned)]
+        assert scores[0] == scores[1]
 
 
 def test_quotas():
