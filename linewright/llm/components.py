@@ -39,20 +39,35 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(links.select("lo", "lo").distinct())
 
 
+#: A class of more than this share of all rows is joined by broadcast: there are fewer than
+#: 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-4
+
+
 def named_components(members: DataFrame, classes: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
-    """class_id, n_links, component_id and group for each of members (node and others, which stay).
+    """class_id, n_links, component_id and group for each of members (name and others, which stay).
 
-    classes: (node, rep, copies), rep being the class's least id. links: (a, links) counts a
-    class's linked documents outside it. edges: (a, b) join linked classes. A component is
-    named by the least id in it, which is null if all its ids are; group tells it apart from
-    others in any case.
+    classes: (name, node, rep, copies): what members know a class by, its number, its least id
+    and how many members it has. links: (a, links) counts a class's linked documents outside
+    it. edges: (a, b) join linked classes. A component is named by the least id in it, which
+    is null if all its ids are; group tells it apart from others in any case.
     """
     roots = connected(edges)
-    placed = classes.select("node", "rep", "copies").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
-    names = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("name"))
+    placed = classes.select("name", "node", "rep", "copies").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+    names = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
     about = placed.join(names, "component", "left").join(links, F.col("node") == F.col("a"), "left")
-    about = about.select("node", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "rep").alias("component_id"), F.coalesce("component", "node").alias("group"))
-    return members.join(about, "node").drop("node")
+    about = about.select(
+        "name", "copies", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "node").alias("group"),
+    )
+    about = cut(about)
+    # the members of a large class don't all meet in one task
+    hot = F.col("copies") > max(1000.0, HOT_SHARE * (about.agg(F.sum("copies")).first()[0] or 0))
+    large = about.where(hot).drop("copies")
+    if large.isEmpty():
+        return members.join(about.drop("copies"), "name").drop("name")
+    rest = members.join(F.broadcast(large.select("name")), "name", "left_anti").join(about.where(~hot).drop("copies"), "name")
+    return rest.unionByName(members.join(F.broadcast(large), "name")).drop("name")
 
 
 class Forest:

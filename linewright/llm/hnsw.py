@@ -33,6 +33,31 @@ class Graph:
             self._insert(self.order[done : done + size], done)
             done += size
 
+    def placed(self) -> list[bytes]:
+        """Each node's place among the inserted and its links, from the ground layer up: what
+        restored() needs beside the vectors."""
+        place = np.empty(len(self.order), np.int32)
+        place[self.order] = np.arange(len(self.order))
+        return [np.concatenate([place[n : n + 1], *(layer[n] for layer in self.layers[: self.level[n] + 1])]).tobytes() for n in range(len(place))]
+
+    @classmethod
+    def restored(cls, vectors: np.ndarray, placed: list[bytes], links: int = 12) -> Graph:
+        """The graph of which placed() gave these; vectors in the same order as they."""
+        graph = cls.__new__(cls)
+        graph.vectors, graph.links = vectors, links
+        rows = [np.frombuffer(p, np.int32) for p in placed]
+        graph.level = np.array([(len(r) - 1) // links - 2 for r in rows], int)
+        graph.order = np.argsort([r[0] for r in rows], kind="stable") if rows else np.empty(0, int)
+        graph.layers = []
+        for k in range(int(graph.level.max(initial=0)) + 1):
+            wide, begin = (2 * links, 1) if k == 0 else (links, 1 + links * (k + 1))
+            layer = np.full((len(rows), wide), -1, np.int32)
+            here = np.flatnonzero(graph.level >= k)
+            if len(here):
+                layer[here] = np.stack([rows[n][begin : begin + wide] for n in here])
+            graph.layers.append(layer)
+        return graph
+
     def _search(self, queries: np.ndarray, found: np.ndarray, sims: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search from the given entries; -1 where a beam isn't full."""
         links = self.layers[layer]

@@ -126,25 +126,25 @@ def _first_keys(sketch: np.ndarray, runs: int) -> np.ndarray:
     return np.concatenate(out, 1).astype(np.int64)
 
 
-def _name(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _name(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, n, sketch): a 64-bit name of the shingle set (null if empty), its size, its minhashes."""
+    """(doc_id, text_key, name, n, sketch): a 128-bit name of the shingle set (null if empty), its size, its minhashes."""
 
     @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, n, rows = [], [], []
+            names, n, rows = [], [], []
             for text in batch.column("text"):
                 tokens = shingles(text.as_py())
                 n.append(len(tokens))
-                nodes.append(_name(tokens) if len(tokens) else None)
+                names.append(_name(tokens) if len(tokens) else None)
                 rows.append(minhashes(tokens).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "text_key", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "text_key", "name", "n", "sketch"])
 
-    return docs.mapInArrow(sketch, "doc_id long, text_key long, node long, n long, sketch binary")
+    return docs.mapInArrow(sketch, "doc_id long, text_key long, name binary, n long, sketch binary")
 
 
 def _buckets(classes: DataFrame, runs: int, split_rounds: int) -> DataFrame:
@@ -259,22 +259,24 @@ def grouped_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
     base = fresh(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(_sketched(base.withColumn("text_key", text_key(F.col("text")))))
     some = sketched.where(F.col("n") > 0)
-    classes = cut(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
+    classes = some.groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    # numbered as they are written: nodes are told apart by names, and numbers are what travels
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     buckets = cut(_pruned(_buckets(classes, runs_for(recall, least), split_rounds)))
     # each compared class's buckets, in order of keys, and its shingles once more from a text of it
     members = buckets.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("key", "size"))).alias("buckets"))
-    members = cut(members.join(classes.select("node", "rep", "copies"), "node"))
+    members = cut(members.join(classes.select("node", "name", "rep", "copies"), "node"))
     picked = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     @tidy
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(t.as_py()) for t in batch.column("text")]
-            right = pa.array([_name(m) == n for m, n in zip(made, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+            right = pa.array([_name(m) == n for m, n in zip(made, batch.column("name").to_pylist(), strict=True)], pa.bool_())
             made = pa.array([m.tobytes() for m in made], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("buckets"), batch.column("copies"), made], ["node", "buckets", "copies", "tokens"]).filter(right)
 
-    sets = base.join(picked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "buckets", "copies", "text")
+    sets = base.join(picked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "name", "buckets", "copies", "text")
     sets = sets.mapInArrow(tokens, "node long, buckets array<struct<key:long,size:long>>, copies long, tokens binary")
     # block b of a bucket of B blocks meets each block: a row goes to B pairs of blocks; the
     # buckets of one block are compared many to a task
@@ -310,6 +312,6 @@ def grouped_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
 
     found = cut(dealt.groupBy("deal", "pair").applyInPandas(brute, "a long, b long, n long"))
     links = found.groupBy("a").agg(F.sum("n").alias("links")).where(F.col("links") > 0)
-    return named_components(some.select("doc_id", "text_key", "node"), classes, links, found.where(F.col("n") == 0).select("a", "b")).unionByName(
+    return named_components(some.select("doc_id", "text_key", "name"), classes, links, found.where(F.col("n") == 0).select("a", "b")).unionByName(
         sketched.where(F.col("n") == 0).select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     )

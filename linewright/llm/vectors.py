@@ -19,9 +19,9 @@ from linewright.llm.hnsw import Graph
 SHARD_ROWS, QUERY_ROWS = 100_000, 100_000
 #: Least number of shards, so that a small table keeps several tasks busy.
 LEAST_SHARDS = 8
-#: Queries with links to other vectors by which a shard's beam is judged, at least; products
-#: held at once where queries meet every row.
-LEAST_LINKED, SCAN_PAIRS = 200, 1 << 22
+#: Queries made at the threshold from a beam of which recall is measured, and products held at
+#: once where queries meet every row.
+PLANTED, SCAN_PAIRS = 256, 1 << 22
 
 
 def packed_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float | None = None) -> DataFrame:
@@ -51,9 +51,12 @@ def _matrix(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
-def _units(column: pd.Series) -> np.ndarray:
-    rows = _matrix(column, "<f8")
-    rows = rows / np.abs(rows).max(1, keepdims=True)  # very large and very small components keep their digits
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows of a largest component near 1, by a power of two, so that no digit is lost."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1]) if len(rows) else rows
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.einsum("nd,nd->n", rows, rows))[:, None]
 
 
@@ -70,25 +73,37 @@ def _dealt(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, sha
     return left.groupBy(keys).cogroup(right.groupBy(keys))
 
 
+def planted(rows: np.ndarray, least: float, most: int = PLANTED, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, rows' places): unit vectors, each in a random direction just inside the cosine
+    `least` of a row drawn at random; the hardest links that there can be, whatever the data hold."""
+    rng = np.random.default_rng(seed)
+    places = rng.permutation(len(rows))[:most]
+    some = rows[places]
+    away = rng.normal(size=some.shape)
+    away -= np.einsum("nd,nd->n", away, some)[:, None] * some
+    away /= np.maximum(np.linalg.norm(away, axis=1), 1e-300)[:, None]
+    cosine = min(1.0, least + 1e-3)
+    return cosine * some + np.sqrt(1 - cosine * cosine) * away, places
+
+
 def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, width: int, audit: int, target: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, row) places of the pairs found with cosine >= least, a bounded number at a time.
 
-    own: the row that is the query itself, or -1; it is no link and no evidence. Queries drawn
-    at random, `audit` and one of 200 at least, meet every row until LEAST_LINKED of them have
-    links. The beam starts at `width` and doubles until the search of those finds `target` of
-    a query's links on average; then it serves the others. Where half of the queries were drawn
-    and those with links are still too few to judge by, the others meet every row as well. A query whose
-    beam is links to a third searches again with a beam four times as wide, and beyond 1,024
-    against every row. All pairs are verified in double precision.
+    rows, queries: scaled, not of length 1. own: the row that is the query itself, or -1; it is
+    no link and no evidence. The beam starts at `width` and doubles until the search finds
+    `target` of the links of two kinds of queries: `audit` drawn at random, which meet every
+    row (their links count if there are any), and those planted at the threshold. A query
+    whose beam is links to a third searches again with a beam four times as wide, and beyond
+    1,024 against every row. All pairs are verified in double precision.
     """
-    fast = queries.astype(np.float32)
+    fast = _units(queries).astype(np.float32)
     near = np.float32(least - 1e-4)
     slice_ = max(1, SCAN_PAIRS // max(1, len(rows)))
+    row_squares, query_squares = np.einsum("nd,nd->n", rows, rows), np.einsum("nd,nd->n", queries, queries)
 
     def verified(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sure = np.concatenate([np.einsum("nd,nd->n", queries[q[s : s + 65536]], rows[r[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.empty(0)])
-        # a tie at the threshold isn't lost to the last bit of a product of unit vectors
-        keep = (sure >= least - 1e-12) & (own[q] != r)
+        dots = np.concatenate([np.einsum("nd,nd->n", queries[q[s : s + 65536]], rows[r[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.empty(0)])
+        keep = (dots / np.sqrt(query_squares[q] * row_squares[r]) >= least) & (own[q] != r)
         return q[keep], r[keep]
 
     def scanned(places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,23 +127,22 @@ def linked(graph: Graph, rows: np.ndarray, queries: np.ndarray, own: np.ndarray,
         yield from scanned(places)
 
     order = np.random.default_rng(3).permutation(len(queries))
-    drawn, enough = 0, max(audit, len(queries) // 200)
+    drawn, rest = order[:audit], order[audit:]
     true = np.zeros(len(queries), np.int64)
-    while drawn < len(order) and (drawn < enough or ((true > 0).sum() < LEAST_LINKED and drawn * 2 < len(order))):
-        part = order[drawn : drawn + slice_]
-        drawn += len(part)
-        for q, r in scanned(part):
-            np.add.at(true, q, 1)
-            yield q, r
-    rest, some = order[drawn:], np.flatnonzero(true)
-    if len(some) < LEAST_LINKED:
-        yield from scanned(rest)
-        return
+    for q, r in scanned(drawn):
+        np.add.at(true, q, 1)
+        yield q, r
+    made, sources = planted(_units(rows), least)
+    made, some = made.astype(np.float32), np.flatnonzero(true)
     while len(rest) and width <= 1024:
-        hit = np.zeros(len(queries), np.int64)
-        for q, _ in searched(some, width):
-            np.add.at(hit, q, 1)
-        if (hit[some] / true[some]).mean() >= target:
+        found = graph.search(made, width)[0]
+        recall = (found == sources[:, None]).any(1).mean()
+        if recall >= target and len(some):
+            hit = np.zeros(len(queries), np.int64)
+            for q, _ in searched(some, width):
+                np.add.at(hit, q, 1)
+            recall = (hit[some] / true[some]).mean()
+        if recall >= target:
             break
         width *= 2
     yield from searched(rest, width)
@@ -147,32 +161,44 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per vector: its id, n_links, component_id, kept.
 
-    Equal vectors are one class, searched once and counted by its size; one graph is built
-    for each shard of classes and every class searches every shard. Each task returns a
-    number of links for each of its queries and a forest that joins what it found linked,
-    not the pairs. A vector that is null, empty, zero, or holds null or non-finite
+    Equal vectors are one class, searched once and counted by its size. One graph is built for
+    each shard of classes and written down, and every class searches every shard. Each task
+    returns a number of links for each of its queries and a forest that joins what it found
+    linked, not the pairs. A vector that is null, empty, zero, or holds null or non-finite
     components links with nothing; vectors of different lengths don't link. Repeated ids
     are vectors of their own that share a component if they link. An empty table gives no rows.
     """
     packed = packed_vectors(df, id_col, vector_col)
     zero = F.expr("translate(hex(vec), '0', '') = ''")
     packed = cut(packed.withColumn("vec", F.when(~zero, F.col("vec"))))
-    valid = packed.where(F.col("vec").isNotNull()).select(F.col("id").alias("doc_id"), "vec", F.xxhash64("vec").alias("node"))
-    classes = cut(valid.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
+    valid = packed.where(F.col("vec").isNotNull()).select(F.col("id").alias("doc_id"), "vec", F.md5("vec").alias("name"))
+    classes = valid.groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     n = classes.count()
     nodes = classes.select(F.col("node").alias("id"), "copies", "vec")
 
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", kind="stable")
+        graph = Graph(_units(_scaled(_matrix(frame["vec"], "<f8"))).astype(np.float32))
+        return frame[["id", "copies", "vec"]].assign(placed=graph.placed())
+
+    shards = max(LEAST_SHARDS, -(-n // shard_rows))
+    shard = F.pmod(F.xxhash64(F.lit(1), "id", "vec"), F.lit(shards)).cast("int")
+    built = cut(nodes.groupBy(F.octet_length("vec").alias("dim"), shard.alias("shard")).applyInPandas(build, "id long, copies long, vec binary, placed binary"))
+
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({c: np.empty(0, np.int64) for c in "abn"})
-        x, y = _units(rows["vec"]), _units(queries["vec"])
+        rows = rows.sort_values("id", kind="stable")
+        x, y = (_scaled(_matrix(f["vec"], "<f8")) for f in (rows, queries))
         row_ids, query_ids, copies = rows["id"].to_numpy(), queries["id"].to_numpy(), rows["copies"].to_numpy()
         nodes, ends = np.unique(np.concatenate([row_ids, query_ids]), return_inverse=True)
         row_ends, query_ends = ends[: len(x)], ends[len(x) :]
         place = np.full(len(nodes), -1)
         place[row_ends] = np.arange(len(x))
         counts, tree = np.zeros(len(y), np.int64), Forest(len(nodes))
-        for q, r in linked(Graph(x.astype(np.float32)), x, y, place[query_ends], least, width, audit, target):
+        graph = Graph.restored(_units(x).astype(np.float32), list(rows["placed"]))
+        for q, r in linked(graph, x, y, place[query_ends], least, width, audit, target):
             np.add.at(counts, q, copies[r])
             tree.join(query_ends[q], row_ends[r])
         some = np.flatnonzero(counts)
@@ -185,9 +211,9 @@ def near_duplicates(
             }
         )
 
-    out = cut(_dealt(nodes, nodes.select("id", "vec"), n, n, shard_rows, query_rows).applyInPandas(search, "a long, b long, n long"))
+    out = cut(_dealt(built, nodes.select("id", "vec"), n, n, shard_rows, query_rows).applyInPandas(search, "a long, b long, n long"))
     counts = out.where(F.col("n") > 0).groupBy("a").agg(F.sum("n").alias("links"))
-    good = named_components(valid.select("doc_id", "node"), classes, counts, out.where(F.col("n") == 0).select("a", "b")).select("doc_id", "n_links", "component_id")
+    good = named_components(valid.select("doc_id", "name"), classes, counts, out.where(F.col("n") == 0).select("a", "b")).select("doc_id", "n_links", "component_id")
     bad = packed.where(F.col("vec").isNull()).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(bad).select(F.col("doc_id").alias(id_col), "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -67,6 +67,29 @@ def test_graph_recall():
     assert all(np.allclose(s[f >= 0], (x[k] @ x[f[f >= 0]].T), atol=1e-5) for k, (f, s) in enumerate(zip(found, sims, strict=True)))
 
 
+def test_graph_comes_back_from_rows():
+    x = planted(8, 700, 12)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = Graph(x)
+    again = Graph.restored(x, graph.placed())
+    assert (again.level == graph.level).all() and (again.order == graph.order).all()
+    assert all((a == b).all() for a, b in zip(graph.layers, again.layers, strict=True))
+    assert all((a == b).all() for a, b in zip(graph.search(x[:50], 16), again.search(x[:50], 16), strict=True))
+
+
+def test_threshold_is_exact(spark):
+    """Cosines of 0.9 as doubles have it link, those below by the last digits don't, and a power
+    of two in front changes nothing."""
+    a, b = [1.0, 0.0], [0.9, float(np.sqrt(1 - 0.81))]
+    below = [0.9 - 1e-13, float(np.sqrt(1 - (0.9 - 1e-13) ** 2))]
+    schema = VECTORS.replace("float", "double")
+    links = lambda *v: [r.n_links for r in vectors.near_duplicates(spark.createDataFrame([(k, x, 0, "", 0) for k, x in enumerate(v)], schema)).orderBy("vec_id").collect()]
+    cosine = lambda u, v: float(np.dot(u, v) / np.sqrt(np.dot(u, u) * np.dot(v, v)))
+    assert links(a, b) == [int(cosine(a, b) >= 0.9)] * 2
+    assert links(a, below) == [0, 0]
+    assert links([x * 2.0**900 for x in a], [x * 2.0**-900 for x in (1.0, 0.1)]) == [1, 1]
+
+
 @pytest.mark.parametrize("width", [2, 24])
 def test_near_duplicates_equal_brute_force(spark, width):
     x = planted()
@@ -217,3 +240,22 @@ def test_set_join_shuffled_texts_and_repeats(make_docs, monkeypatch):
 
 def test_one_path_survives():
     assert set_join.survival() > 0.9 and set_join.runs_for(0.999) >= 3
+
+
+def test_recall_near_the_threshold(make_docs):
+    """Of 500 pairs of a similarity from 0.8 to 0.86 hardly one is missed."""
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    for k in range(500):
+        words = [f"{k}x{rng.randrange(10**6)}" for _ in range(260)]
+        near = list(words)
+        # each changed word changes five of 256 shingles
+        for at in rng.sample(range(5, 250, 6), rng.choice([4, 5])):
+            near[at] = "y" + near[at]
+        a, b = (set(set_join.shingles(" ".join(w)).tolist()) for w in (words, near))
+        similarity = len(a & b) / len(a | b)
+        if 0.8 <= similarity <= 0.86:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+            pairs += 1
+    found = set_join.similar_documents(make_docs(*rows)).where("n_links = 1").count()
+    assert pairs > 300 and found >= 2 * 0.99 * pairs
