@@ -95,3 +95,18 @@ def test_near_duplicates_by_row(spark, make_docs):
     assert len(stays((None, a), (None, a + " tail"), (None, a + " end"), (4, d))) == 2
     # of two near texts of the least id one stays, and repeated rows once; wordless rows link with nothing
     assert len(stays((5, a), (5, a + " tail"), (5, a), (6, a), (7, ""), (7, ""), (None, None), (8, ""))) == 4
+
+
+def test_language_is_predicted_once_a_row(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = corpus_pipeline.identify_language(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_clashing_names(spark, make_docs):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = make_docs((1, text), (2, text), (2, text), (3, "other words than those before")).selectExpr("*", "7 AS __id", "8 AS `row`", "9 AS language", "'x' AS id", "5 AS `key`", "6 AS `__language`")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.join_near_duplicates):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {tuple(r[-6:]) for r in out.collect()} == {(7, 8, 9, "x", 5, 6)}
