@@ -25,9 +25,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Reject documents of no language (null texts and texts without a letter); where `lang`
     is missing, the prediction fills it. Repeated rows are treated alike."""
     predict = language_id.predictor(docs, language_id.held_out_default())
-    judged = docs.withColumn("__language", predict(F.col("text")))
-    lang = F.coalesce("lang", "__language.lang_pred")
-    return judged.where(F.col("__language.lang_pred") != "und").select(*[lang.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    # the row as one field, so that no name of ours meets one of the caller's
+    judged = docs.select(F.struct(*docs.columns).alias("row"), predict(F.col("text")).alias("language")).where("language.lang_pred != 'und'")
+    lang = F.coalesce("row.lang", "language.lang_pred").alias("lang")
+    return judged.select(*[lang if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,17 +45,18 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = cut(set_join.grouped_documents(docs).groupBy("doc_id", "text_key").agg(F.first("group").alias("group"), F.count("*").alias("rows")))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = groups.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("least"))
-    first = first.select(F.col("least.doc_id").alias("__id"), F.col("least.text_key").alias("__key"))
-    same = lambda df: df["doc_id"].eqNullSafe(F.col("__id")) & (df["text_key"] == F.col("__key"))
-    gone = cut(groups.where(F.col("group").isNotNull()).join(first, same(groups), "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    first = first.select(F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key"))
+    same = lambda id_, key: id_.eqNullSafe(F.col("id")) & (key == F.col("key"))
+    gone = cut(groups.where(F.col("group").isNotNull()).join(first, same(groups["doc_id"], groups["text_key"]), "left_anti").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    here = docs["doc_id"].eqNullSafe(F.col("__id")) & (set_join.text_key(docs["text"]) == F.col("__key"))
-    kept = docs.join(gone, here, "left_anti")
-    repeated = cut(groups.where(F.col("rows") > 1).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, here, "left_anti")
-    return once.unionByName(kept.join(repeated, here, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    here = same(F.col("row.doc_id"), set_join.text_key(F.col("row.text")))
+    kept = rows.join(gone, here, "left_anti")
+    repeated = cut(groups.where(F.col("rows") > 1).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, here, "left_semi").groupBy(F.col("row.doc_id").alias("id"), F.col("row.text").alias("text")).agg(F.first("row").alias("row"))
+        kept = kept.join(repeated, here, "left_anti").unionByName(once.select("row"))
+    return kept.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
