@@ -27,6 +27,9 @@ from linewright.llm.set_join import shingles
 #: the label (log-likelihood ratio r); a term's weight is scaled by r / (r + HALF_RATIO).
 EXAMPLES, TERMS, HALF_RATIO = 3000, 20_000, 24.0
 NEIGHBOURS, BLOCK, PIECE = 32, 64, 5
+#: Terms that more than this share of the examples hold have dense postings. Texts scored at
+#: once, blocks read before bounds are compared, and what single precision may be off by.
+HEAVY, BATCH, FIRST_BLOCKS, SLACK = 1 / 32, 250, 8, np.float32(1e-5)
 #: Words whose terms a worker remembers; emptied when full, which changes no result.
 MEMO_WORDS = 200_000
 ACCEPT = 0.7
@@ -54,35 +57,48 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The examples' postings by term and block. scale: what a term's counts are weighed by."""
+    """The examples' postings by term and block, those of terms that many examples hold as dense
+    rows. scale: what a term's counts are weighed by."""
 
     def __init__(self, vocabulary: list[str], scale: np.ndarray, examples: list[dict[int, int]], ids: np.ndarray, labels: np.ndarray, weights: np.ndarray):
         self.place = {t: k for k, t in enumerate(vocabulary)}
         self.scale, self.ids, self.labels, self.weights = scale, ids, labels, weights
         self.curve = (0.0, 1.0, 0.0)
+        n = len(examples)
+        self.blocks = -(-n // BLOCK)
         self.vectors = [self.vector(np.fromiter(e, np.int64, len(e)), np.fromiter(e.values(), float, len(e))) for e in examples]
         sizes = [len(v[0]) for v in self.vectors]
-        term = np.concatenate([v[0] for v in self.vectors] or [np.empty(0, np.int64)])
-        owner = np.repeat(np.arange(len(examples), dtype=np.int32), sizes)
-        weight = np.concatenate([v[1] for v in self.vectors] or [np.empty(0)])
+        # by example, for the exact cosines of what is found
+        self.own_first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.own_term = np.concatenate([v[0] for v in self.vectors] or [np.empty(0, np.int64)]).astype(np.int32)
+        self.own_weight = np.concatenate([v[1] for v in self.vectors] or [np.empty(0)])
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        heavy = np.flatnonzero(np.bincount(self.own_term, minlength=len(vocabulary)) > max(HEAVY * n, 1))
+        self.row = np.full(len(vocabulary), -1, np.int32)
+        self.row[heavy] = np.arange(len(heavy))
+        dense = self.row[self.own_term] >= 0
+        self.dense = np.zeros((self.blocks, len(heavy), BLOCK), np.float32)
+        self.dense[owner[dense] // BLOCK, self.row[self.own_term[dense]], owner[dense] % BLOCK] = self.own_weight[dense]
+        self.dense_highest = np.ascontiguousarray(self.dense.max(2, initial=0).T)
+        term, owner, weight = self.own_term[~dense], owner[~dense], self.own_weight[~dense]
         order = np.lexsort((owner, term))
-        term, self.owner, self.weight = term[order], owner[order], weight[order]
-        # an entry for each term and block: its postings' range and their largest weight
-        self.blocks = -(-len(examples) // BLOCK)
+        term, self.owner, self.weight = term[order].astype(np.int64), owner[order], weight[order].astype(np.float32)
+        # an entry for each other term and block: its postings' range and their largest weight
         key = term * max(self.blocks, 1) + self.owner // BLOCK
-        begins = np.flatnonzero(np.diff(key, prepend=-1))
-        self.begin, self.size = begins, np.diff(begins, append=len(key))
-        self.block = (self.owner[begins] // BLOCK).astype(np.int32)
-        self.highest = np.nextafter((np.maximum.reduceat(self.weight, begins) if len(begins) else self.weight).astype(np.float32), np.float32(2))
-        self.first = np.searchsorted(term[begins], np.arange(len(vocabulary) + 1))
+        self.begin = np.flatnonzero(np.diff(key, prepend=-1))
+        self.size = np.diff(self.begin, append=len(key))
+        self.block = (self.owner[self.begin] // BLOCK).astype(np.int32)
+        self.highest = np.maximum.reduceat(self.weight, self.begin) if len(key) else self.weight
+        self.first = np.searchsorted(term[self.begin], np.arange(len(vocabulary) + 1))
         self.forget()
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.word_first, self.word_terms = [0], []
+        self.word_size: list[int] = []
+        self.word_terms: list[int] = []
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "word_first", "word_terms", "vectors")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "word_size", "word_terms", "vectors")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -94,50 +110,83 @@ class Index:
         norm = np.sqrt((raw * raw).sum())
         return terms, raw / norm if norm else raw
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(index terms, how often each is there) of a text."""
+    def vectors_of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The texts' vectors."""
         if len(self.memo) > MEMO_WORDS:
             self.forget()
-        words = []
-        for word in _WORD.findall((text or "").lower()):
-            known = self.memo.get(word)
-            if known is None:
-                known = self.memo[word] = len(self.memo)
-                self.word_terms += [self.place[t] for t in terms_of(word) if t in self.place]
-                self.word_first.append(len(self.word_terms))
-            words.append(known)
-        own, often = np.unique(np.array(words, np.int64), return_counts=True)
-        spans = [(self.word_first[w], self.word_first[w + 1]) for w in own.tolist()]
-        found = np.array([t for a, b in spans for t in self.word_terms[a:b]], np.int64)
-        terms, at = np.unique(found, return_inverse=True)
-        return terms, np.bincount(at, weights=np.repeat(often, [b - a for a, b in spans]), minlength=len(terms))
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines), best first: the nearest with a cosine above 0, without some."""
-        first, sizes = self.first[terms], self.first[terms + 1] - self.first[terms]
-        entries, value = _ranges(first, sizes), np.repeat(values, sizes)
-        block = self.block[entries]
-        bounds = np.bincount(block, weights=self.highest[entries] * value, minlength=self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        sums, done, step = np.zeros(len(self.ids)), 0, 4
-        while done < len(order) and bounds[order[done]] > 0:
-            best = np.partition(sums, len(sums) - NEIGHBOURS)[len(sums) - NEIGHBOURS] if done and len(sums) > NEIGHBOURS else 0.0
-            some = order[done : done + step]
-            some = some[(bounds[some] > 0) & (bounds[some] >= best)]
-            if not len(some):
-                break
-            open_ = np.zeros(self.blocks, bool)
-            open_[some] = True
-            read = np.flatnonzero(open_[block])
-            size = self.size[entries[read]]
-            postings = _ranges(self.begin[entries[read]], size)
-            sums += np.bincount(self.owner[postings], weights=self.weight[postings] * np.repeat(value[read], size), minlength=len(sums))
-            if but is not None:
-                sums[but] = 0
-            done, step = done + step, step * 2
-        found = np.argsort(-sums, kind="stable")[:NEIGHBOURS]
-        found = found[sums[found] > 1e-9]
-        return found, np.minimum(sums[found], 1.0)
+        words, sizes = [], []
+        for text in texts:
+            found = _WORD.findall((text or "").lower())
+            for word in set(found).difference(self.memo):
+                known = [self.place[t] for t in terms_of(word) if t in self.place]
+                self.memo[word] = len(self.memo)
+                self.word_terms += known
+                self.word_size.append(len(known))
+            words.append(np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found)))
+            sizes.append(len(found))
+        wide = max(len(self.memo), 1)
+        pairs, often = np.unique(np.repeat(np.arange(len(texts)), sizes) * wide + np.concatenate(words or [np.empty(0, np.int64)]), return_counts=True)
+        doc, word = pairs // wide, pairs % wide
+        size = np.array(self.word_size, np.int64)
+        first = np.cumsum(size) - size
+        terms = np.array(self.word_terms, np.int64)[_ranges(first[word], size[word])]
+        keys, at = np.unique(np.repeat(doc, size[word]) * len(self.place) + terms, return_inverse=True)
+        counts = np.bincount(at, weights=np.repeat(often, size[word]), minlength=len(keys))
+        ends = np.searchsorted(keys, np.arange(len(texts) + 1) * len(self.place))
+        return [self.vector(keys[a:b] - k * len(self.place), counts[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (examples, cosines), best first and ties by place: the NEIGHBOURS
+        nearest with a cosine above 0, without those of `but`.
+
+        The blocks of the highest bounds are read first, then those that can still hold one of
+        the nearest. Sums in single precision pick candidates; their cosines are of double.
+        """
+        n, docs = len(self.ids), len(vectors)
+        if not n or not docs:
+            return [(np.empty(0, np.int64), np.empty(0))] * docs
+        doc = np.repeat(np.arange(docs), [len(v[0]) for v in vectors])
+        term, value = (np.concatenate([v[k] for v in vectors]) for k in (0, 1))
+        dense = self.row[term] >= 0
+        asked = np.zeros((docs, self.dense.shape[1]), np.float32)
+        asked[doc[dense], self.row[term[dense]]] = value[dense]
+        doc, term, value = doc[~dense], term[~dense], value[~dense].astype(np.float32)
+        spans = self.first[term + 1] - self.first[term]
+        entry, doc, value = _ranges(self.first[term], spans), np.repeat(doc, spans), np.repeat(value, spans)
+        block = self.block[entry]
+        bounds = asked @ self.dense_highest + np.bincount(doc * self.blocks + block, weights=self.highest[entry] * value, minlength=docs * self.blocks).reshape(docs, -1)
+        sums = np.zeros((docs, self.blocks * BLOCK), np.float32)
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                some = np.flatnonzero(wanted[:, b])
+                sums[some, b * BLOCK : (b + 1) * BLOCK] += asked[some] @ self.dense[b]
+            some = np.flatnonzero(wanted[doc, block])
+            size = self.size[entry[some]]
+            posting = _ranges(self.begin[entry[some]], size)
+            place = np.repeat(doc[some], size) * sums.shape[1] + self.owner[posting]
+            sums.ravel()[:] += np.bincount(place, weights=self.weight[posting] * np.repeat(value[some], size), minlength=sums.size).astype(np.float32)
+            for k, gone in enumerate(but or ()):
+                sums[k, gone] = 0
+
+        least = lambda: np.partition(sums, sums.shape[1] - NEIGHBOURS, axis=1)[:, sums.shape[1] - NEIGHBOURS, None] if sums.shape[1] > NEIGHBOURS else np.zeros((docs, 1), np.float32)
+        head = min(FIRST_BLOCKS, self.blocks)
+        wanted = (bounds >= np.partition(bounds, self.blocks - head, axis=1)[:, self.blocks - head, None]) & (bounds > 0)
+        read(wanted)
+        read(~wanted & (bounds > 0) & (bounds >= least() - SLACK))
+        out, query = [], np.zeros(len(self.place))
+        close = (sums > 0) & (sums >= least() - SLACK)
+        for k, (terms, values) in enumerate(vectors):
+            found = np.flatnonzero(close[k])
+            size = self.own_first[found + 1] - self.own_first[found]
+            query[terms] = values
+            at = _ranges(self.own_first[found], size)
+            cosines = np.add.reduceat(self.own_weight[at] * query[self.own_term[at]], np.cumsum(size) - size) if len(found) else np.empty(0)
+            query[terms] = 0
+            best = np.lexsort((found, -cosines))[:NEIGHBOURS]
+            best = best[cosines[best] > 1e-9]
+            out.append((found[best], np.minimum(cosines[best], 1.0)))
+        return out
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Share of votes for label 1; an example weighs by closeness and by its class's sampling."""
@@ -161,11 +210,15 @@ class Index:
             a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
         self.curve = (float(a), float(max(b, 1e-3)), float(base))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        found, cosines = self.nearest(*self.vector(*self.counts(text)))
+    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, cosines) of each text."""
         a, b, base = self.curve
-        score = 1 / (1 + np.exp(-np.clip(a + b * _odds(self.vote(found, cosines)), -40, 40))) if len(found) else base
-        return float(score), found, cosines
+        out = []
+        for start in range(0, len(texts), BATCH):
+            for found, cosines in self.nearest(self.vectors_of(texts[start : start + BATCH])):
+                score = 1 / (1 + np.exp(-np.clip(a + b * _odds(self.vote(found, cosines)), -40, 40))) if len(found) else base
+                out.append((float(score), found, cosines))
+        return out
 
 
 def _odds(share):
@@ -227,7 +280,8 @@ def build_index(docs: DataFrame, labels: DataFrame, known: Column, label: str =
         for k, r in enumerate(rows):
             same.setdefault(r.mark, []).append(k)
         # an example is judged without itself and its copies
-        found = [index.nearest(*v, but=np.array(same[r.mark] if r.mark is not None else [k])) for k, (v, r) in enumerate(zip(index.vectors, rows, strict=True))]
+        gone = [np.array(same[r.mark] if r.mark is not None else [k]) for k, r in enumerate(rows)]
+        found = [f for k in range(0, len(rows), BATCH) for f in index.nearest(index.vectors[k : k + BATCH], gone[k : k + BATCH])]
         index.calibrate(np.array([index.vote(*f) for f in found]), np.array([len(f[0]) > 0 for f in found]), targets, weights)
     return index
 
@@ -255,7 +309,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
-            made = [index.score(t) for t in batch["text"]]
+            made = index.scores(list(batch["text"]))
             evidence = [[{"doc_id": int(index.ids[f]), "cosine": float(c), "label": int(index.labels[f])} for f, c in zip(m[1][:3], m[2][:3], strict=True)] for m in made]
             yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": [m[0] for m in made], "evidence": evidence})
 
