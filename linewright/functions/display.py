@@ -26,9 +26,25 @@ def display_line(text: Column, stop: int = 0) -> Column:
     return expand_tabs(strip_cr(text), stop)
 
 
+def _located(text: Column, stop: int, known: str, wanted: str, at: Column) -> Column:
+    """Between places in the line (raw) and where they are shown (shown), in one pass over the
+    pieces between tabs: the `wanted` place of the last character whose `known` place is at most
+    `at`, or of the line's end. A place inside a tab is the tab's own."""
+    start = F.struct(F.lit(0).alias("raw"), F.lit(0).alias("shown"), F.lit(0).alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        size = F.length(part)
+        inside = F.greatest(F.least(at.cast("int") - acc[known], size), F.lit(0))
+        found = F.when(acc[known] <= at, acc[wanted] + inside).otherwise(acc["found"])
+        shown = acc["shown"] + size
+        return F.struct((acc["raw"] + size + 1).alias("raw"), (shown + (stop - shown % stop)).alias("shown"), found.alias("found"))
+
+    return F.aggregate(F.split(text, "\t", -1), start, step, lambda acc: acc["found"])
+
+
 def display_column(text: Column, at: Column, stop: int) -> Column:
-    """Where the character at place `at` is shown."""
-    return at if stop <= 0 else F.length(expand_tabs(F.left(text, at), stop))
+    """Where the character at place `at` is shown; places beyond the end are the end."""
+    return at if stop <= 0 else _located(text, stop, "raw", "shown", at)
 
 
 def remap_spans(text: Column, spans: Column, stop: int) -> Column:
@@ -41,11 +57,7 @@ def raw_range(text: Column, start: Column, end: Column, stop: int) -> Column:
     """The line's span for a range of what is shown: each end goes to the last character that
     begins at or before it, so a place inside a tab is the tab's own. Places beyond the end
     are the end."""
-
-    def place(column: Column) -> Column:
-        reached = F.filter(F.sequence(F.lit(0), F.length(text)), lambda k: display_column(text, k, stop) <= column)
-        return F.coalesce(F.array_max(reached), F.lit(0)).cast("int")
-
+    place = lambda at: (_located(text, stop, "shown", "raw", at) if stop > 0 else F.least(F.greatest(at, F.lit(0)), F.length(text))).cast("int")
     return F.struct(place(start).alias("start"), place(end).alias("end"))
 
 

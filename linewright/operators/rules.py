@@ -71,14 +71,16 @@ def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = lines.select("file_id", "line_no", "text", F.explode(words).alias("_word")).join(free.where(F.col("_word").isNotNull()), "_word")
     hit = F.contains("text", F.col("pattern"))
     by_word = keyed.where(hit).select("file_id", "line_no", "priority", "color")
-    short = free.where(F.col("_word").isNull()).select("priority", "color", "pattern").limit(1_000).collect()
-    if len(short) == 1_000:
-        raise ValueError("more than 999 rules have no inner word to look them up by; give them as Rule objects in parts")
-    listed = [F.when(F.contains("text", F.lit(r.pattern)), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.color).cast("bigint").alias("color"))) for r in short]
+    # patterns without an inner word: each meets the lines that hold its first two characters
+    short = free.where(F.col("_word").isNull())
     out = by_line.unionByName(by_word.select(*by_line.columns))
-    if listed:
-        found = lines.select("file_id", "line_no", F.explode(F.filter(F.array(*listed), lambda s: s.isNotNull())).alias("_r"))
-        out = out.unionByName(found.select("file_id", "line_no", F.col("_r.priority").alias("priority"), F.col("_r.color").alias("color")))
+    if not short.isEmpty():
+        size = F.least(F.length("pattern"), F.lit(2))
+        short = short.withColumn("_gram", F.left("pattern", size))
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(0))), lambda k: F.substring(F.col("text"), k, F.lit(n)))
+        every = F.array_distinct(F.concat(F.when(F.length("text") > 0, grams(1)).otherwise(F.array().cast("array<string>")), F.when(F.length("text") > 1, grams(2)).otherwise(F.array().cast("array<string>"))))
+        met = lines.select("file_id", "line_no", "text", F.explode(every).alias("_gram")).join(short, "_gram").where(hit)
+        out = out.unionByName(met.select(*by_line.columns))
     return out.distinct()
 
 

@@ -6,13 +6,13 @@ Most run over `documents`, whose texts are files of lines; `conversations` (turn
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewright.checkpoints import shared_folder
 from linewright.functions import display
 from linewright.functions.encodings import encoding_name
 from linewright.functions.predicates import Search
@@ -179,9 +179,9 @@ def match_flag(spark, sf):
     return keyed(s.flag_matches(lines(spark, sf), NEEDLE), "is_match")
 
 
-@query(r" SELECT conv_id AS file_id, turn AS line_no, text FROM conversations WHERE regexp_matches(text, '[?!]')", prefix="")
+@query(r" SELECT conv_id AS file_id, turn AS line_no, text FROM conversations WHERE regexp_matches(text, '[a-z]th[a-z]')", prefix="")
 def conversation_search(spark, sf):
-    return keyed(s.find(turns(spark, sf), Search("[?!]")), "text")
+    return keyed(s.find(turns(spark, sf), Search("[a-z]th[a-z]")), "text")
 
 
 # order, limits, pages
@@ -292,13 +292,13 @@ def selection_text(spark, sf):
 
 # context, pins, ranks
 
-NEAR = f""", m AS (SELECT file_id, line_no FROM l WHERE {WORD_HIT} AND line_no % 5 = 0),
+NEAR = f""", m AS (SELECT file_id, line_no FROM l WHERE {WORD_HIT}),
  c AS (SELECT DISTINCT l.file_id, l.line_no, l.text, EXISTS (SELECT 1 FROM m WHERE m.file_id = l.file_id AND m.line_no = l.line_no) AS is_match FROM l JOIN m ON m.file_id = l.file_id AND l.line_no BETWEEN m.line_no - 2 AND m.line_no + 1)"""
 
 
 def _near(spark, sf):
     every = lines(spark, sf)
-    return context.with_context(every, s.find(every, WORD).where("line_no % 5 = 0"), before=2, after=1)
+    return context.with_context(every, s.find(every, WORD), before=2, after=1)
 
 
 @query(f"{NEAR} SELECT file_id, line_no, text, is_match FROM c")
@@ -436,34 +436,43 @@ def file_refs(spark, sf):
     return lines(spark, sf).select("file_id", "line_no", display.file_ref(F.concat(F.lit("/logs/"), F.col("file_id").cast("string")), F.col("line_no")).alias("ref"))
 
 
-EXPAND = "list_reduce(list_prepend('', string_split(t, chr(9))), lambda a, p: CASE WHEN a = '' THEN p ELSE a || repeat(' ', CAST(8 - length(a) % 8 AS INT)) || p END)"
+EXPAND = "list_reduce(string_split(t, chr(9)), lambda a, p: a || repeat(' ', CAST(8 - length(a) % 8 AS INT)) || p)"
 
 
-@query(f", e AS (SELECT file_id, line_no, {TABBED} AS t FROM l WHERE left({TABBED}, 1) <> chr(9)) SELECT file_id, line_no, {EXPAND} AS shown FROM e")
+@query(f", e AS (SELECT file_id, line_no, {TABBED} AS t FROM l) SELECT file_id, line_no, {EXPAND} AS shown FROM e")
 def expanded_tabs(spark, sf):
-    return tabbed(spark, sf).where(~F.col("text").startswith("\t")).select("file_id", "line_no", display.display_line(F.col("text"), 8).alias("shown"))
+    return tabbed(spark, sf).select("file_id", "line_no", display.display_line(F.col("text"), 8).alias("shown"))
 
 
-@query(" SELECT file_id, line_no, text AS shown FROM l")
+@query(" SELECT file_id, line_no, CASE line_no % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(13) ELSE chr(13) || text END AS shown FROM l")
 def strip_carriage_returns(spark, sf):
-    ended = lines(spark, sf).withColumn("text", F.concat("text", F.lit("\r")))
+    """Of one CR at the end, of two, and of one at the beginning, only the last at the end goes."""
+    ends = F.when(F.col("line_no") % 3 == 0, F.concat("text", F.lit("\r"))).when(F.col("line_no") % 3 == 1, F.concat("text", F.lit("\r\r"))).otherwise(F.concat(F.lit("\r"), "text"))
+    ended = lines(spark, sf).withColumn("text", ends)
     return ended.select("file_id", "line_no", display.strip_cr(F.col("text")).alias("shown"))
 
 
-@query(f", e AS (SELECT file_id, line_no, left({TABBED}, 60) AS u FROM l WHERE left({TABBED}, 1) <> chr(9)), d AS (SELECT file_id, line_no, strpos(u, chr(9)) AS pos, left(u, greatest(strpos(u, chr(9)), 1)) AS t FROM e) SELECT file_id, line_no, pos - 1 AS starts, length({EXPAND}) AS ends FROM d WHERE pos > 0")
+@query(
+    f""", e AS (SELECT file_id, line_no, {TABBED} AS u FROM l), p AS (SELECT file_id, line_no, u, unnest(list_filter(range(1, length(u) + 1), lambda i: u[i] = chr(9))) AS pos FROM e WHERE contains(u, chr(9))),
+ d AS (SELECT file_id, line_no, pos, unnest([left(u, pos - 1), left(u, pos)]) AS t FROM p), c AS (SELECT file_id, line_no, pos, min(length({EXPAND})) AS starts, max(length({EXPAND})) AS ends FROM d GROUP BY ALL)
+ SELECT file_id, line_no, string_agg(starts || '-' || ends, ',' ORDER BY pos) AS spans FROM c GROUP BY file_id, line_no"""
+)
 def remapped_spans(spark, sf):
-    text = F.left("text", F.lit(60))
-    at = F.locate("\t", text)
-    moved = display.remap_spans(text, F.array(F.struct((at - 1).alias("start"), at.alias("end"))), 8)
-    rows = tabbed(spark, sf).where(~F.col("text").startswith("\t") & (at > 0))
-    return rows.select("file_id", "line_no", moved[0]["start"].alias("starts"), moved[0]["end"].alias("ends"))
+    """Where every tab of a line is shown."""
+    text = F.col("text")
+    tabs = match_spans(text, Search(r"\t"), "chars")
+    rows = tabbed(spark, sf).where(F.contains(text, F.lit("\t")))
+    return rows.select("file_id", "line_no", _shown(display.remap_spans(text, tabs, 8)).alias("spans"))
 
 
-@query(f", e AS (SELECT file_id, line_no, left({TABBED}, 40) AS u FROM l WHERE left({TABBED}, 1) <> chr(9)), k AS (SELECT file_id, line_no, u, unnest(range(0, length(u) + 1)) AS k FROM e), d AS (SELECT file_id, line_no, k, left(u, k) AS t FROM k), c AS (SELECT file_id, line_no, k, length({EXPAND}) AS col FROM d) SELECT file_id, line_no, CAST(max(k) FILTER (WHERE col <= 10) AS INT) AS first, CAST(max(k) FILTER (WHERE col <= 30) AS INT) AS last FROM c GROUP BY file_id, line_no")
+# what is shown in column c begins at a place of c at most, so the SQL looks no further
+@query(
+    f""", e AS (SELECT file_id, line_no, {TABBED} AS u FROM l), k AS (SELECT file_id, line_no, u, unnest(range(0, least(length(u), 150) + 1)) AS k FROM e), d AS (SELECT file_id, line_no, k, left(u, k) AS t FROM k), c AS (SELECT file_id, line_no, k, length({EXPAND}) AS col FROM d)
+ SELECT file_id, line_no, CAST(max(k) FILTER (WHERE col <= 10) AS INT) AS first, CAST(max(k) FILTER (WHERE col <= 150) AS INT) AS last FROM c GROUP BY file_id, line_no"""
+)
 def display_to_raw(spark, sf):
-    rows = tabbed(spark, sf).where(~F.col("text").startswith("\t")).withColumn("text", F.left("text", F.lit(40)))
-    span = display.raw_range(F.col("text"), F.lit(10), F.lit(30), 8)
-    return rows.select("file_id", "line_no", span["start"].alias("first"), span["end"].alias("last"))
+    span = display.raw_range(F.col("text"), F.lit(10), F.lit(150), 8)
+    return tabbed(spark, sf).select("file_id", "line_no", span["start"].alias("first"), span["end"].alias("last"))
 
 
 PALETTE = [rules.Rule("license", 1, whole_line=True), rules.Rule("[0-9]+", 2, regex=True), rules.Rule("", 3, anchor_line=2, anchor_start=1, anchor_end=4)]
@@ -540,8 +549,7 @@ def change_kinds(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lines-")
-    return f"{shared}/lines-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
 
 
 def _written(spark, sf) -> str:
@@ -574,6 +582,66 @@ def file_states(spark, sf):
     return changes.change_kind(state, files.file_states(found, window=4096, old=state)).join(files.detect_encodings(found).select("file_id", "encoding", "bom_width"), "file_id")
 
 
+#: The encodings in which encoded_files writes, by doc_id modulo 6, and their marks.
+WRITTEN = (("UTF-8", b""), ("UTF-8", b"\xef\xbb\xbf"), ("UTF-16LE", b"\xff\xfe"), ("UTF-16BE", b""), ("UTF-32LE", b"\xff\xfe\x00\x00"), ("windows-1252", b""))
+
+
+def _encoded(spark: SparkSession, sf: str) -> str:
+    """documents' texts as files of several encodings, some per task, whose names hold odd characters."""
+    folder = _folder(spark)
+    place = folder.removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        os.makedirs(place, exist_ok=True)
+        name, opened = uuid.uuid4().hex, {}
+        for batch in batches:
+            for doc_id, text, narrow in zip(batch["doc_id"], batch["text"], batch["narrow"], strict=True):
+                k = int(doc_id) % 6
+                k = 0 if k == 5 and not narrow else k
+                encoding, mark = WRITTEN[k]
+                if k not in opened:
+                    # the first line tells a legacy file from UTF-8
+                    opened[k] = open(f"{place}/{encoding} {k} %20+#é {name}.log", "wb")  # noqa: SIM115
+                    opened[k].write(mark + "é first\n".encode(encoding))
+                opened[k].write(f"{text}\n".encode(encoding))
+        for file in opened.values():
+            file.close()
+        yield batch[["doc_id"]].iloc[:0]
+
+    narrow = ~F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]")
+    docs(spark, sf).where("text IS NOT NULL").select("doc_id", "text", narrow.alias("narrow")).mapInPandas(write, "doc_id long").count()
+    return folder
+
+
+NARROW = "CASE WHEN doc_id % 6 = 5 AND regexp_matches(text, '[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]') THEN 0 ELSE doc_id % 6 END"
+
+
+@query(
+    f" SELECT ['UTF-8', 'UTF-8', 'UTF-16LE', 'UTF-16BE', 'UTF-32LE', 'windows-1252'][k + 1] AS encoding, CASE k WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 4 THEN 4 ELSE 0 END AS bom_width, text, count(*) AS n FROM (SELECT {NARROW} AS k, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL) GROUP BY k, text",
+    prefix="",
+)
+def encoded_files(spark, sf):
+    """Every line of files in six forms, read back by their detected encodings."""
+    folder = _encoded(spark, sf)
+    found = files.detect_encodings(files.list_files(spark, folder)).select("file_id", "encoding", "bom_width")
+    rows = files.read_lines(spark, folder, geometry=False).where("line_no > 0")
+    # an encoding and a mark for each form
+    return rows.groupBy("file_id", "text").agg(F.count("*").alias("n")).join(found, "file_id").groupBy("encoding", "bom_width", "text").agg(F.sum("n").alias("n"))
+
+
+@query(
+    f" SELECT k, CAST(sum(n) AS BIGINT) AS line_count, max(longest) AS max_line_len FROM (SELECT {NARROW} AS k, len(string_split(text, chr(10))) AS n, list_max(list_transform(string_split(text, chr(10)), lambda t: CASE {NARROW} WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 4 WHEN 5 THEN 1 ELSE 0 END * length(t) + CASE WHEN {NARROW} < 2 THEN strlen(t) ELSE 0 END)) AS longest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x{{00}}-\\x{{FFFF}}]')) GROUP BY k",
+    prefix="",
+)
+def file_reports(spark, sf):
+    """Lines and longest line, in the files' own bytes, by form of file."""
+    info = files.describe_files(spark, _encoded(spark, sf))
+    form = F.regexp_extract("file_id", "([0-9]) %20", 1).cast("long")
+    return info.groupBy(form.alias("k")).agg((F.sum("line_count") - F.count("*")).alias("line_count"), F.max("max_line_len").alias("max_line_len"))
+
+
 def _streamed(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream has to give now, through Parquet in the shared folder."""
     folder = _folder(spark)
@@ -595,3 +663,75 @@ def follow_search_new_files(spark, sf):
 def follow_running_counts(spark, sf):
     stream = follow.running_counts(follow.follow_new_files(spark, _written(spark, sf)), NEEDLE)
     return _streamed(spark, stream, "complete").agg(F.sum("matches").alias("matches"), F.sum("processed_lines").alias("processed_lines"))
+
+
+# growing files: written by the executors in steps, followed between them
+
+
+def _grown(spark: SparkSession, sf: str, folder: str, part: float, mark: str = "") -> None:
+    """Each task's documents as one file, of which only the first `part` of the bytes is there
+    yet; `mark` before each line makes another file of it."""
+    place = folder.removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        from pyspark import TaskContext
+
+        os.makedirs(place, exist_ok=True)
+        body = "".join(f"{mark}{line}\n" for batch in batches for text in batch["text"] for line in text.split("\n")).encode("utf-8")
+        with open(f"{place}/task {TaskContext.get().partitionId():05}.log", "wb") as file:
+            file.write(body[: int(len(body) * part)])
+        yield batch_of_none()
+
+    def batch_of_none():
+        import pandas as pd
+
+        return pd.DataFrame({"n": pd.Series([], dtype="int64")})
+
+    docs(spark, sf).where("text IS NOT NULL").select("text").mapInPandas(write, "n long").count()
+
+
+def _followed(spark: SparkSession, folder: str) -> None:
+    """What has come to the folder since the last time, appended to out beside it."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(f"{folder}-out")
+
+    stream = follow.number_lines(follow.follow_lines(spark, folder.removeprefix("file:")))
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+SPLIT = "w AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(" SELECT text, count(*) AS n FROM w GROUP BY text", prefix=SPLIT)
+def follow_growing_files(spark, sf):
+    """Files cut within a line, followed, completed, followed again: lines that agree in file,
+    number and text with a reading of the whole files."""
+    folder = _folder(spark)
+    for part in (0.37, 0.8, 1.0):
+        _grown(spark, sf, folder, part)
+        _followed(spark, folder)
+    name = F.element_at(F.split("file_id", "/"), -1).alias("file")
+    whole = files.read_lines(spark, folder, encoding="UTF-8", geometry=True).select(name, "line_no", "text", "byte_start")
+    followed = spark.read.parquet(f"{folder}-out").select(name, "line_no", "text", "byte_start")
+    return followed.join(whole, ["file", "line_no", "text", "byte_start"]).groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT text, count(*) AS n FROM (SELECT text FROM w UNION ALL SELECT 'again ' || text FROM w) GROUP BY text", prefix=SPLIT)
+def follow_rewritten_files(spark, sf):
+    """Files that are followed, then replaced: the new ones' lines come from their beginnings,
+    numbered from 0, and each once though the last line of the first reading is read again."""
+    folder = _folder(spark)
+    _grown(spark, sf, folder, 1.0)
+    _followed(spark, folder)
+    _grown(spark, sf, folder, 1.0, "again ")
+    _followed(spark, folder)
+    rows = spark.read.parquet(f"{folder}-out")
+    kind = F.startswith("text", F.lit("again "))
+    overlap = rows.withColumn("kind", kind)
+    once = follow.once_each(overlap.unionByName(overlap.where("line_no % 5 = 0")).withColumn("file_id", F.concat("file_id", kind.cast("string"))))
+    # numbers without a gap, from 0, in each of a file's two lives
+    gapless = once.groupBy("file_id").agg((F.max("line_no") + 1 == F.count("*")).alias("gapless"))
+    return once.join(gapless.where("gapless"), "file_id").groupBy("text").agg(F.count("*").alias("n"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linewright.checkpoints import cut
 from linewright.functions.encodings import HEAD_BYTES, decode_lossy, detect, line_feed_width
 
 #: Bytes that are hashed at each end of a file.
@@ -29,10 +32,17 @@ def _open(path: str):
     """A file's stream and size through its store, local or not; only what is read is fetched."""
     import pyarrow.fs
 
-    store, inner = pyarrow.fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else path.replace("file:", "file://", 1))
+    if "://" not in path or path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
+    store, inner = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
     return store.open_input_file(inner)
 
 
+def _literal(path: str) -> str:
+    """The path as a pattern that only it fits."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", path)
+
+
 def _spread(files: DataFrame, per_task: int = 64) -> DataFrame:
     return files.repartition(max(1, -(-files.count() // per_task)), "file_id")
 
@@ -95,7 +105,9 @@ def _scan(spark: SparkSession, marks: list[tuple[str, int]], encoding: str) -> D
         spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
         reader = reader.option("encoding", encoding)
     place = F.monotonically_increasing_id()
-    raw = reader.text([path for path, _ in marks]).select("value", F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
+    # the scan names files by encoded paths, the listing by plain ones
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = reader.text([_literal(path) for path, _ in marks]).select("value", plain.alias("file_id"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
     length = F.octet_length("value").cast("long")
     blocks = raw.groupBy("file_id", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum(length + width).alias("bytes"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +115,8 @@ def _scan(spark: SparkSession, marks: list[tuple[str, int]], encoding: str) -> D
     # marks go to the blocks, not to the lines; the scan may write file:/ for file:///
     path = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     named = spark.createDataFrame(marks, "_path string, bom int").withColumn("_path", path("_path"))
-    base = base.join(named, path("file_id") == F.col("_path")).drop("_path").persist()
+    known = F.when(F.col("_path").isNull(), F.raise_error(F.concat(F.lit("a scanned file that was not listed: "), F.col("file_id")))).otherwise(F.col("bom"))
+    base = cut(base.join(named, path("file_id") == F.col("_path"), "left").withColumn("bom", known).drop("_path"))
     joined = raw.join(F.broadcast(base) if base.count() <= BROADCAST_BLOCKS else base, ["file_id", "block"])
     inside = F.sum(length + width).over(Window.partitionBy("file_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     line_no = F.col("place") - F.col("first") + F.col("lines_before")
@@ -141,3 +154,13 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None
         lines = lines.select("file_id", "line_no", text.alias("text"), *([start.alias("byte_start"), length.alias("byte_len"), ended.alias("has_lf")] if geometry else []))
         out = lines if out is None else out.unionByName(lines)
     return out if out is not None else spark.createDataFrame([], schema)
+
+
+def describe_files(spark: SparkSession, paths: str | list[str], fallback: str = "windows-1252") -> DataFrame:
+    """(file_id, size, encoding, bom_width, line_count, max_line_len) of each file; an empty one
+    has 0 lines."""
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    found = detect_encodings(list_files(spark, paths), fallback)
+    lines = read_lines(spark, paths, fallback=fallback).groupBy(name("file_id").alias("_file")).agg(F.count("*").alias("line_count"), F.max("byte_len").alias("max_line_len"))
+    both = found.join(lines, name("file_id") == F.col("_file"), "left")
+    return both.select("file_id", "size", "encoding", "bom_width", F.coalesce("line_count", F.lit(0)).alias("line_count"), F.coalesce("max_line_len", F.lit(0)).alias("max_line_len"))
