@@ -14,6 +14,8 @@ from linewright.functions.spans import match_spans
 COLOURED = "array<struct<start:int,end:int,color:bigint,priority:int>>"
 #: Lines after the first for which a selection makes rules.
 MOST_RULES = 200
+#: Patterns of a table that are tested on every line, rather than joined to lines.
+MOST_COLUMNS = 200
 
 
 @dataclass(frozen=True)
@@ -71,10 +73,16 @@ def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = lines.select("file_id", "line_no", "text", F.explode(words).alias("_word")).join(free.where(F.col("_word").isNotNull()), "_word")
     hit = F.contains("text", F.col("pattern"))
     by_word = keyed.where(hit).select("file_id", "line_no", "priority", "color")
-    # patterns without an inner word: each meets the lines that hold its first two characters
-    short = free.where(F.col("_word").isNull())
     out = by_line.unionByName(by_word.select(*by_line.columns))
-    if not short.isEmpty():
+    # patterns without an inner word: a few are columns of one projection
+    short = free.where(F.col("_word").isNull())
+    few = short.select("priority", "color", "pattern").limit(MOST_COLUMNS + 1).collect()
+    if 0 < len(few) <= MOST_COLUMNS:
+        listed = [F.when(F.contains("text", F.lit(r.pattern)), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.color).cast("bigint").alias("color"))) for r in few]
+        found = lines.select("file_id", "line_no", F.explode(F.filter(F.array(*listed), lambda s: s.isNotNull())).alias("_r"))
+        out = out.unionByName(found.select("file_id", "line_no", F.col("_r.priority").alias("priority"), F.col("_r.color").alias("color")))
+    elif few:
+        # of many, each meets the lines that hold its first two characters
         size = F.least(F.length("pattern"), F.lit(2))
         short = short.withColumn("_gram", F.left("pattern", size))
         grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(0))), lambda k: F.substring(F.col("text"), k, F.lit(n)))

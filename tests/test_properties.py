@@ -8,6 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from linewright.operators import rules
 from linewright.functions.predicates import LOWER, UPPER, Search, matches
 from linewright.functions.spans import match_spans
 from linewright.operators import context, marks, ranks
@@ -78,3 +79,15 @@ def test_context_ranks_and_samples(make_lines):
             if c == "x":
                 want[f, i * 10 // len(ls)] = want.get((f, i * 10 // len(ls)), 0) + 1
     assert strip == want
+
+
+def test_many_short_rules(spark, make_lines, monkeypatch):
+    """Patterns without an inner word, as columns and by their first characters."""
+    texts = ["ab cd", "xaby", "c", "", "q\nab", "é!"]
+    patterns = ["ab", "a", "c", "d", "!", "é!", "zz", "b c"]
+    table = spark.createDataFrame([(k, p, 10 * k, None) for k, p in enumerate(patterns)], "priority int, pattern string, color bigint, anchor_line bigint")
+    want = sorted((f, n, k) for f, t in enumerate(texts) for n, line in enumerate(t.split("\n") if t else []) for k, p in enumerate(patterns) if p in line)
+    for most in (200, 3):
+        monkeypatch.setattr(rules, "MOST_COLUMNS", most)
+        got = rules.rules_on_lines(make_lines(*texts), table).collect()
+        assert sorted((r.file_id, r.line_no, r.priority) for r in got) == want
