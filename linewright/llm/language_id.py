@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linewright.llm.common import crc_mod, fresh, resident, small_batches, tidy, unit_hash
+from linewright.llm.common import crc_mod, cut, fresh, resident, small_batches, tidy, unit_hash
 
 #: Labelled text kept for each language: this many characters, of at most SAMPLE_ROWS rows,
 #: PIECE_CHARS of each before any gives more.
@@ -26,6 +26,8 @@ MODEL_CHARS, SAMPLE_ROWS, PIECE_CHARS = 32_000, 64, 4_000
 #: Automata are tables of states and symbols as long as those of a worker take no more bytes
 #: than this; the others are lists of steps, which are slower and find the same.
 TABLE_BYTES = 64 << 20
+#: Languages whose counts are broadcast, at most; with more, rows meet their counts by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Documents are parsed in windows of this many symbols, side by side; a phrase ends there.
 WINDOW = 256
 #: Windows parsed at once.
@@ -172,7 +174,8 @@ def labelled_texts(docs: DataFrame, known: Column, model_chars: int = MODEL_CHAR
     """
     labelled = docs.where(known & F.col("lang").isNotNull() & (F.length("text") > 0))
     labelled = labelled.select("lang", F.left("text", F.lit(2 * model_chars)).alias("text"), unit_hash(F.col("doc_id"), 4).alias("h"))
-    counts = labelled.groupBy("lang").count()
+    counts = cut(labelled.groupBy("lang").count())
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
     span = F.lit(2.0**64)
     thin = labelled.join(counts, "lang").where((F.col("h").cast("double") / span + 0.5) * F.col("count") <= 8.0 * rows)
     order = Window.partitionBy("lang").orderBy("h", "text")
