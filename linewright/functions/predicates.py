@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linewright.functions.dialect import java_pattern
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: From this many literals on, one alternation is tried in place of a chain of searches.
 MANY = 16
@@ -24,14 +26,6 @@ def fold_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def java_pattern(pattern: str) -> str:
-    """A pattern of the linear-time dialect as Java's: named groups are renamed; look-around
-    and back-references, which that dialect has not, are refused."""
-    if re.search(r"\(\?<?[=!]", pattern) or re.search(r"(?<!\\)(\\\\)*\\([1-9]|k[<{'])", pattern):
-        raise ValueError(f"look-around and back-references are not supported: {pattern!r}")
-    return pattern.replace("(?P<", "(?<")
-
-
 @dataclass(frozen=True)
 class Search:
     """What to look for: patterns (any of them), as literals or regular expressions.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linewright.operators.ranks import RANGE_LINES, running
+from linewright.operators.ranks import RANGE_LINES, ranged
 
 
 def with_context(lines: DataFrame, found: DataFrame, before: int = 0, after: int = 0, around: int = 0) -> DataFrame:
@@ -25,16 +25,31 @@ def with_context(lines: DataFrame, found: DataFrame, before: int = 0, after: int
 def context_groups(rows: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     """Adds starts_group (the line before isn't there) and group_no (from 0 in each file).
 
-    A line begins a group if no row has the number before it, which an equi-join tells; the
-    groups' numbers are a running sum in two levels.
+    Both are told within ranges of line numbers, as if a range's first row began a group; what
+    the ranges before hold, a row for each, puts that right.
     """
-    follows = rows.select("file_id", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("_follows"))
-    marked = rows.join(follows, ["file_id", "line_no"], "left").withColumn("starts_group", F.col("_follows").isNull()).drop("_follows")
-    counted = running(marked, F.col("starts_group").cast("long"), "group_no", range_lines)
-    return counted.withColumn("group_no", F.col("group_no") + F.col("starts_group").cast("long") - 1)
-
-
-def gaps(rows: DataFrame) -> DataFrame:
-    """Adds gap: how many lines are missing since the row before in the file (null at the first)."""
-    last = F.lag("line_no").over(Window.partitionBy("file_id").orderBy("line_no"))
-    return rows.withColumn("gap", F.col("line_no") - last - 1)
+    inside = Window.partitionBy("file_id", "_range").orderBy("line_no")
+    gone = F.col("line_no") - F.lag("line_no").over(inside) - 1
+    marked = ranged(rows, range_lines).withColumn("starts_group", F.coalesce(gone > 0, F.lit(True)))
+    ends = marked.groupBy("file_id", "_range").agg(F.min("line_no").alias("_first"), F.max("line_no").alias("_last"), F.count_if("starts_group").alias("_n"))
+    file = Window.partitionBy("file_id").orderBy("_range")
+    goes_on = F.coalesce(F.lag("_last").over(file) == F.col("_first") - 1, F.lit(False))
+    ends = ends.select("file_id", "_range", "_first", goes_on.alias("_goes_on"), (F.col("_n") - goes_on.cast("long")).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ends.select("file_id", "_range", "_first", "_goes_on", before.alias("_before")).where("_before <> 0")
+    counted = marked.withColumn("group_no", F.count_if("starts_group").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    joined = counted.join(base, ["file_id", "_range"], "left")
+    goes_on = F.coalesce("_goes_on", F.lit(False))
+    number = F.col("group_no") + F.coalesce("_before", F.lit(0)) - goes_on.cast("long")
+    starts = F.col("starts_group") & ~(goes_on & (F.col("line_no") == F.col("_first")))
+    return joined.withColumn("group_no", number).withColumn("starts_group", F.coalesce(starts, F.col("starts_group"))).drop("_range", "_first", "_goes_on", "_before")
+
+
+def gaps(rows: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
+    """Adds gap: how many lines are missing since the row before in the file (null at the
+    first). The row before a range's first is the last of the ranges before."""
+    marked = ranged(rows, range_lines).withColumn("_back", F.lag("line_no").over(Window.partitionBy("file_id", "_range").orderBy("line_no")))
+    last = F.lag("_last").over(Window.partitionBy("file_id").orderBy("_range"))
+    base = marked.groupBy("file_id", "_range").agg(F.max("line_no").alias("_last")).withColumn("_last", last).where("_last IS NOT NULL")
+    joined = marked.join(base, ["file_id", "_range"], "left")
+    return joined.withColumn("gap", F.col("line_no") - F.coalesce("_back", "_last") - 1).drop("_range", "_back", "_last")

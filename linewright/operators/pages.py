@@ -11,18 +11,19 @@ from linewright.operators.ranks import running
 def segment_lines(lines: DataFrame, budget: int) -> DataFrame:
     """(file_id, line_no, segment, byte_offset, bytes, next_offset, done): each line's bytes in
     pieces of at most `budget`. An empty line is one empty, done piece."""
-    raw = F.col("text").cast("binary")
-    size = F.octet_length("text")
-    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(budget))
-    pieces = lines.select("file_id", "line_no", raw.alias("_raw"), size.alias("_size"), F.posexplode(starts).alias("segment", "byte_offset"))
+    whole = lines.select("file_id", "line_no", F.col("text").cast("binary").alias("_raw"))
+    sized = whole.select("file_id", "line_no", "_raw", F.octet_length("_raw").alias("_size"))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("_size") - 1, F.lit(0)), F.lit(budget))
+    pieces = sized.select("file_id", "line_no", "_raw", "_size", F.posexplode(starts).alias("segment", "byte_offset"))
     end = F.least(F.col("byte_offset") + budget, F.col("_size"))
     return pieces.select("file_id", "line_no", "segment", "byte_offset", F.substring("_raw", F.col("byte_offset") + 1, F.lit(budget)).alias("bytes"), end.alias("next_offset"), (end == F.col("_size")).alias("done"))
 
 
 def page_by_bytes(lines: DataFrame, start: int, budget: int = 8 << 20) -> DataFrame:
     """Each file's longest run of whole lines from `start` on whose bytes, LFs included, fit
-    the budget; the first line always comes."""
-    rest = lines.where(F.col("line_no") >= start)
+    the budget; the first line always comes. Each line before a file's last has a byte at
+    least, its LF, so that no line further than the budget comes."""
+    rest = lines.where((F.col("line_no") >= start) & (F.col("line_no") <= start + budget))
     size = F.col("byte_len") + F.col("has_lf").cast("int")
     return running(rest, size, "_before").where((F.col("_before") + size <= budget) | (F.col("line_no") == start)).drop("_before")
 

@@ -13,17 +13,31 @@ from pyspark.sql.window import Window
 
 #: Lines of a range.
 RANGE_LINES = 1 << 16
+#: Below this a file's first rows are found by a limit in each task before the shuffle.
+FEW = 1000
 
 
-def running(lines: DataFrame, value: Column, name: str, range_lines: int = RANGE_LINES) -> DataFrame:
-    """Adds `name`: the sum of `value` over the file's lines strictly before each line."""
-    ranged = lines.withColumn("_range", F.floor(F.col("line_no") / range_lines)).withColumn("_value", value)
-    sums = ranged.groupBy("file_id", "_range").agg(F.sum("_value").alias("_sum"))
-    earlier = Window.partitionBy("file_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("file_id", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+def ranged(lines: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
+    """Adds _range, the range of a line's number."""
+    return lines.withColumn("_range", F.floor(F.col("line_no") / range_lines))
+
+
+def running(lines: DataFrame, value: Column, name: str, range_lines: int = RANGE_LINES, total: str | None = None) -> DataFrame:
+    """Adds `name`: the sum of `value` over the file's lines strictly before each line, and
+    with `total` a column of that name: the sum over all the file's lines.
+
+    Lines are joined to the sums of the ranges before theirs, which only files of several
+    ranges have; the join keeps the order that the window within a range has made.
+    """
+    rows = ranged(lines, range_lines).withColumn("_value", value)
+    sums = rows.groupBy("file_id", "_range").agg(F.sum("_value").alias("_sum"))
+    file = Window.partitionBy("file_id")
+    earlier = F.sum("_sum").over(file.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.select("file_id", "_range", F.coalesce(earlier, F.lit(0)).alias("_earlier"), *([F.sum("_sum").over(file).alias(total)] if total else []))
     inside = Window.partitionBy("file_id", "_range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("_earlier") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
-    return ranged.join(sums, ["file_id", "_range"]).withColumn(name, total).drop("_range", "_value", "_earlier")
+    rows = rows.withColumn(name, F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    joined = rows.join(base, ["file_id", "_range"]) if total else rows.join(base.where("_earlier <> 0"), ["file_id", "_range"], "left")
+    return joined.withColumn(name, F.col(name) + F.coalesce("_earlier", F.lit(0))).drop("_range", "_value", "_earlier")
 
 
 def rank(lines: DataFrame, hit: Column) -> DataFrame:
@@ -37,13 +51,16 @@ def numbered(lines: DataFrame) -> DataFrame:
 
 
 def select_k(matches: DataFrame, k: int) -> DataFrame:
-    """Each file's k-th match, from 0; a file of fewer has none."""
+    """Each file's k-th match, from 0; a file of fewer has none. For a small k each task hands
+    on no more than its first k + 1 matches of a file."""
+    if k < FEW:
+        place = F.row_number().over(Window.partitionBy("file_id").orderBy("line_no"))
+        return matches.withColumn("_k", place).where(F.col("_k") == k + 1).drop("_k")
     return numbered(matches).where(F.col("place") == k).drop("place")
 
 
 def stride_sample(matches: DataFrame, most: int) -> DataFrame:
     """About `most` matches of each file, evenly spread: every step-th, step being the whole
     quotient of their number and `most`, 1 at least; the first is always there."""
-    counts = matches.groupBy("file_id").agg(F.count("*").alias("_n"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
-    return numbered(matches).join(counts, "file_id").where(F.col("place") % step == 0).drop("place", "_n")
+    return running(matches, F.lit(1), "_place", total="_n").where(F.col("_place") % step == 0).drop("_place", "_n")

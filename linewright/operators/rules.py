@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from linewright.functions.display import expand_tabs, raw_range
-from linewright.functions.predicates import Search, matches
+from linewright.functions.predicates import Search, fold_ascii, matches
 from linewright.functions.spans import match_spans
 
 COLOURED = "array<struct<start:int,end:int,color:bigint,priority:int>>"
@@ -58,40 +58,62 @@ def highlight_spans(lines: DataFrame, rules: list[Rule], search: Rule | None = N
 def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, line_no, priority, color) of a table of rules on the lines they apply to.
 
-    rules: (priority, pattern, color, anchor_line), patterns being literals. Anchored rules
-    meet their line by an equi-join; each other pattern's first word leads to the lines that
-    hold it, and only those are tested.
+    rules: (priority, pattern, color, anchor_line) and, if there, ignore_case (else true) and
+    regex (else false). Anchored rules meet their line by an equi-join; each other literal's
+    first inner word leads to the lines that hold it, and only those are tested. Regular
+    expressions, and literals beyond ASCII that ignore case, are tested on every line, some
+    at a time. Rules of a blank pattern apply to no line.
     """
+    given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in rules.columns else F.lit(default)
+    rules = rules.select("priority", F.col("color").cast("long").alias("color"), "pattern", "anchor_line", given("ignore_case", True).alias("ignore_case"), given("regex", False).alias("regex"))
     anchored = rules.where(F.col("anchor_line").isNotNull()).select("priority", "color", F.col("anchor_line").alias("line_no"))
-    by_line = lines.join(anchored, "line_no").select("file_id", "line_no", "priority", "color")
+    out = lines.join(anchored, "line_no").select("file_id", "line_no", "priority", "color")
     free = rules.where(F.col("anchor_line").isNull() & (F.trim("pattern") != ""))
-    runs = F.expr("regexp_extract_all(pattern, '[0-9A-Za-z]+', 0)")
-    # an inner word of the pattern is whole in the line too; others are found by every line's pieces
-    inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))
-    free = free.withColumn("_word", F.when(F.size(inner) > 0, F.get(inner, 0)))
-    words = F.array_distinct(F.expr("regexp_extract_all(text, '[0-9A-Za-z]+', 0)"))
-    keyed = lines.select("file_id", "line_no", "text", F.explode(words).alias("_word")).join(free.where(F.col("_word").isNotNull()), "_word")
-    hit = F.contains("text", F.col("pattern"))
-    by_word = keyed.where(hit).select("file_id", "line_no", "priority", "color")
-    out = by_line.unionByName(by_word.select(*by_line.columns))
-    # patterns without an inner word: a few are columns of one projection
-    short = free.where(F.col("_word").isNull())
-    few = short.select("priority", "color", "pattern").limit(MOST_COLUMNS + 1).collect()
+    fold = lambda c, on: F.when(on, fold_ascii(c)).otherwise(c)
+    hit = F.contains(fold(F.col("text"), F.col("ignore_case")), fold(F.col("pattern"), F.col("ignore_case")))
+    each = F.col("regex") | (F.col("ignore_case") & F.col("pattern").rlike(r"[^\x00-\x7F]"))
+    # an inner word of the pattern is whole in the line too; words meet folded
+    words = lambda name: F.expr(f"regexp_extract_all({name}, '[0-9A-Za-z]+', 0)")
+    inner = F.slice(words("pattern"), 2, F.greatest(F.size(words("pattern")) - 2, F.lit(0)))
+    literals = free.where(~each).withColumn("_word", fold_ascii(F.get(inner, 0)))
+    split = lines.select("file_id", "line_no", "text", F.array_distinct(F.transform(words("text"), fold_ascii)).alias("_words"))
+    keyed = split.select("file_id", "line_no", "text", F.explode("_words").alias("_word")).join(literals.where(F.col("_word").isNotNull()), "_word")
+    out = out.unionByName(keyed.where(hit).select(*out.columns))
+    # literals without an inner word: a few are columns of one projection
+    short = literals.where(F.col("_word").isNull()).drop("_word")
+    few = short.limit(MOST_COLUMNS + 1).collect()
     if 0 < len(few) <= MOST_COLUMNS:
-        listed = [F.when(F.contains("text", F.lit(r.pattern)), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.color).cast("bigint").alias("color"))) for r in few]
-        found = lines.select("file_id", "line_no", F.explode(F.filter(F.array(*listed), lambda s: s.isNotNull())).alias("_r"))
-        out = out.unionByName(found.select("file_id", "line_no", F.col("_r.priority").alias("priority"), F.col("_r.color").alias("color")))
+        out = out.unionByName(_tested(lines, few))
     elif few:
         # of many, each meets the lines that hold its first two characters
-        size = F.least(F.length("pattern"), F.lit(2))
-        short = short.withColumn("_gram", F.left("pattern", size))
-        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(0))), lambda k: F.substring(F.col("text"), k, F.lit(n)))
-        every = F.array_distinct(F.concat(F.when(F.length("text") > 0, grams(1)).otherwise(F.array().cast("array<string>")), F.when(F.length("text") > 1, grams(2)).otherwise(F.array().cast("array<string>"))))
+        short = short.withColumn("_gram", fold_ascii(F.left("pattern", F.least(F.length("pattern"), F.lit(2)))))
+        folded = fold_ascii(F.col("text"))
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(0))), lambda k: F.substring(folded, k, F.lit(n)))
+        none = F.array().cast("array<string>")
+        every = F.array_distinct(F.concat(F.when(F.length("text") > 0, grams(1)).otherwise(none), F.when(F.length("text") > 1, grams(2)).otherwise(none)))
         met = lines.select("file_id", "line_no", "text", F.explode(every).alias("_gram")).join(short, "_gram").where(hit)
-        out = out.unionByName(met.select(*by_line.columns))
+        out = out.unionByName(met.select(*out.columns))
+    # a table of what people wrote: its rows come to the driver, as patterns to be compiled
+    listed = [r for r in free.where(each).collect() if r.pattern.strip()]
+    for k in range(0, len(listed), MOST_COLUMNS):
+        out = out.unionByName(_tested(lines, listed[k : k + MOST_COLUMNS]))
     return out.distinct()
 
 
+def _tested(lines: DataFrame, listed: list[Row]) -> DataFrame:
+    """The rules' patterns as columns of one projection."""
+
+    def found(rule: Row) -> Column:
+        if rule.regex or not rule.pattern.isascii():
+            search = Search(rule.pattern, rule.ignore_case, rule.regex) if rule.pattern.strip() else None
+            return F.lit(False) if search is None else matches(F.col("text"), search.checked(lines.sparkSession))
+        return F.contains(fold_ascii(F.col("text")), fold_ascii(F.lit(rule.pattern))) if rule.ignore_case else F.contains("text", F.lit(rule.pattern))
+
+    parts = [F.when(found(r), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.color).cast("bigint").alias("color"))) for r in listed]
+    rows = lines.select("file_id", "line_no", F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("_r"))
+    return rows.select("file_id", "line_no", F.col("_r.priority").alias("priority"), F.col("_r.color").alias("color"))
+
+
 def remove_rules(rules: DataFrame, first: int, last: int, selected: str | None = None) -> DataFrame:
     """Rules without those anchored in lines [first, last] and those of just the selected text."""
     gone = F.coalesce(F.col("anchor_line").between(first, last), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linewright.functions.predicates import Search, in_range, matches
+from linewright.operators.ranks import FEW
 from linewright.sources.tables import lines_from_table
 
 
@@ -82,7 +83,14 @@ def file_info(lines: DataFrame) -> DataFrame:
 
 
 def tail(lines: DataFrame, n: int = 10) -> DataFrame:
-    """Each file's last n lines."""
+    """Each file's last n lines.
+
+    For a small n each task hands on no more than its last n lines of a file, so that one
+    huge file's text isn't shuffled; a larger n needs each file's last number first.
+    """
+    if n < FEW:
+        place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("line_no")))
+        return lines.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")
     counts = lines.groupBy("file_id").agg(F.max("line_no").alias("_last"))
     return lines.join(counts, "file_id").where(F.col("line_no") > F.col("_last") - n).drop("_last")
 
@@ -97,9 +105,8 @@ def go_to_line(lines: DataFrame, number: int, clamp: bool = False) -> DataFrame:
     nearest there is."""
     if not clamp:
         return lines.where(F.col("line_no") == number - 1)
-    counts = lines.groupBy("file_id").agg(F.max("line_no").alias("_last"))
-    wanted = F.greatest(F.lit(0), F.least(F.lit(number - 1), F.col("_last")))
-    return lines.join(counts, "file_id").where(F.col("line_no") == wanted).drop("_last")
+    # the nearest is the last of the lines up to it
+    return tail(lines.where(F.col("line_no") <= max(number - 1, 0)), 1)
 
 
 def fetch(lines: DataFrame, wanted: DataFrame) -> DataFrame:

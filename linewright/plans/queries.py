@@ -21,7 +21,7 @@ from linewright.operators import changes, context, marks, pages, ranks, rules
 from linewright.operators import search as s
 from linewright.plans import render
 from linewright.sources import files
-from linewright.sources.tables import lines_from_rows, lines_from_table
+from linewright.sources.tables import lines_from_rows, lines_from_table, spread
 from linewright.streaming import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,7 @@ TABBED = "replace(text, '. ', chr(9))"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +179,9 @@ def match_flag(spark, sf):
     return keyed(s.flag_matches(lines(spark, sf), NEEDLE), "is_match")
 
 
-@query(r" SELECT conv_id AS file_id, turn AS line_no, text FROM conversations WHERE regexp_matches(text, '[a-z]th[a-z]')", prefix="")
+@query(r" SELECT conv_id AS file_id, turn AS line_no, text FROM conversations WHERE regexp_matches(text, '(an|er|en) ')", prefix="")
 def conversation_search(spark, sf):
-    return keyed(s.find(turns(spark, sf), Search("[a-z]th[a-z]")), "text")
+    return keyed(s.find(turns(spark, sf), Search("(an|er|en) ")), "text")
 
 
 # order, limits, pages
@@ -493,14 +493,30 @@ def highlight_spans(spark, sf):
 )
 def rules_on_lines(spark, sf):
     words = F.split("text", " ")
-    table = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("priority"), F.concat_ws(" ", F.get(words, 1), F.get(words, 2), F.get(words, 3)).alias("pattern"), (F.col("item_id") * 2).alias("color"), F.lit(None).cast("bigint").alias("anchor_line"))
+    table = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("priority"), F.concat_ws(" ", F.get(words, 1), F.get(words, 2), F.get(words, 3)).alias("pattern"), (F.col("item_id") * 2).alias("color"), F.lit(None).cast("bigint").alias("anchor_line"), F.lit(False).alias("ignore_case"))
     return rules.rules_on_lines(lines(spark, sf), table)
 
 
-@query(" SELECT l.file_id, l.line_no, text FROM l WHERE line_no IN (SELECT DISTINCT quality + 2 FROM labels)")
+FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    f""", r AS (SELECT item_id AS priority, upper(list_extract(string_split(text, ' '), 2)) AS word FROM benchmark)
+ SELECT DISTINCT file_id, line_no, priority, priority AS color FROM l JOIN r ON CASE WHEN regexp_matches(word, '[^\\x{{00}}-\\x{{7F}}]') THEN contains(lower(l.text), lower(word)) WHEN priority % 2 = 0 OR regexp_matches(word, '[^A-Z]') THEN contains({FOLDED.format('l.text')}, {FOLDED.format('word')}) ELSE regexp_matches(l.text, '(?i)[0-9]+ ' || word) END"""
+)
+def rules_of_all_kinds(spark, sf):
+    """Literals and regular expressions that ignore case, from one table of rules."""
+    word = F.upper(F.get(F.split("text", " "), 1))
+    plain = (F.col("item_id") % 2 == 0) | word.rlike("[^A-Z]")
+    table = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("priority"), F.when(plain, word).otherwise(F.concat(F.lit("[[:digit:]]+ "), word)).alias("pattern"), F.col("item_id").alias("color"), F.lit(None).cast("bigint").alias("anchor_line"), (~plain).alias("regex"))
+    return rules.rules_on_lines(lines(spark, sf), table)
+
+
+@query(" SELECT l.file_id, l.line_no, q.quality::BIGINT AS priority, 5::BIGINT AS color FROM l JOIN (SELECT DISTINCT quality FROM labels) q ON l.line_no = q.quality + 2")
 def anchored_rules(spark, sf):
-    anchors = spark.read.parquet(f"{sf}/labels.parquet").select((F.col("quality") + 2).cast("long").alias("line_no")).distinct()
-    return keyed(lines(spark, sf).join(anchors, "line_no", "left_semi"), "text")
+    quality = F.col("quality").cast("long")
+    table = spark.read.parquet(f"{sf}/labels.parquet").select(quality.alias("priority"), F.lit("").alias("pattern"), F.lit(5).alias("color"), (quality + 2).alias("anchor_line")).distinct()
+    return rules.rules_on_lines(lines(spark, sf), table)
 
 
 @query(" SELECT CASE line_no WHEN 0 THEN substring(text, 4) WHEN 3 THEN left(text, 9) ELSE text END AS pattern, 7::BIGINT AS color, false AS whole_line, line_no AS anchor_line, CASE line_no WHEN 0 THEN 3 ELSE 0 END::INT AS anchor_start, CASE line_no WHEN 3 THEN least(9, length(text)) ELSE length(text) END::INT AS anchor_end FROM l WHERE file_id = (SELECT min(doc_id) FROM documents WHERE len(string_split(text, chr(10))) > 4) AND line_no <= 3 AND CASE line_no WHEN 0 THEN substring(text, 4) ELSE text END <> ''")

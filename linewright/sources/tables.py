@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A table of at most this many bytes is dealt evenly over the cores.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """A small table dealt evenly over the cores, as its one file may be one block that a
+    single task would read and split; a larger one as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
 def split_lines(text: Column) -> Column:
     """The text's lines: LF ends a line, CR is content, a last LF starts no further line, and
     an empty text has no line."""
@@ -20,8 +31,9 @@ def lines_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     false only for a last line that no LF ends.
     """
     text = F.col(text_col)
-    split = split_lines(text)
-    rows = df.select(F.col(id_col).alias("file_id"), text.endswith("\n").alias("_lf"), F.size(split).alias("_n"), F.posexplode(split).alias("line_no", "text"))
+    # what a text has once is computed before its lines part: beside a generator it would be for every line
+    whole = df.select(F.col(id_col).alias("file_id"), text.endswith("\n").alias("_lf"), split_lines(text).alias("_lines"))
+    rows = whole.select("file_id", "_lf", F.size("_lines").alias("_n"), "_lines").select("file_id", "_lf", "_n", F.posexplode("_lines").alias("line_no", "text"))
     return rows.select("file_id", F.col("line_no").cast("long").alias("line_no"), "text", F.octet_length("text").cast("long").alias("byte_len"), ((F.col("line_no") < F.col("_n") - 1) | F.col("_lf")).alias("has_lf"))
 
 

@@ -8,10 +8,10 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from linewright.operators import rules
+from linewright.functions.dialect import java_pattern
 from linewright.functions.predicates import LOWER, UPPER, Search, matches
 from linewright.functions.spans import match_spans
-from linewright.operators import context, marks, ranks
+from linewright.operators import context, marks, ranks, rules
 from linewright.operators import search as s
 
 FOLD = str.maketrans(UPPER, LOWER)
@@ -91,3 +91,58 @@ def test_many_short_rules(spark, make_lines, monkeypatch):
         monkeypatch.setattr(rules, "MOST_COLUMNS", most)
         got = rules.rules_on_lines(make_lines(*texts), table).collect()
         assert sorted((r.file_id, r.line_no, r.priority) for r in got) == want
+
+
+def test_patterns_of_the_dialect():
+    cases = {
+        "a++b": "(?:a+)+b",
+        "(ab)*+": "(?:(ab)*)+",
+        "x{2}{3}?": "(?:x{2}){3}?",
+        "[[:alpha:]_]+": "[[A-Za-z]_]+",
+        "[[:^digit:]]": "[[^0-9]]",
+        "[]a]": r"[\]a]",
+        r"\(?=": r"\(?=",
+        "(?P<a_b>x)|(?<c>y)": "(x)|(y)",
+        "(?i:A)(?-i)b": "(?i:A)(?-i)b",
+        r"[a-z&&[^e]]\d\p{Lu}": r"[a-z&&[^e]]\d\p{Lu}",
+        r"\u{E9}\v": r"\x{E9}\x0B",
+        "a|+": "a|+",
+    }
+    assert {p: java_pattern(p) for p in cases} == cases
+    for refused in ("(?=a)", "(?<!a)", "(?>a)", r"(a)\1", r"\k<a>", r"\Qa\E", "(?U)a", r"a\Z", "[a--b]", "[a", "a)"):
+        with pytest.raises(ValueError):
+            java_pattern(refused)
+
+
+def test_rules_of_a_table(spark):
+    texts = ["ERROR: Disk full", "no error here", "élan 42", "ÉLAN", "plain"]
+    lines = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "file_id long, line_no long, text string")
+    table = [
+        (0, "error", None, None, None),
+        (1, "error", None, False, None),
+        (2, "élan", None, True, None),
+        (3, "[0-9]++$", None, None, True),
+        (4, "disk full", None, None, False),
+        (5, "a DISK b", None, None, False),
+        (6, "", 4, None, None),
+        (7, " ", None, None, None),
+    ]
+    rules_table = spark.createDataFrame([(p, t, p * 10, a, i, r) for p, t, a, i, r in table], "priority long, pattern string, color long, anchor_line long, ignore_case boolean, regex boolean")
+    want = {(0, 0), (1, 0), (1, 1), (2, 2), (3, 2), (2, 3), (0, 4), (4, 6)}
+    assert {(r.line_no, r.priority) for r in rules.rules_on_lines(lines, rules_table).collect()} == want
+    # more short literals than are tested as columns
+    many = rules_table.unionByName(spark.createDataFrame([(100 + k, f"q{k}", 0, None, None, None) for k in range(rules.MOST_COLUMNS + 1)], rules_table.schema))
+    assert {(r.line_no, r.priority) for r in rules.rules_on_lines(lines, many).collect()} == want
+
+
+def test_groups_and_gaps_across_ranges(spark):
+    numbers = [0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12, 20, 21, 30]
+    rows = spark.createDataFrame([(f, n) for f in (1, 2) for n in numbers], "file_id long, line_no long")
+    starts = {0: 0, 9: 1, 20: 2, 30: 3}
+    for size in (1, 3, 4, 100):
+        groups = {(r.file_id, r.line_no): (r.starts_group, r.group_no) for r in context.context_groups(rows, size).collect()}
+        assert groups == {(f, n): (n in starts, max(g for s, g in starts.items() if s <= n)) for f in (1, 2) for n in numbers}
+        gaps = {(r.file_id, r.line_no): r.gap for r in context.gaps(rows, size).collect()}
+        assert gaps == {(f, n): None if k == 0 else n - numbers[k - 1] - 1 for f in (1, 2) for k, n in enumerate(numbers)}
+        sums = {(r.file_id, r.line_no): (r.p, r.all) for r in ranks.running(rows, F.lit(1), "p", size, "all").collect()}
+        assert sums == {(f, n): (k, len(numbers)) for f in (1, 2) for k, n in enumerate(numbers)}
