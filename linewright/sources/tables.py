@@ -32,8 +32,10 @@ def lines_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = F.col(text_col)
     # what a text has once is computed before its lines part: beside a generator it would be for every line
-    whole = df.select(F.col(id_col).alias("file_id"), text.endswith("\n").alias("_lf"), split_lines(text).alias("_lines"))
-    rows = whole.select("file_id", "_lf", F.size("_lines").alias("_n"), "_lines").select("file_id", "_lf", "_n", F.posexplode("_lines").alias("line_no", "text"))
+    # texts with lines are chosen by a filter that the scan can take; a plain generator would
+    # have them chosen by splitting each text once more
+    whole = df.where(text != "").select(F.col(id_col).alias("file_id"), text.endswith("\n").alias("_lf"), split_lines(text).alias("_lines"))
+    rows = whole.select("file_id", "_lf", F.size("_lines").alias("_n"), "_lines").select("file_id", "_lf", "_n", F.posexplode_outer("_lines").alias("line_no", "text"))
     return rows.select("file_id", F.col("line_no").cast("long").alias("line_no"), "text", F.octet_length("text").cast("long").alias("byte_len"), ((F.col("line_no") < F.col("_n") - 1) | F.col("_lf")).alias("has_lf"))
 
 
