@@ -62,3 +62,12 @@ def url_verdicts(rules: list[tuple[str, str, str]], depth: int = 4, least_rows:
  q AS (SELECT host, template, round((sum(blocked) + {prior_weight}::DOUBLE * (SELECT coalesce(avg(blocked), 0) FROM f)) / (count(*) + {prior_weight}::DOUBLE), 6) AS purity FROM f WHERE blocked IS NOT NULL GROUP BY ALL)
  SELECT page_id, f.host, path, rule, f.template, coalesce(purity, 0.0::DOUBLE) AS purity, CASE WHEN blocked = 1 THEN 'block' WHEN blocked = 0 THEN 'allow' WHEN coalesce(purity, 0) >= {reject_at} THEN 'block' ELSE 'allow' END AS verdict
  FROM f LEFT JOIN q ON q.host = f.host AND q.template = f.template"""
+
+
+FILL_IN_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ k AS (SELECT *, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substring(h, 8 * i + 1, 8) AS BIGINT)) AS g FROM d),
+ c AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR g[3] % 100 >= 100 THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+ p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import language_id, mixing, oracle, packing, quality, set_join, token_counts, toxicity, url_filter, vectors
+from linewright.llm import infill, language_id, mixing, oracle, packing, quality, set_join, token_counts, toxicity, url_filter, vectors
 from linewright.llm.common import table
 
 RULES: list[url_filter.Rule] = [
@@ -61,7 +61,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op6_toxicity, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op6_toxicity, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": oracle.NEAR_VECTORS,
@@ -69,4 +73,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_set_join": oracle.NEAR_DOCUMENTS,
     "op9_mixing": oracle.MIX,
     "op10_url_filter": oracle.url_verdicts(RULES),
+    "op13_fill_in_middle": oracle.FILL_IN_MIDDLE,
 }
