@@ -32,6 +32,8 @@ SLICE_CHARS = 1 << 20
 REMEMBERED = 1 << 17
 #: Words of more bytes are merged with a heap.
 SHORT = 48
+#: Stands for a pair that isn't merged.
+NO_RANK = 1 << 60
 
 
 def printable_bytes() -> dict[str, int]:
@@ -59,10 +61,13 @@ class Vocabulary:
         self.of_byte = [0] * 256
         for shown, byte in byte_of.items():
             self.of_byte[byte] = vocabulary[shown]
-        self.merges: dict[int, tuple[int, int]] = {}
+        # ranks by pair of ids, and what each rank's pair becomes
+        self.merges: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault(vocabulary[left] << 32 | vocabulary[right], (rank, vocabulary[left + right]))
+            self.merges.setdefault(vocabulary[left] << 32 | vocabulary[right], rank)
+            self.made.append(vocabulary[left + right])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         found = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
@@ -74,15 +79,16 @@ class Vocabulary:
         ids, merges = [self.of_byte[b] for b in raw], self.merges
         if len(raw) > SHORT:
             return self._merged_long(ids)
-        while len(ids) > 1:
-            best = None
-            for k in range(len(ids) - 1):
-                found = merges.get(ids[k] << 32 | ids[k + 1])
-                if found is not None and (best is None or found[0] < best[0]):
-                    best = found[0], found[1], k
-            if best is None:
-                break
-            ids[best[2] : best[2] + 2] = [best[1]]
+        rank = merges.get
+        ranks = [rank(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != NO_RANK:
+            k = ranks.index(best)
+            ids[k : k + 2] = [self.made[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(ids[k - 1] << 32 | ids[k], NO_RANK)
+            if k < len(ranks):
+                ranks[k] = rank(ids[k] << 32 | ids[k + 1], NO_RANK)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -92,18 +98,18 @@ class Vocabulary:
         heap = []
 
         def offer(k: int) -> None:
-            if k >= 0 and after[k] < end and (found := merges.get(ids[k] << 32 | ids[after[k]])):
-                heapq.heappush(heap, (found[0], k, ids[k], ids[after[k]], found[1]))
+            if k >= 0 and after[k] < end and (found := merges.get(ids[k] << 32 | ids[after[k]])) is not None:
+                heapq.heappush(heap, (found, k, ids[k], ids[after[k]]))
 
         for k in range(end - 1):
             offer(k)
         while heap:
-            _, k, left, right, made = heapq.heappop(heap)
+            rank, k, left, right = heapq.heappop(heap)
             follower = after[k]
             # the pair may be gone: merged ids are -1
             if ids[k] != left or follower >= end or ids[follower] != right:
                 continue
-            ids[k], ids[follower] = made, -1
+            ids[k], ids[follower] = self.made[rank], -1
             after[k] = after[follower]
             if after[k] < end:
                 before[after[k]] = k
