@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linewright.llm import bpe, infill, language_id, mixing, oracle, packing, quality, set_join, token_counts, toxicity, url_filter, vectors
+from linewright.llm import bpe, infill, language_id, mixing, oracle, packing, periodic, quality, set_join, token_counts, toxicity, url_filter, vectors
 from linewright.llm.common import table
 
 RULES: list[url_filter.Rule] = [
@@ -61,6 +62,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = periodic.planted(F.col("doc_id"), F.col("text"))
+    return periodic.digests(periodic.periodic_runs(docs.select("doc_id", text.alias("text"))))
+
+
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, BYTE_BPE, bpe.compile_lexicon(docs, BYTE_BPE)), BYTE_BPE)
@@ -70,7 +77,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op6_toxicity, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter, op12_bpe_codec, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_packing, op4_language_id, op5_top_k, op6_toxicity, op7_token_counts, op8_set_join, op9_mixing, op10_url_filter, op11_periodic_runs, op12_bpe_codec, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": oracle.NEAR_VECTORS,
