@@ -271,11 +271,15 @@ def planted(doc_id: Column, text: Column) -> Column:
     checksum = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     g = F.floor(checksum / 10).cast("long")
     words = F.regexp_extract_all(text, F.lit(BLANK.replace("[", "[^") + "+"), F.lit(0))
-    n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    place = F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
-    repeated = F.array_join(F.transform(place, lambda i: F.get(words, i.cast("int"))), " ")
+
+    def repeat(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    # as the variable of a lambda the words are found once, not once a word
+    repeated = F.get(F.transform(F.array(words), repeat), 0)
     return F.when((checksum % 10 == 0) & text.rlike(BLANK.replace("[", "[^")), repeated).otherwise(text)
 
 

@@ -85,5 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_set_join": oracle.NEAR_DOCUMENTS,
     "op9_mixing": oracle.MIX,
     "op10_url_filter": oracle.url_verdicts(RULES),
+    "op11_periodic_runs": oracle.PERIODIC_RUNS,
     "op13_fill_in_middle": oracle.FILL_IN_MIDDLE,
 }
