@@ -30,8 +30,8 @@ LEXICON_WORDS, LEXICON_BYTES = 1 << 16, 48
 SLICE_CHARS = 1 << 20
 #: Merged words that a worker remembers; forgotten when full, which changes no result.
 REMEMBERED = 1 << 17
-#: Words of more bytes are merged with a heap.
-SHORT = 48
+#: Words of more bytes are merged with a heap, the others many at a time.
+SHORT, LANES = 48, 1 << 13
 #: Stands for a pair that isn't merged.
 NO_RANK = 1 << 60
 
@@ -63,33 +63,74 @@ class Vocabulary:
             self.of_byte[byte] = vocabulary[shown]
         # ranks by pair of ids, and what each rank's pair becomes
         self.merges: dict[int, int] = {}
-        self.made: list[int] = []
+        made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault(vocabulary[left] << 32 | vocabulary[right], rank)
-            self.made.append(vocabulary[left + right])
+            made.append(vocabulary[left + right])
+        self.made = np.array(made, np.int64)
+        self.pairs = np.array(sorted(self.merges), np.int64)
+        self.rank = np.array([self.merges[p] for p in self.pairs.tolist()], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         found = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
         self.bytes_of = {number: bytes(byte_of[c] for c in token) for token, number in vocabulary.items()} | {n: s.encode("utf-8") for s, n in self.special.items()}
         self.remembered: dict[str, list[int]] = {}
 
-    def merge(self, raw: bytes) -> list[int]:
-        """Ids of one word: the pair of the lowest rank is merged first, the leftmost of equals."""
-        ids, merges = [self.of_byte[b] for b in raw], self.merges
-        if len(raw) > SHORT:
-            return self._merged_long(ids)
-        rank = merges.get
-        ranks = [rank(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != NO_RANK:
-            k = ranks.index(best)
-            ids[k : k + 2] = [self.made[best]]
-            del ranks[k]
-            if k:
-                ranks[k - 1] = rank(ids[k - 1] << 32 | ids[k], NO_RANK)
-            if k < len(ranks):
-                ranks[k] = rank(ids[k] << 32 | ids[k + 1], NO_RANK)
-        return ids
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words: the pair of the lowest rank is merged first, the leftmost of equals."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        few = order[: np.searchsorted(sizes[order], SHORT, side="right")]
+        for begin in range(0, len(few), LANES):
+            lanes = few[begin : begin + LANES].tolist()
+            for k, ids in zip(lanes, self._merged_short([words[k] for k in lanes]), strict=True):
+                out[k] = ids
+        for k in order[len(few) :].tolist():
+            out[k] = self._merged_long([self.of_byte[b] for b in words[k]])
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; -1 beside an id stands for no neighbour."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.rank[at], NO_RANK)
+
+    def _merged_short(self, words: list[bytes]) -> list[list[int]]:
+        """Words of similar length in lockstep: each merges its best pair in every round."""
+        size = np.array([len(w) for w in words])
+        wide = int(size.max(initial=0)) + 1
+        ids = np.full((len(words), wide), -1, np.int64)
+        column = np.arange(wide)
+        ids[column < size[:, None]] = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        ranks[ids[:, 1:] < 0] = NO_RANK
+        going = np.arange(len(words))
+        while len(going):
+            own = ranks[going]
+            at = own.argmin(1)
+            best = own[np.arange(len(going)), at]
+            some = best < NO_RANK
+            going, at, best = going[some], at[some], best[some]
+            # what follows the merged pair moves up by one
+            later = column[:-1] > at[:, None]
+            row = ids[going]
+            row[:, :-1] = np.where(later, row[:, 1:], row[:, :-1])
+            row[:, -1] = -1
+            row[np.arange(len(going)), at] = self.made[best]
+            own = own[some]
+            own[:, :-1] = np.where(later[:, :-1], own[:, 1:], own[:, :-1])
+            own[:, -1] = NO_RANK
+            for place in (at - 1, at):
+                inside = np.flatnonzero(place >= 0)
+                k = place[inside]
+                right = row[inside, k + 1]
+                own[inside, k] = np.where(right < 0, NO_RANK, self._ranks(row[inside, k], right))
+            ids[going], ranks[going] = row, own
+        n = (ids >= 0).sum(1)
+        flat, ends = ids[ids >= 0].tolist(), np.cumsum(n).tolist()
+        return [flat[e - m : e] for e, m in zip(ends, n.tolist(), strict=True)]
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs and links between neighbours: n log n steps."""
@@ -109,7 +150,7 @@ class Vocabulary:
             # the pair may be gone: merged ids are -1
             if ids[k] != left or follower >= end or ids[follower] != right:
                 continue
-            ids[k], ids[follower] = self.made[rank], -1
+            ids[k], ids[follower] = int(self.made[rank]), -1
             after[k] = after[follower]
             if after[k] < end:
                 before[after[k]] = k
@@ -144,16 +185,14 @@ class Encoder(Vocabulary):
         super().__init__(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
 
-    def _unseen(self, word: str) -> list[int]:
-        found = self.remembered.get(word)
-        if found is None:
-            special = self.special.get(word)
-            found = [special] if special is not None else self.merge(word.encode("utf-8"))
-            if len(word) <= SHORT:
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[word] = found
-        return found
+    def _unseen(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words that the lexicon lacks."""
+        if len(self.remembered) > REMEMBERED:
+            self.remembered.clear()
+        new = [w for w in words if w not in self.remembered and w not in self.special]
+        made = dict(zip(new, self.merge([w.encode("utf-8") for w in new]), strict=True))
+        self.remembered.update((w, ids) for w, ids in made.items() if len(w) <= SHORT)
+        return [[self.special[w]] if w in self.special else made[w] if w in made else self.remembered[w] for w in words]
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has)."""
@@ -168,7 +207,7 @@ class Encoder(Vocabulary):
             found, n, ids = self.lexicon.find(raw, ends[few], size[few])
             there[few], counts[few] = found, n
         others = np.flatnonzero(~there)
-        made = [self._unseen(known[int(k)].as_py()) for k in others]
+        made = self._unseen(known.take(pa.array(others)).to_pylist())
         starts = np.zeros(len(known), np.int64)
         seen = np.flatnonzero(there)
         starts[seen] = np.cumsum(counts[seen]) - counts[seen]
@@ -230,7 +269,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, t
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = resident(("bpe", tokenizer, None), lambda: Encoder(tokenizer))
         for batch in batches:
-            ids = pa.array([own.merge(w.encode("utf-8")) for w in batch.column("word").to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array(own.merge([w.encode("utf-8") for w in batch.column("word").to_pylist()]), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids], ["word", "n", "ids"])
 
     special = list(Vocabulary(tokenizer).special)
