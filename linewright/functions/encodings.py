@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def line_feed_width(encoding: str) -> int:
     return {"UTF-16LE": 2, "UTF-16BE": 2, "UTF-32LE": 4, "UTF-32BE": 4}.get(encoding.upper(), 1)
 
 
+def python_codec(encoding: str) -> str:
+    """Python's name of an encoding; its UTF-16LE and the like keep byte-order marks, as ours do."""
+    return codecs.lookup(encoding).name
+
+
 def _zero_pattern(head: bytes) -> str | None:
     """Wide encodings of mostly ASCII text show as zero bytes at fixed places of each four."""
     if len(head) < 8:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ from linewright.operators import changes, context, marks, pages, ranks, rules
 from linewright.operators import search as s
 from linewright.plans import render
 from linewright.sources import files
-from linewright.sources.tables import lines_from_rows, lines_from_table, spread
+from linewright.sources.stores import listed, open_file, store_of
+from linewright.sources.tables import lines_from_rows, lines_from_table
 from linewright.streaming import follow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +42,7 @@ TABBED = "replace(text, '. ', chr(9))"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -602,32 +604,41 @@ def file_states(spark, sf):
 WRITTEN = (("UTF-8", b""), ("UTF-8", b"\xef\xbb\xbf"), ("UTF-16LE", b"\xff\xfe"), ("UTF-16BE", b""), ("UTF-32LE", b"\xff\xfe\x00\x00"), ("windows-1252", b""))
 
 
-def _encoded(spark: SparkSession, sf: str) -> str:
-    """documents' texts as files of several encodings, some per task, whose names hold odd characters."""
-    folder = _folder(spark)
-    place = folder.removeprefix("file:")
+def _stored(df: DataFrame, folder: str, form: Callable[..., tuple[str, bytes, bytes]]) -> None:
+    """Write rows to files of a store, by the executors: form(*row) gives a file's name, what it
+    begins with, and what the row adds to the task's file of that name."""
 
     def write(batches):
-        import os
-
-        os.makedirs(place, exist_ok=True)
         name, opened = uuid.uuid4().hex, {}
+        store, place, _ = store_of(folder)
+        store.create_dir(place, recursive=True)
         for batch in batches:
-            for doc_id, text, narrow in zip(batch["doc_id"], batch["text"], batch["narrow"], strict=True):
-                k = int(doc_id) % 6
-                k = 0 if k == 5 and not narrow else k
-                encoding, mark = WRITTEN[k]
-                if k not in opened:
-                    # the first line tells a legacy file from UTF-8
-                    opened[k] = open(f"{place}/{encoding} {k} %20+#é {name}.log", "wb")  # noqa: SIM115
-                    opened[k].write(mark + "é first\n".encode(encoding))
-                opened[k].write(f"{text}\n".encode(encoding))
+            for row in batch.itertuples(index=False):
+                kind, first, raw = form(*row)
+                if kind not in opened:
+                    opened[kind] = store.open_output_stream(f"{place}/{kind} {name}.log")
+                    opened[kind].write(first)
+                opened[kind].write(raw)
         for file in opened.values():
             file.close()
-        yield batch[["doc_id"]].iloc[:0]
+        yield pd.DataFrame({"n": pd.Series([], dtype="int64")})
+
+    df.mapInPandas(write, "n long").count()
+
+
+def _encoded(spark: SparkSession, sf: str) -> str:
+    """documents' texts as files of several encodings, some per task, whose names hold odd characters."""
 
+    def form(doc_id, text, narrow):
+        k = int(doc_id) % 6
+        k = 0 if k == 5 and not narrow else k
+        encoding, mark = WRITTEN[k]
+        # the first line tells a legacy file from UTF-8
+        return f"{encoding} {k} %20+#é", mark + "é first\n".encode(encoding), f"{text}\n".encode(encoding)
+
+    folder = _folder(spark)
     narrow = ~F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]")
-    docs(spark, sf).where("text IS NOT NULL").select("doc_id", "text", narrow.alias("narrow")).mapInPandas(write, "doc_id long").count()
+    _stored(docs(spark, sf).where("text IS NOT NULL").select("doc_id", "text", narrow.alias("narrow")), folder, form)
     return folder
 
 
@@ -681,41 +692,67 @@ def follow_running_counts(spark, sf):
     return _streamed(spark, stream, "complete").agg(F.sum("matches").alias("matches"), F.sum("processed_lines").alias("processed_lines"))
 
 
-# growing files: written by the executors in steps, followed between them
-
-
-def _grown(spark: SparkSession, sf: str, folder: str, part: float, mark: str = "") -> None:
-    """Each task's documents as one file, of which only the first `part` of the bytes is there
-    yet; `mark` before each line makes another file of it."""
-    place = folder.removeprefix("file:")
-
-    def write(batches):
-        import os
-
-        from pyspark import TaskContext
+# growing files: written whole by the executors, then copied in steps to a folder that is followed
 
-        os.makedirs(place, exist_ok=True)
-        body = "".join(f"{mark}{line}\n" for batch in batches for text in batch["text"] for line in text.split("\n")).encode("utf-8")
-        with open(f"{place}/task {TaskContext.get().partitionId():05}.log", "wb") as file:
-            file.write(body[: int(len(body) * part)])
-        yield batch_of_none()
 
-    def batch_of_none():
-        import pandas as pd
-
-        return pd.DataFrame({"n": pd.Series([], dtype="int64")})
+def _whole(spark: SparkSession, sf: str, encoding: str = "UTF-8", first: bytes = b"", mark: str = "") -> str:
+    """documents' texts, a file for each task; `mark` comes before each line."""
+    folder = _folder(spark)
 
-    docs(spark, sf).where("text IS NOT NULL").select("text").mapInPandas(write, "n long").count()
+    def form(text):
+        return "task", first, "".join(f"{mark}{line}\n" for line in text.split("\n")).encode(encoding)
 
+    _stored(docs(spark, sf).where("text IS NOT NULL").select("text"), folder, form)
+    return folder
 
-def _followed(spark: SparkSession, folder: str) -> None:
-    """What has come to the folder since the last time, appended to out beside it."""
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(f"{folder}-out")
+def _grown(spark: SparkSession, whole: str, folder: str, part: float, step: int = 1 << 20) -> None:
+    """The first `part` of the bytes of each whole file, in files numbered by their names' order."""
+    names = [n for n, _, _ in listed(whole)]
 
-    stream = follow.number_lines(follow.follow_lines(spark, folder.removeprefix("file:")))
-    stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    def copy(batches):
+        store, place, _ = store_of(folder)
+        store.create_dir(place, recursive=True)
+        for batch in batches:
+            for k, name in zip(batch["k"], batch["name"], strict=True):
+                with open_file(name) as source, store.open_output_stream(f"{place}/{k:05}.log") as file:
+                    size = int(source.size() * part)
+                    for at in range(0, size, step):
+                        file.write(source.read_at(min(step, size - at), at))
+        yield pd.DataFrame({"n": pd.Series([], dtype="int64")})
+
+    rows = spark.createDataFrame(list(enumerate(names)), "k int, name string")
+    rows.repartition(max(len(names), 1)).mapInPandas(copy, "n long").count()
+
+
+def _followed(spark: SparkSession, folder: str, twice: bool = False, **options) -> None:
+    """What has come to the folder since the last time, numbered, appended to out beside it;
+    `twice` brings a fifth of the rows a second time, and once each is kept."""
+    number, once = follow.Numbering(f"{folder}-numbers"), follow.OnceEach(f"{folder}-once")
+
+    def keep(batch: DataFrame, k: int) -> None:
+        rows = number(batch, k)
+        if twice:
+            rows = once(rows.unionByName(rows.where("line_no % 5 = 0")), k)
+        rows.write.mode("append").parquet(f"{folder}-out")
+
+    stream = follow.follow_lines(spark, folder, state=f"{folder}-offsets", **options)
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}-checkpoint").foreachBatch(keep)
+    if "max_bytes" not in options:
+        query.trigger(availableNow=True).start().awaitTermination()
+        return
+    # several batches of the limit's size
+    running = query.start()
+    running.processAllAvailable()
+    running.stop()
+
+
+def _agreeing(spark: SparkSession, folder: str, encoding: str) -> DataFrame:
+    """Followed lines that agree in file, number, text and place with a reading of the whole files."""
+    name = F.element_at(F.split("file_id", "/"), -1).alias("file")
+    whole = files.read_lines(spark, folder, encoding=encoding, geometry=True).select(name, "line_no", "text", "byte_start")
+    followed = spark.read.parquet(f"{folder}-out").where("generation = 0").select(name, "line_no", "text", "byte_start")
+    return followed.join(whole, ["file", "line_no", "text", "byte_start"]).groupBy("text").agg(F.count("*").alias("n"))
 
 
 SPLIT = "w AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL)"
@@ -723,31 +760,33 @@ SPLIT = "w AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents
 
 @query(" SELECT text, count(*) AS n FROM w GROUP BY text", prefix=SPLIT)
 def follow_growing_files(spark, sf):
-    """Files cut within a line, followed, completed, followed again: lines that agree in file,
-    number and text with a reading of the whole files."""
-    folder = _folder(spark)
+    """Files cut within a line, followed in limited batches, completed, followed again."""
+    folder, whole = _folder(spark), _whole(spark, sf)
     for part in (0.37, 0.8, 1.0):
-        _grown(spark, sf, folder, part)
+        _grown(spark, whole, folder, part)
+        _followed(spark, folder, max_bytes=1 << 22)
+    return _agreeing(spark, folder, "UTF-8")
+
+
+@query(" SELECT text, count(*) AS n FROM (SELECT text FROM w UNION ALL SELECT 'first line') GROUP BY text HAVING text <> 'first line'", prefix=SPLIT)
+def follow_wide_files(spark, sf):
+    """UTF-16LE files with a mark, whose growths end within lines and characters."""
+    folder, whole = _folder(spark), _whole(spark, sf, "utf-16-le", "\ufefffirst line\n".encode("utf-16-le"))
+    for part in (0.31, 0.7777, 1.0):
+        _grown(spark, whole, folder, part)
         _followed(spark, folder)
-    name = F.element_at(F.split("file_id", "/"), -1).alias("file")
-    whole = files.read_lines(spark, folder, encoding="UTF-8", geometry=True).select(name, "line_no", "text", "byte_start")
-    followed = spark.read.parquet(f"{folder}-out").select(name, "line_no", "text", "byte_start")
-    return followed.join(whole, ["file", "line_no", "text", "byte_start"]).groupBy("text").agg(F.count("*").alias("n"))
+    return _agreeing(spark, folder, "UTF-16LE").where("text <> 'first line'")
 
 
-@query(" SELECT text, count(*) AS n FROM (SELECT text FROM w UNION ALL SELECT 'again ' || text FROM w) GROUP BY text", prefix=SPLIT)
+@query(" SELECT generation, text, count(*) AS n FROM (SELECT 0 AS generation, text FROM w UNION ALL SELECT 1, 'again ' || text FROM w) GROUP BY ALL", prefix=SPLIT)
 def follow_rewritten_files(spark, sf):
-    """Files that are followed, then replaced: the new ones' lines come from their beginnings,
-    numbered from 0, and each once though the last line of the first reading is read again."""
+    """Files that are followed, then replaced: the new ones' lines come from their beginnings as
+    another generation, numbered from 0, and each once though some are read again."""
     folder = _folder(spark)
-    _grown(spark, sf, folder, 1.0)
-    _followed(spark, folder)
-    _grown(spark, sf, folder, 1.0, "again ")
-    _followed(spark, folder)
+    for mark in ("", "again "):
+        _grown(spark, _whole(spark, sf, mark=mark), folder, 1.0)
+        _followed(spark, folder, twice=True)
     rows = spark.read.parquet(f"{folder}-out")
-    kind = F.startswith("text", F.lit("again "))
-    overlap = rows.withColumn("kind", kind)
-    once = follow.once_each(overlap.unionByName(overlap.where("line_no % 5 = 0")).withColumn("file_id", F.concat("file_id", kind.cast("string"))))
     # numbers without a gap, from 0, in each of a file's two lives
-    gapless = once.groupBy("file_id").agg((F.max("line_no") + 1 == F.count("*")).alias("gapless"))
-    return once.join(gapless.where("gapless"), "file_id").groupBy("text").agg(F.count("*").alias("n"))
+    gapless = rows.groupBy("file_id", "generation").agg((F.max("line_no") + 1 == F.count_distinct("line_no")).alias("gapless"))
+    return rows.join(gapless.where("gapless"), ["file_id", "generation"]).groupBy("generation", "text").agg(F.count("*").alias("n"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 
 from linewright.checkpoints import cut
 from linewright.functions.encodings import HEAD_BYTES, decode_lossy, detect, line_feed_width
+from linewright.sources.stores import open_file
 
 #: Bytes that are hashed at each end of a file.
 WINDOW_BYTES = 5 * 1024 * 1024
@@ -28,16 +28,6 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return found.dropDuplicates(["file_id"])
 
 
-def _open(path: str):
-    """A file's stream and size through its store, local or not; only what is read is fetched."""
-    import pyarrow.fs
-
-    if "://" not in path or path.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
-    store, inner = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
-    return store.open_input_file(inner)
-
-
 def _literal(path: str) -> str:
     """The path as a pattern that only it fits."""
     return re.sub(r"([\\*?{}\[\]])", r"\\\1", path)
@@ -54,7 +44,7 @@ def detect_encodings(files: DataFrame, fallback: str = "windows-1252", head_byte
         for batch in batches:
             made = []
             for path in batch["file_id"]:
-                with _open(path) as stream:
+                with open_file(path) as stream:
                     made.append(detect(stream.read_at(min(head_bytes, stream.size()), 0), fallback))
             yield batch.assign(encoding=[m[0] for m in made], bom_width=[m[1] for m in made])
 
@@ -78,7 +68,7 @@ def file_states(files: DataFrame, window: int = WINDOW_BYTES, old: DataFrame | N
         for batch in batches:
             rows = []
             for path, was in zip(batch["file_id"], batch["old_len"], strict=True):
-                with _open(path) as stream:
+                with open_file(path) as stream:
                     size = stream.size()
                     head = stream.read_at(min(window, size), 0)
                     tail = stream.read_at(min(window, size), max(0, size - window))

@@ -6,17 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: A table of at most this many bytes is dealt evenly over the cores.
-SPREAD_BYTES = 256 << 20
-
-
-def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
-    """A small table dealt evenly over the cores, as its one file may be one block that a
-    single task would read and split; a larger one as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
-
-
 def split_lines(text: Column) -> Column:
     """The text's lines: LF ends a line, CR is content, a last LF starts no further line, and
     an empty text has no line."""

@@ -1,28 +1,38 @@
 """Following files: growing ones by byte ranges, rotated ones by new files.
 
-`GrowingFiles` is a streaming source whose offset is, per file, the end of its last whole
-line. Each batch's ranges are planned from offsets alone and read by the executors. A part
-of a line after the last LF waits until its LF comes, or is flushed on request.
+`GrowingFiles` is a streaming source whose offset holds, for each file, the end of its last
+whole line, its encoding and its generation, which a rewrite raises. Each batch's ranges are
+planned from offsets alone and read by the executors. A part of a line after the last LF waits
+until its LF comes, or is flushed on request.
+
+What a stream has to remember of its files (how many lines came before, how far matches went)
+is a row for each file, written batch by batch: see `FileState`. Lines themselves are never
+grouped by file.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import json
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
+from linewright.checkpoints import cut
+from linewright.functions.encodings import HEAD_BYTES, detect, line_feed_width, python_codec
 from linewright.functions.predicates import Search, in_range, matches
+from linewright.sources.stores import listed, open_file, read_text, write_bytes
 
-SCHEMA = "file_id string, byte_start long, text string, byte_len long, has_lf boolean"
-#: Bytes of one input partition, and of a file's beginning that tells a rewrite from growth.
-RANGE_BYTES, HEAD_BYTES, STEP = 32 << 20, 1 << 16, 1 << 16
+SCHEMA = "file_id string, generation int, range_start long, range_line long, byte_start long, text string, byte_len long, has_lf boolean"
+#: Bytes of one input partition, and of what is read at once.
+RANGE_BYTES, STEP = 32 << 20, 1 << 20
+#: What a batch's ranges, or a state's files, may be to be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 class FileRewritten(RuntimeError):
@@ -30,26 +40,36 @@ class FileRewritten(RuntimeError):
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first: bool, last: bool):
-        self.path, self.start, self.end, self.first, self.last = path, start, end, first, last
-
-
-def _last_line_end(path: str, start: int, size: int) -> int:
-    """The place after the last LF of [start, size), or start; the file is read from its end."""
-    with open(path, "rb") as file:
-        while size > start:
-            begin = max(start, size - STEP)
-            file.seek(begin)
-            at = file.read(size - begin).rfind(b"\n")
-            if at >= 0:
-                return begin + at + 1
-            size = begin
+    def __init__(self, path: str, start: int, end: int, first: bool, to: dict):
+        self.path, self.start, self.end, self.first, self.to = path, start, end, first, to
+
+
+def feeds(raw: bytes, encoding: str) -> np.ndarray:
+    """Where lines end in bytes that begin at a character: places behind each LF."""
+    width = line_feed_width(encoding)
+    order = ">" if encoding.upper().endswith("BE") else "<"
+    units = np.frombuffer(raw, f"{order}u{width}", len(raw) // width)
+    return (np.flatnonzero(units == 10) + 1) * width
+
+
+def last_line_end(stream, start: int, size: int, encoding: str) -> int:
+    """The place behind the last LF of [start, size), or start; read from the end, in steps."""
+    while size > start:
+        begin = max(start, size - STEP)
+        ends = feeds(stream.read_at(size - begin, begin), encoding)
+        if len(ends):
+            return begin + int(ends[-1])
+        size = begin
     return start
 
 
-def _mark(path: str, length: int) -> int:
-    with open(path, "rb") as file:
-        return zlib.crc32(file.read(length))
+def next_line_end(stream, start: int, size: int, encoding: str) -> int | None:
+    """The place behind the first LF of [start, size)."""
+    for begin in range(start, size, STEP):
+        ends = feeds(stream.read_at(min(STEP, size - begin), begin), encoding)
+        if len(ends):
+            return begin + int(ends[0])
+    return None
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -57,61 +77,137 @@ class GrowingReader(DataSourceStreamReader):
         self.pattern = options["path"]
         self.flush = options.get("flush", "false").lower() == "true"
         self.on_truncate = options.get("on_truncate", options.get("onTruncate", "reset"))
-        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
-        self.known: dict[str, dict] = {}
+        self.range_bytes = -(-int(options.get("range_bytes", RANGE_BYTES)) // 4) * 4
+        self.max_bytes = int(options["max_bytes"]) if options.get("max_bytes") else None
+        self.encoding, self.fallback = options.get("encoding"), options.get("fallback", "windows-1252")
+        self.state = options.get("state")
+        self.known: dict[str, dict] | None = None
+        self.looked: dict[str, tuple] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
-    def latestOffset(self, *_) -> dict:
-        paths = sorted(glob.glob(os.path.join(self.pattern, "*") if os.path.isdir(self.pattern) else self.pattern))
-        out = {}
-        for path in paths:
-            if not os.path.isfile(path):
-                continue
-            size, was = os.path.getsize(path), self.known.get(path)
-            start = was["end"] if was and size >= was["end"] and _mark(path, was["head"]) == was["mark"] else 0
-            if was and not start and was["end"] and self.on_truncate == "fail":
-                raise FileRewritten(path)
-            end = size if self.flush else _last_line_end(path, start, size)
-            head = min(end, HEAD_BYTES)
-            out[path] = {"end": end, "head": head, "mark": _mark(path, head)}
+    def _coding(self, stream, size: int) -> tuple[str, int]:
+        found, width = detect(stream.read_at(min(HEAD_BYTES, size), 0), self.fallback)
+        if self.encoding is None:
+            return found, width
+        return self.encoding, width if found.upper() == self.encoding.upper() else 0
+
+    def latestOffset(self) -> dict:
+        if self.known is None:
+            self.known = json.loads(read_text(f"{self.state}/offsets.json") or "{}") if self.state else {}
+        known = self.known
+        # a file that has gone keeps its generation, so that one that comes in its place gets another
+        out = {path: was | {"end": 0, "head": 0, "mark": 0, "gone": True} for path, was in known.items()}
+        waiting = []
+        for path, size, changed in listed(self.pattern):
+            if path in known and self.looked.get(path) == (size, changed, known[path]["end"]):
+                out[path] = known[path]
+            else:
+                waiting.append((path, size, changed))
+        share = None if self.max_bytes is None else max(self.max_bytes // max(len(waiting), 1), 1)
+        for path, size, changed in waiting:
+            out[path] = self._grown(path, size, known.get(path), share)
+            self.looked[path] = size, changed, out[path]["end"]
+            if out[path]["end"] < size and share is not None:
+                del self.looked[path]
         self.known = out
         return out
 
+    def _grown(self, path: str, size: int, was: dict | None, share: int | None) -> dict:
+        with open_file(path) as stream:
+            size = min(size, stream.size())
+            goes_on = was is not None and not was.get("gone") and self._goes_on(stream, size, was)
+            if was and not goes_on and was["end"] and self.on_truncate == "fail":
+                raise FileRewritten(path)
+            start = was["end"] if goes_on else 0
+            # what is known of a file's encoding may change until its first line is there
+            encoding, bom = (was["encoding"], was["bom"]) if start else self._coding(stream, size)
+            width = line_feed_width(encoding)
+            whole = size - size % width
+            stop = whole if share is None else min(whole, start + max(share - share % width, width))
+            end = stop if self.flush and stop == whole else last_line_end(stream, start, stop, encoding)
+            if end == start and stop < whole:
+                # a line longer than the limit comes alone
+                end = next_line_end(stream, stop, whole, encoding) or (whole if self.flush else start)
+            head = min(end, HEAD_BYTES)
+            generation = 0 if was is None else was["generation"] + (not goes_on)
+            return {"end": end, "head": head, "mark": zlib.crc32(stream.read_at(head, 0)), "encoding": encoding, "bom": bom, "generation": generation}
+
+    @staticmethod
+    def _goes_on(stream, size: int, was: dict) -> bool:
+        return size >= was["end"] and zlib.crc32(stream.read_at(was["head"], 0)) == was["mark"]
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        # this offset is in the stream's log: what comes next goes on from it, in this run or another
+        self.known = end
+        if self.state:
+            write_bytes(f"{self.state}/offsets.json", json.dumps(end).encode())
         ranges = []
         for path, to in sorted(end.items()):
-            was = start.get(path, {"end": 0, "head": 0, "mark": 0})
-            grown = to["end"] >= was["end"] and (to["head"] >= was["head"]) and _mark(path, was["head"]) == was["mark"]
-            if not grown and self.on_truncate == "fail":
-                raise FileRewritten(path)
-            begin = was["end"] if grown else 0
+            was = start.get(path)
+            if was == to or not to["end"]:
+                continue
+            begin = 0
+            if was is not None and was["end"] and was["generation"] <= to["generation"]:
+                with open_file(path) as stream:
+                    begin = was["end"] if to["end"] >= was["end"] and self._goes_on(stream, to["end"], was) else 0
+                if not begin and self.on_truncate == "fail":
+                    raise FileRewritten(path)
             for at in range(begin, to["end"], self.range_bytes):
-                ranges.append(Range(path, at, min(at + self.range_bytes, to["end"]), at == begin, at + self.range_bytes >= to["end"]))
+                ranges.append(Range(path, at, min(at + self.range_bytes, to["end"]), at == begin, to))
         return ranges
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         """The lines that begin in the range; one that runs on is read to its end."""
-        with open(part.path, "rb") as file:
-            file.seek(part.start if part.first else part.start - 1)
+        encoding, stop = part.to["encoding"], part.to["end"]
+        width, codec = line_feed_width(encoding), python_codec(encoding)
+        number, at = 0, part.start
+        with open_file(part.path) as stream:
             if not part.first:
-                file.readline()  # the range before has it
-            while (at := file.tell()) < part.end:
-                raw = file.readline()
-                if not raw:
-                    break
-                ended = raw.endswith(b"\n")
-                body = raw[:-1] if ended else raw
-                mark = 3 if at == 0 and body.startswith(b"\xef\xbb\xbf") else 0
-                yield part.path, at + mark, body[mark:].decode("utf-8", "replace"), len(body) - mark, ended
+                # the range before has the line that goes on into this one
+                at = next_line_end(stream, at - width, stop, encoding) or stop
+            begin, pieces = at, []  # the first line not yet given, and its bytes so far
+            while begin < part.end and at < stop and (raw := stream.read_at(min(STEP, stop - at), at)):
+                ends = at + feeds(raw, encoding)
+                at += len(raw)
+                if at >= stop and (not len(ends) or ends[-1] < stop):
+                    ends = np.append(ends, stop)
+                pieces.append(raw)
+                if not len(ends):
+                    continue
+                held = b"".join(pieces)
+                starts = np.append([begin], ends[:-1])
+                own = starts < part.end
+                yield self._rows(part, held, begin, starts[own], ends[own], codec, number)
+                number += int(own.sum())
+                if not own.all():
+                    return
+                pieces, begin = [held[int(ends[-1]) - begin :]], int(ends[-1])
+
+    def _rows(self, part: Range, held: bytes, base: int, starts: np.ndarray, ends: np.ndarray, codec: str, number: int) -> pa.RecordBatch:
+        texts, places, sizes, fed = [], [], [], []
+        feed = "\n".encode(codec)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            line = held[a - base : b - base]
+            ended = line.endswith(feed)
+            mark = part.to["bom"] if a == 0 else 0
+            body = line[mark : len(line) - len(feed) * ended]
+            texts.append(body.decode(codec, "replace"))
+            places.append(a + mark)
+            sizes.append(len(body))
+            fed.append(ended)
+        n = len(texts)
+        columns = [pa.array([part.path] * n), pa.array([part.to["generation"]] * n, pa.int32()), pa.array([part.start] * n, pa.int64()), pa.array(range(number, number + n), pa.int64())]
+        columns += [pa.array(places, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(fed, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["file_id", "generation", "range_start", "range_line", "byte_start", "text", "byte_len", "has_lf"])
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class GrowingFiles(DataSource):
-    """spark.readStream.format("growing_files").option("flush", ...).load(folder or pattern)"""
+    """spark.readStream.format("growing_files").option("flush", ...).load(file, folder or pattern)"""
 
     @classmethod
     def name(cls) -> str:
@@ -124,15 +220,25 @@ class GrowingFiles(DataSource):
         return GrowingReader(self.options)
 
 
-def follow_lines(spark: SparkSession, path: str, flush: bool = False, on_truncate: str = "reset") -> DataFrame:
+def follow_lines(spark: SparkSession, path: str, flush: bool = False, on_truncate: str = "reset", max_bytes: int | None = None, state: str | None = None, encoding: str | None = None, **options) -> DataFrame:
     """A stream of the lines appended to files (SCHEMA), each once and in order within a file.
 
-    on_truncate: `reset` reads a rewritten or shortened file from its beginning, `fail` ends
-    the stream. flush emits the part of a line at a file's end (has_lf false) at once; what is
-    appended to it later comes as a line that begins inside it.
+    on_truncate: `reset` reads a rewritten or shortened file from its beginning, as a further
+    generation, `fail` ends the stream. flush emits the part of a line at a file's end (has_lf
+    false) at once; what is appended to it later comes as a line that begins inside it.
+    max_bytes limits a batch, shared evenly by the files that grew, but for lines that are
+    longer; with the trigger availableNow, which plans one batch, a run takes that much. state
+    names a folder of the shared store in which generations outlive the stream's process;
+    without it they are counted from 0 again when a stream is restarted. Each file's encoding
+    is detected at its first line unless one is given; LFs are looked for at whole characters.
+    range_line numbers a range's lines from 0: see `Numbering`.
     """
     spark.dataSource.register(GrowingFiles)
-    return spark.readStream.format("growing_files").option("flush", str(flush).lower()).option("on_truncate", on_truncate).load(path)
+    given = {"flush": str(flush).lower(), "on_truncate": on_truncate, "max_bytes": max_bytes, "state": state, "encoding": encoding} | options
+    reader = spark.readStream.format("growing_files")
+    for name, value in given.items():
+        reader = reader.option(name, str(value)) if value is not None else reader
+    return reader.load(path)
 
 
 def follow_new_files(spark: SparkSession, path: str) -> DataFrame:
@@ -140,26 +246,81 @@ def follow_new_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("text"))
 
 
-def number_lines(stream: DataFrame) -> DataFrame:
-    """(file_id, line_no, text, byte_start, byte_len, has_lf) with line numbers that run on from
-    batch to batch; a line at byte 0 starts them anew, as after a rewrite."""
+class FileState:
+    """A table of a row for each file, rewritten by each batch of a stream in a shared folder.
+
+    Two places take turns, so that a batch that is run again finds what the batch before it
+    left. A row without a file tells which batch wrote a place.
+    """
 
-    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # a BOM moves the first line's start to byte 3
-        rows = pd.concat(list(frames)).sort_values("byte_start", kind="stable")
-        done, pending = state.get if state.exists else (0, -1)
-        if rows["byte_start"].iat[0] in (0, 3) and done:
-            done, pending = 0, -1
-        # a line that begins inside one already emitted is the rest of it
-        goes_on = pending >= 0 and rows["byte_start"].iat[0] >= pending
-        first = done - 1 if goes_on else done
-        rows = rows.assign(line_no=range(first, first + len(rows)))
-        ended = bool(rows["has_lf"].iat[-1])
-        state.update((first + len(rows), -1 if ended else int(rows["byte_start"].iat[-1] + rows["byte_len"].iat[-1])))
-        yield rows[["file_id", "line_no", "text", "byte_start", "byte_len", "has_lf"]]
+    def __init__(self, folder: str, value: str):
+        self.folder, self.value = folder, value
+        self.schema = f"file_id string, generation int, {value} long"
 
-    schema = "file_id string, line_no long, text string, byte_start long, byte_len long, has_lf boolean"
-    return stream.groupBy("file_id").applyInPandasWithState(number, schema, "done long, pending long", "append", GroupStateTimeout.NoTimeout)
+    def before(self, spark: SparkSession, batch: int) -> DataFrame:
+        """What the batch before left: (file_id, generation, the value)."""
+        if batch == 0:
+            return spark.createDataFrame([], self.schema)
+        rows = spark.read.schema(self.schema).parquet(f"{self.folder}/{(batch - 1) % 2}")
+        if rows.where(F.col("file_id").isNull()).first()[2] != batch - 1:
+            raise ValueError(f"{self.folder} doesn't hold the state after batch {batch - 1}")
+        return rows.where(F.col("file_id").isNotNull())
+
+    def keep(self, rows: DataFrame, batch: int) -> None:
+        """Leave the values for the next batch; of a file's generations only the last."""
+        last = rows.groupBy("file_id").agg(F.max(F.struct("generation", self.value)).alias("last")).select("file_id", "last.*")
+        marker = rows.sparkSession.createDataFrame([(None, -1, batch)], self.schema)
+        last.unionByName(marker).write.mode("overwrite").parquet(f"{self.folder}/{batch % 2}")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+class Numbering:
+    """Line numbers that run on from batch to batch, for foreachBatch: called with a batch of
+    followed lines and its number, it gives the batch with line_no.
+
+    Each range counts its lines; a running sum over a file's ranges, on top of what the file
+    had before, gives the number at which each begins, and a line's place in its range gives the
+    rest. So the lines of one file are numbered by as many tasks as there are ranges, and none
+    is shuffled. A generation is numbered from 0; a line that begins inside one already given
+    (flush) has its number.
+    """
+
+    def __init__(self, folder: str):
+        self.state = FileState(folder, "lines")
+
+    def __call__(self, batch: DataFrame, number: int) -> DataFrame:
+        file = ["file_id", "generation"]
+        before = self.state.before(batch.sparkSession, number)
+        counts = cut(batch.groupBy(*file, "range_start").agg(F.count_if("has_lf").alias("n")))
+        upto = Window.partitionBy(*file).orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts.join(before, file, "left")
+        base = sums.select(*file, "range_start", (F.coalesce("lines", F.lit(0)) + F.coalesce(F.sum("n").over(upto), F.lit(0))).alias("_base"))
+        more = counts.select(*file, F.col("n").alias("lines")).unionByName(before)
+        self.state.keep(more.groupBy(*file).agg(F.sum("lines").alias("lines")), number)
+        rows = batch.join(_small(cut(base)), [*file, "range_start"])
+        return rows.select("file_id", "generation", (F.col("_base") + F.col("range_line")).alias("line_no"), "text", "byte_start", "byte_len", "has_lf")
+
+
+class OnceEach:
+    """Rows of followed lines without those that a repeated read brings again, for foreachBatch:
+    what begins before the end of the last row that came of a file and generation is dropped.
+    Remembered is a number for each file, however many rows came."""
+
+    def __init__(self, folder: str):
+        self.state = FileState(folder, "upto")
+
+    def __call__(self, batch: DataFrame, number: int) -> DataFrame:
+        file = ["file_id", "generation"]
+        before = cut(self.state.before(batch.sparkSession, number))
+        last = _small(before.select("file_id", F.col("generation").alias("_last"), F.col("upto").alias("_upto")))
+        new = F.col("_last").isNull() | (F.col("generation") > F.col("_last")) | ((F.col("generation") == F.col("_last")) & (F.col("byte_start") >= F.col("_upto")))
+        fresh = cut(batch.join(last, "file_id", "left").where(new).drop("_last", "_upto").dropDuplicates([*file, "byte_start"]))
+        ends = fresh.groupBy(*file).agg(F.max(F.col("byte_start") + F.col("byte_len") + F.col("has_lf").cast("int")).alias("upto"))
+        self.state.keep(ends.unionByName(before), number)
+        return fresh
 
 
 def follow_search(lines: DataFrame, search: Search, resume: int | None = None) -> DataFrame:
@@ -172,12 +333,9 @@ def follow_search(lines: DataFrame, search: Search, resume: int | None = None) -
     return found
 
 
-def once_each(found: DataFrame) -> DataFrame:
-    """Matches without those that a repeated read brings again."""
-    return found.dropDuplicates(["file_id", "line_no"])
-
-
 def running_counts(lines: DataFrame, search: Search) -> DataFrame:
-    """Per file, over all batches so far: matches and processed_lines (update or complete mode)."""
+    """Per file (and generation, where lines have one), over all batches so far: matches and
+    processed_lines (update or complete mode)."""
     hit = matches(F.col("text"), search.checked(lines.sparkSession))
-    return lines.groupBy("file_id").agg(F.count_if(hit).alias("matches"), F.count("*").alias("processed_lines"))
+    keys = [k for k in ("file_id", "generation") if k in lines.columns]
+    return lines.groupBy(*keys).agg(F.count_if(hit).alias("matches"), F.count("*").alias("processed_lines"))
