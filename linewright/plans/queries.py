@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.checkpoints import shared_folder
+from linewright.checkpoints import cut, shared_folder
 from linewright.functions import display
 from linewright.functions.encodings import encoding_name
 from linewright.functions.predicates import Search
@@ -593,13 +593,6 @@ def scanned_geometry(spark, sf):
     return info.where("n = last").agg(F.sum("n").alias("line_count"), F.sum("size").alias("size"), F.max("longest").alias("max_line_len"))
 
 
-@query()
-def file_states(spark, sf):
-    found = files.list_files(spark, _written(spark, sf))
-    state = files.file_states(found, window=4096)
-    return changes.change_kind(state, files.file_states(found, window=4096, old=state)).join(files.detect_encodings(found).select("file_id", "encoding", "bom_width"), "file_id")
-
-
 #: The encodings in which encoded_files writes, by doc_id modulo 6, and their marks.
 WRITTEN = (("UTF-8", b""), ("UTF-8", b"\xef\xbb\xbf"), ("UTF-16LE", b"\xff\xfe"), ("UTF-16BE", b""), ("UTF-32LE", b"\xff\xfe\x00\x00"), ("windows-1252", b""))
 
@@ -669,6 +662,75 @@ def file_reports(spark, sf):
     return info.groupBy(form.alias("k")).agg((F.sum("line_count") - F.count("*")).alias("line_count"), F.max("max_line_len").alias("max_line_len"))
 
 
+@query(" SELECT encoding, text, count(*) AS n FROM (SELECT ['UTF-16LE', 'UTF-16BE'][doc_id % 2 + 1] AS encoding, unnest(string_split(replace(text, 'e', 'ਊĀਊ'), chr(10))) AS text FROM documents WHERE text IS NOT NULL) GROUP BY ALL", prefix="")
+def straddled_feeds(spark, sf):
+    """Characters of two bytes between which the bytes of an LF stand."""
+
+    def form(doc_id, text):
+        encoding, mark = (("UTF-16LE", b"\xff\xfe"), ("UTF-16BE", b"\xfe\xff"))[int(doc_id) % 2]
+        return encoding, mark, (text.replace("e", "ਊĀਊ") + "\n").encode(encoding)
+
+    folder = _folder(spark)
+    _stored(docs(spark, sf).where("text IS NOT NULL").select("doc_id", "text"), folder, form)
+    rows = files.read_lines(spark, folder)
+    return rows.groupBy(F.regexp_extract("file_id", "(UTF-16.E)[^/]*$", 1).alias("encoding"), "text").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT text, count(*) AS n FROM (SELECT unnest(string_split(replace(replace(text, 'e ', chr(65533) || chr(65533) || ' '), 'the', 'th' || chr(65533)), chr(10))) AS text FROM documents WHERE text IS NOT NULL) GROUP BY text", prefix="")
+def invalid_bytes(spark, sf):
+    """Bytes that no character begins with, and beginnings of characters that don't go on; the
+    folder is named twice, and as a pattern, and read once."""
+
+    def form(text):
+        return "raw", b"", (text.replace("e ", "\x00 ").replace("the", "th\x01") + "\n").encode().replace(b"\x00", b"\xff\xc3").replace(b"\x01", b"\xe2\x82")
+
+    folder = _folder(spark)
+    _stored(docs(spark, sf).where("text IS NOT NULL").select("text"), folder, form)
+    return files.read_lines(spark, [folder, folder, f"{folder}/*"], encoding="UTF-8").groupBy("text").agg(F.count("*").alias("n"))
+
+
+def _altered(spark: SparkSession, found: DataFrame, step: int = 1 << 20) -> None:
+    """Write each file anew, by the digit that begins its name: 0 as it was, 1 longer, 2 cut in
+    half, 3 its first byte another, 4 its middle byte another, 5 its first byte another and longer."""
+
+    def write(batches):
+        for batch in batches:
+            for path in batch["file_id"]:
+                store, inner, _ = store_of(path)
+                k = int(inner.rpartition("/")[2][0])
+                with open_file(path) as old, store.open_output_stream(f"{inner}.new") as new:
+                    size = old.size()
+                    spot = {3: 0, 4: size // 2, 5: 0}.get(k)
+                    stop = size // 2 if k == 2 else size
+                    for at in range(0, stop, step):
+                        raw = bytearray(old.read_at(min(step, stop - at), at))
+                        if spot is not None and at <= spot < at + len(raw):
+                            raw[spot - at] ^= 1
+                        new.write(bytes(raw))
+                    new.write(b"more\n" if k in (1, 5) else b"")
+                store.move(f"{inner}.new", inner)
+        yield pd.DataFrame({"n": pd.Series([], dtype="int64")})
+
+    found.select("file_id").mapInPandas(write, "n long").count()
+
+
+@query(
+    """ SELECT doc_id % 6 AS kind, ['Unchanged', 'DataAdded', 'Truncated', 'Truncated', 'Unchanged', 'Truncated'][doc_id % 6 + 1] AS change, 'UTF-8' AS encoding, 0 AS bom_width, CAST(sum(len(string_split(text, chr(10))) + 1) AS BIGINT) AS line_count FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
+    prefix="",
+)
+def file_states(spark, sf):
+    """Snapshots before and after files were written anew; what changes beyond the bytes that are
+    hashed, at the same size, isn't seen."""
+    folder = _folder(spark)
+    _stored(docs(spark, sf).where("text IS NOT NULL").select("doc_id", "text"), folder, lambda doc_id, text: (f"{doc_id % 6}", b"", f"a line that begins the document\n{text}\n".encode()))
+    found = files.list_files(spark, folder)
+    state, info = cut(files.file_states(found, window=16)), cut(files.describe_files(spark, folder))
+    _altered(spark, found)
+    change = changes.change_kind(state, files.file_states(files.list_files(spark, folder), window=16, old=state))
+    kind = F.regexp_extract("file_id", "([0-9]) [^/]*$", 1).cast("long")
+    return change.join(info, "file_id").groupBy(kind.alias("kind"), "change", "encoding", "bom_width").agg(F.sum("line_count").alias("line_count"))
+
+
 def _streamed(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream has to give now, through Parquet in the shared folder."""
     folder = _folder(spark)

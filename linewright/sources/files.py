@@ -7,12 +7,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linewright.checkpoints import cut
 from linewright.functions.encodings import HEAD_BYTES, decode_lossy, detect, line_feed_width
+from linewright.sources.ranges import LINE, RANGE_BYTES, range_lines
 from linewright.sources.stores import open_file
 
 #: Bytes that are hashed at each end of a file.
@@ -87,9 +89,8 @@ def _scan(spark: SparkSession, marks: list[tuple[str, int]], encoding: str) -> D
     file's splits gives the numbers at which they begin, and a line's place within its split
     gives the rest.
     """
-    width = line_feed_width(encoding)
     reader = spark.read.option("lineSep", "\n")
-    if width > 1 or encoding.upper() not in ("UTF-8", "UTF8"):
+    if encoding.upper() not in ("UTF-8", "UTF8"):
         # any charset of the JVM, and lossy decoding
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
@@ -99,7 +100,7 @@ def _scan(spark: SparkSession, marks: list[tuple[str, int]], encoding: str) -> D
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     raw = reader.text([_literal(path) for path, _ in marks]).select("value", plain.alias("file_id"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
     length = F.octet_length("value").cast("long")
-    blocks = raw.groupBy("file_id", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum(length + width).alias("bytes"))
+    blocks = raw.groupBy("file_id", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum(length + 1).alias("bytes"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.select("file_id", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
     # marks go to the blocks, not to the lines; the scan may write file:/ for file:///
@@ -108,11 +109,36 @@ def _scan(spark: SparkSession, marks: list[tuple[str, int]], encoding: str) -> D
     known = F.when(F.col("_path").isNull(), F.raise_error(F.concat(F.lit("a scanned file that was not listed: "), F.col("file_id")))).otherwise(F.col("bom"))
     base = cut(base.join(named, path("file_id") == F.col("_path"), "left").withColumn("bom", known).drop("_path"))
     joined = raw.join(F.broadcast(base) if base.count() <= BROADCAST_BLOCKS else base, ["file_id", "block"])
-    inside = F.sum(length + width).over(Window.partitionBy("file_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum(length + 1).over(Window.partitionBy("file_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     line_no = F.col("place") - F.col("first") + F.col("lines_before")
     return joined.select("file_id", "size", "bom", line_no.alias("line_no"), F.col("value").alias("raw"), length.alias("byte_len"), (F.col("bytes_before") + F.coalesce(inside, F.lit(0))).alias("byte_start"))
 
 
+def _scan_wide(spark: SparkSession, files: list[dict], encoding: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines of files whose LF has several bytes: a search for the bytes alone would also find
+    them astride two characters, so ranges are read at whole characters. Each range counts its
+    lines, running sums over a file's ranges number them, and a line's place in its range gives the rest."""
+    step = -(-range_bytes // 4) * 4
+    named = spark.createDataFrame([(f["file_id"], f["size"], f["bom_width"]) for f in files], "file_id string, size long, bom int")
+    starts = named.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))))
+    ranges = starts.repartition(max(1, sum(-(-f["size"] // step) for f in files)), "file_id", "start")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                path, size, bom, start = (c[k].as_py() for c in batch.columns)
+                # a line begins at the start of the file alone; elsewhere the range before may have it
+                for rows in range_lines(path, start, min(start + step, size), size, start == 0, encoding, bom):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *rows.columns], ["file_id", *rows.schema.names])
+
+    lines = ranges.mapInArrow(read, f"file_id string, {LINE}")
+    counts = cut(lines.groupBy("file_id", "range_start").agg(F.count("*").alias("n")))
+    upto = Window.partitionBy("file_id").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut(counts.select("file_id", "range_start", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_base")))
+    rows = lines.join(F.broadcast(base) if base.count() <= BROADCAST_BLOCKS else base, ["file_id", "range_start"])
+    return rows.select("file_id", (F.col("_base") + F.col("range_line")).alias("line_no"), "text", "byte_start", "byte_len", "has_lf")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None = None, fallback: str = "windows-1252", geometry: bool = True) -> DataFrame:
     """(file_id, line_no, text, byte_start, byte_len, has_lf) of text files, folders or patterns.
 
@@ -132,16 +158,16 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None
     out = None
     for name in sorted({f["encoding"] for f in files if f["size"]}):
         own = [f for f in files if f["encoding"] == name and f["size"]]
+        if line_feed_width(name) > 1:
+            lines = _scan_wide(spark, own, name)
+            lines = lines if geometry else lines.drop("byte_start", "byte_len", "has_lf")
+            out = lines if out is None else out.unionByName(lines)
+            continue
         lines = _scan(spark, [(f["file_id"], f["bom_width"]) for f in own], name)
-        first, utf8 = (F.col("line_no") == 0) & (F.col("bom") > 0), name.upper() in ("UTF-8", "UTF8")
-        text = decode_lossy(F.col("raw"), name)
-        # the reader drops a UTF-8 mark itself; others are the first line's first character
-        text = text if utf8 else F.when(first & text.startswith("﻿"), F.substring(text, 2, 1 << 30)).otherwise(text)
-        kept = F.lit(0) if utf8 else F.when(first, F.col("bom")).otherwise(0)
-        start = F.col("byte_start") + (F.col("bom") if utf8 else kept)
-        length = F.col("byte_len") - kept
-        ended = start + length + line_feed_width(name) <= F.col("size")
-        lines = lines.select("file_id", "line_no", text.alias("text"), *([start.alias("byte_start"), length.alias("byte_len"), ended.alias("has_lf")] if geometry else []))
+        # the reader drops a UTF-8 mark itself, and other encodings of one byte for an LF have none
+        start = F.col("byte_start") + F.col("bom")
+        ended = start + F.col("byte_len") + 1 <= F.col("size")
+        lines = lines.select("file_id", "line_no", decode_lossy(F.col("raw"), name).alias("text"), *([start.alias("byte_start"), "byte_len", ended.alias("has_lf")] if geometry else []))
         out = lines if out is None else out.unionByName(lines)
     return out if out is not None else spark.createDataFrame([], schema)
 

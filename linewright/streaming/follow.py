@@ -16,7 +16,6 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +23,12 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.window import Window
 
 from linewright.checkpoints import cut
-from linewright.functions.encodings import HEAD_BYTES, detect, line_feed_width, python_codec
+from linewright.functions.encodings import HEAD_BYTES, detect, line_feed_width
 from linewright.functions.predicates import Search, in_range, matches
+from linewright.sources.ranges import RANGE_BYTES, last_line_end, next_line_end, range_lines
 from linewright.sources.stores import listed, open_file, read_text, write_bytes
 
 SCHEMA = "file_id string, generation int, range_start long, range_line long, byte_start long, text string, byte_len long, has_lf boolean"
-#: Bytes of one input partition, and of what is read at once.
-RANGE_BYTES, STEP = 32 << 20, 1 << 20
 #: What a batch's ranges, or a state's files, may be to be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -44,34 +42,6 @@ class Range(InputPartition):
         self.path, self.start, self.end, self.first, self.to = path, start, end, first, to
 
 
-def feeds(raw: bytes, encoding: str) -> np.ndarray:
-    """Where lines end in bytes that begin at a character: places behind each LF."""
-    width = line_feed_width(encoding)
-    order = ">" if encoding.upper().endswith("BE") else "<"
-    units = np.frombuffer(raw, f"{order}u{width}", len(raw) // width)
-    return (np.flatnonzero(units == 10) + 1) * width
-
-
-def last_line_end(stream, start: int, size: int, encoding: str) -> int:
-    """The place behind the last LF of [start, size), or start; read from the end, in steps."""
-    while size > start:
-        begin = max(start, size - STEP)
-        ends = feeds(stream.read_at(size - begin, begin), encoding)
-        if len(ends):
-            return begin + int(ends[-1])
-        size = begin
-    return start
-
-
-def next_line_end(stream, start: int, size: int, encoding: str) -> int | None:
-    """The place behind the first LF of [start, size)."""
-    for begin in range(start, size, STEP):
-        ends = feeds(stream.read_at(min(STEP, size - begin), begin), encoding)
-        if len(ends):
-            return begin + int(ends[0])
-    return None
-
-
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options):
         self.pattern = options["path"]
@@ -160,47 +130,11 @@ class GrowingReader(DataSourceStreamReader):
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         """The lines that begin in the range; one that runs on is read to its end."""
-        encoding, stop = part.to["encoding"], part.to["end"]
-        width, codec = line_feed_width(encoding), python_codec(encoding)
-        number, at = 0, part.start
-        with open_file(part.path) as stream:
-            if not part.first:
-                # the range before has the line that goes on into this one
-                at = next_line_end(stream, at - width, stop, encoding) or stop
-            begin, pieces = at, []  # the first line not yet given, and its bytes so far
-            while begin < part.end and at < stop and (raw := stream.read_at(min(STEP, stop - at), at)):
-                ends = at + feeds(raw, encoding)
-                at += len(raw)
-                if at >= stop and (not len(ends) or ends[-1] < stop):
-                    ends = np.append(ends, stop)
-                pieces.append(raw)
-                if not len(ends):
-                    continue
-                held = b"".join(pieces)
-                starts = np.append([begin], ends[:-1])
-                own = starts < part.end
-                yield self._rows(part, held, begin, starts[own], ends[own], codec, number)
-                number += int(own.sum())
-                if not own.all():
-                    return
-                pieces, begin = [held[int(ends[-1]) - begin :]], int(ends[-1])
-
-    def _rows(self, part: Range, held: bytes, base: int, starts: np.ndarray, ends: np.ndarray, codec: str, number: int) -> pa.RecordBatch:
-        texts, places, sizes, fed = [], [], [], []
-        feed = "\n".encode(codec)
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            line = held[a - base : b - base]
-            ended = line.endswith(feed)
-            mark = part.to["bom"] if a == 0 else 0
-            body = line[mark : len(line) - len(feed) * ended]
-            texts.append(body.decode(codec, "replace"))
-            places.append(a + mark)
-            sizes.append(len(body))
-            fed.append(ended)
-        n = len(texts)
-        columns = [pa.array([part.path] * n), pa.array([part.to["generation"]] * n, pa.int32()), pa.array([part.start] * n, pa.int64()), pa.array(range(number, number + n), pa.int64())]
-        columns += [pa.array(places, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(fed, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, ["file_id", "generation", "range_start", "range_line", "byte_start", "text", "byte_len", "has_lf"])
+        to = part.to
+        for rows in range_lines(part.path, part.start, part.end, to["end"], part.first, to["encoding"], to["bom"]):
+            n = len(rows)
+            named = [pa.array([part.path] * n, pa.string()), pa.array([to["generation"]] * n, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*named, *rows.columns], ["file_id", "generation", *rows.schema.names])
 
     def commit(self, end: dict) -> None:
         pass

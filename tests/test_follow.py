@@ -5,6 +5,7 @@ import random
 import pytest
 
 from linewright.functions.predicates import Search
+from linewright.sources import ranges
 from linewright.streaming import follow
 
 
@@ -130,7 +131,7 @@ def test_ranges_cover_every_line_once(tmp_path, monkeypatch):
     for encoding in ("utf-8", "utf-16-le", "utf-32-be"):
         log.write_bytes(text.encode(encoding))
         for size, step in ((4, 4), (8, 64), (100, 12), (5000, 1 << 20)):
-            monkeypatch.setattr(follow, "STEP", step)
+            monkeypatch.setattr(ranges, "STEP", step)
             reader = follow.GrowingReader({"path": str(log), "range_bytes": str(size), "encoding": encoding.upper().replace("-LE", "LE").replace("-BE", "BE")})
             parts = reader.partitions({}, reader.latestOffset())
             got = [row for part in parts for batch in reader.read(part) for row in batch.to_pylist()]
