@@ -190,9 +190,10 @@ def _buckets(classes: DataFrame, runs: int, split_rounds: int) -> DataFrame:
 
 def _pruned(rows: DataFrame) -> DataFrame:
     """Of buckets that hold exactly the same sets, the one of the least key."""
-    print_ = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
-    marks = rows.groupBy("key").agg(print_.alias("print"), F.count("*").alias("size"))
-    kept = marks.groupBy("print", "size").agg(F.min("key").alias("key"))
+    # 128 bits: sums of two hashes of the sets' numbers
+    prints = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"print{k}") for k in (1, 2)]
+    marks = rows.groupBy("key").agg(*prints, F.count("*").alias("size"))
+    kept = marks.groupBy("print1", "print2", "size").agg(F.min("key").alias("key"))
     return rows.select("key", "node").join(kept.select("key", "size"), "key")
 
 
@@ -247,6 +248,22 @@ def similar_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
     )
 
 
+def with_texts(base: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
+    """members (node, name, rep, rep_key, buckets, copies), each with the text of one of its rows.
+
+    Rows meet members by id and text, so that rows of one id, or of none, meet those of their own
+    text alone. Where rows repeat both, one text of each member is kept.
+    """
+    met = base.withColumn("text_key", text_key(F.col("text"))).join(members, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))).select("node", "name", "buckets", "copies", "text")
+    again = cut(rows.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"))
+    if again.isEmpty():
+        return met
+    twice = members.join(again, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("rep_key") == F.col("text_key"))).select("node").distinct()
+    twice = cut(twice)
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    return met.join(twice, "node", "left_anti").unionByName(met.join(twice, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def text_key(text: Column) -> Column:
     """A 64-bit name of a text: with the id it tells rows of one id apart."""
     return F.xxhash64(text)
@@ -259,13 +276,14 @@ def grouped_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
     base = fresh(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(_sketched(base.withColumn("text_key", text_key(F.col("text")))))
     some = sketched.where(F.col("n") > 0)
-    classes = some.groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
+    classes = some.groupBy("name").agg(row.alias("row"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     # numbered as they are written: nodes are told apart by names, and numbers are what travels
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = cut(classes.select("name", F.col("row.doc_id").alias("rep"), F.col("row.text_key").alias("rep_key"), "copies", "sketch", F.monotonically_increasing_id().alias("node")))
     buckets = cut(_pruned(_buckets(classes, runs_for(recall, least), split_rounds)))
     # each compared class's buckets, in order of keys, and its shingles once more from a text of it
     members = buckets.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("key", "size"))).alias("buckets"))
-    members = cut(members.join(classes.select("node", "name", "rep", "copies"), "node"))
+    members = cut(members.join(classes.select("node", "name", "rep", "rep_key", "copies"), "node"))
     picked = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     @tidy
@@ -276,7 +294,8 @@ def grouped_documents(docs: DataFrame, least: float = SIMILARITY, recall: float
             made = pa.array([m.tobytes() for m in made], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("buckets"), batch.column("copies"), made], ["node", "buckets", "copies", "tokens"]).filter(right)
 
-    sets = base.join(picked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "name", "buckets", "copies", "text")
+    # a row of the class, by its id and text: ids alone may be null or repeat
+    sets = with_texts(base, picked, some)
     sets = sets.mapInArrow(tokens, "node long, buckets array<struct<key:long,size:long>>, copies long, tokens binary")
     # block b of a bucket of B blocks meets each block: a row goes to B pairs of blocks; the
     # buckets of one block are compared many to a task

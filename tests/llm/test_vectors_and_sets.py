@@ -238,6 +238,19 @@ def test_set_join_shuffled_texts_and_repeats(make_docs, monkeypatch):
     assert set_join.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_meet_their_own_texts_alone(spark, make_docs, monkeypatch):
+    """Of n rows without an id each class's text is read once: n rows of the join, not n times n."""
+    met = []
+    plain = set_join.with_texts
+    monkeypatch.setattr(set_join, "with_texts", lambda *a: met.append(plain(*a)) or met[-1])
+    text = lambda k: " ".join(f"{k}x{j}" for j in range(40))
+    rows = [(None, text(k) + tail) for k in range(300) for tail in ("", " end")] + [(None, text(0))] * 50 + [(7, text(k)) for k in range(300, 400)]
+    got = set_join.similar_documents(make_docs(*rows))
+    by = sorted((r.n_links, r["count"]) for r in got.groupBy("n_links").count().collect())
+    assert by == [(0, 100), (1, 598), (51, 52)]
+    assert met[0].count() <= 600 and met[0].select("node").distinct().count() == met[0].count()
+
+
 def test_one_path_survives():
     assert set_join.survival() > 0.9 and set_join.runs_for(0.999) >= 3
 
