@@ -41,7 +41,7 @@ MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text
  SELECT g.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * least(3, whole + CASE WHEN rest = 0 THEN 0 WHEN upto <= rest OR g.doc_id IS NOT DISTINCT FROM one THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM g LEFT JOIN c ON g.source IS NOT DISTINCT FROM c.source"""
 
 
-def url_verdicts(rules: list[tuple[str, str, str]], depth: int = 4, least_rows: int = 8, least_share: float = 0.05, differs: float = 2.0, prior_weight: float = 2.0, reject_at: float = 0.7) -> str:
+def url_verdicts(rules: list[tuple[str, str, str]], depth: int = 4, differs: float = 2.0, prior_weight: float = 2.0, reject_at: float = 0.7) -> str:
     """The template tree level by level, as common table expressions."""
     longest = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = " ".join(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in longest)
@@ -54,9 +54,9 @@ def url_verdicts(rules: list[tuple[str, str, str]], depth: int = 4, least_rows:
         sql += f""",
  b{k} AS (SELECT host, template, parts[{k + 1}] AS part, count(*) AS n, count(blocked) AS l, coalesce(sum(blocked), 0) AS b FROM t{k} WHERE len(parts) > {k} GROUP BY ALL),
  n{k} AS (SELECT host, template, sum(n) AS nn, sum(l) AS nl, sum(b) AS nb FROM b{k} GROUP BY ALL),
- k{k} AS (SELECT host, template, part FROM b{k} JOIN n{k} USING (host, template) WHERE n >= {least_rows} AND n >= {least_share} * nn AND NOT CASE WHEN l = 0 AND nl - l = 0 THEN true WHEN l = 0 OR nl - l = 0 THEN n = nn
-   ELSE abs(b / l - (nb - b) / (nl - l)) <= {differs} * sqrt(nb / nl * (1 - nb / nl) * (1.0::DOUBLE / l + 1.0::DOUBLE / (nl - l))) END),
- t{k + 1} AS (SELECT t.* EXCLUDE (template), t.template || CASE WHEN len(parts) <= {k} THEN '' WHEN k.part IS NOT NULL THEN '/' || k.part ELSE '/*' END AS template FROM t{k} t LEFT JOIN k{k} k ON k.host = t.host AND k.template = t.template AND k.part = t.parts[{k + 1}])"""
+ k{k} AS (SELECT host, template, part, l, (n < nn AND abs(l / n - (nl - l) / (nn - n)) > {differs} * sqrt(nl / nn * (1 - nl / nn) * (1.0::DOUBLE / n + 1.0::DOUBLE / (nn - n))))
+   OR (l > 0 AND l < nl AND abs(b / l - (nb - b) / (nl - l)) > {differs} * sqrt(nb / nl * (1 - nb / nl) * (1.0::DOUBLE / l + 1.0::DOUBLE / (nl - l)))) AS stays FROM b{k} JOIN n{k} USING (host, template)),
+ t{k + 1} AS (SELECT t.* EXCLUDE (template), t.template || CASE WHEN len(parts) <= {k} THEN '' WHEN k.stays THEN '/' || k.part WHEN k.l > 0 THEN '/+' ELSE '/*' END AS template FROM t{k} t LEFT JOIN k{k} k ON k.host = t.host AND k.template = t.template AND k.part = t.parts[{k + 1}])"""
     return f"""{sql},
  f AS (SELECT * EXCLUDE (template), template || CASE WHEN len(parts) > {depth} THEN '/**' ELSE '' END AS template FROM t{depth}),
  q AS (SELECT host, template, round((sum(blocked) + {prior_weight}::DOUBLE * (SELECT coalesce(avg(blocked), 0) FROM f)) / (count(*) + {prior_weight}::DOUBLE), 6) AS purity FROM f WHERE blocked IS NOT NULL GROUP BY ALL)

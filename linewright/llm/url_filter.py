@@ -1,10 +1,11 @@
 """URL verdicts by a path-template tree, in DataFrame functions only.
 
-Each host's paths form a tree of segments. Level by level, a segment that is rare among its
-siblings becomes the wildcard `*`; so does a frequent one whose share of blocked labels
-doesn't differ from its siblings' by more than chance. What stays is the host's templates,
-and a template is rejected if the smoothed share of blocked urls among its labelled ones is
-high enough. Labels come from explicit rules, which win wherever one fits.
+Each host's paths form a tree of segments. Level by level, segments that don't differ from
+their siblings by more than chance become a wildcard: neither in the share of rows that have a
+label, nor in the share of blocked ones among those. Segments without any label share `*`,
+those with labels `+`, so that what nobody has judged isn't judged by its siblings. What stays
+is the host's templates, and a template is rejected if the smoothed share of blocked urls among
+its labelled ones is high enough. Labels come from explicit rules, which win wherever one fits.
 """
 
 from __future__ import annotations
@@ -50,8 +51,6 @@ def judge(
     pages: DataFrame,
     rules: list[Rule],
     depth: int = 4,
-    least_rows: int = 8,
-    least_share: float = 0.05,
     differs: float = 2.0,
     prior_weight: float = 2.0,
     reject_at: float = 0.7,
@@ -60,9 +59,9 @@ def judge(
 ) -> DataFrame:
     """Judge each url: page_id, host, path, rule, template, purity, verdict.
 
-    A segment stays in its template if it has at least `least_rows` rows and `least_share` of
-    its parent's, and if its blocked share differs from its parent's by more than `differs`
-    standard errors (with no label on either side nothing tells them apart). purity is
+    A segment stays in its template if its labelled share of rows, or the blocked share of its
+    labelled rows, differs from that of all its siblings by more than `differs` standard errors;
+    however few rows it has, nothing else decides. purity is
     (blocked + prior_weight * p) / (labelled + prior_weight) of the template, p being the
     blocked share of all labelled rows; it is 0 where a template has no label. The method's
     verdict is block from a purity of `reject_at`.
@@ -91,16 +90,22 @@ def judge(
         # one row for each segment of a node, summed in part before the shuffle
         branch = rows.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.count("*").alias("n"), F.count("blocked").alias("l"), F.sum(F.coalesce("blocked", F.lit(0))).alias("b"))
         node = branch.groupBy("host", "template").agg(F.sum("n").alias("node_n"), F.sum("l").alias("node_l"), F.sum("b").alias("node_b"))
-        often = branch.where(F.col("n") >= least_rows)
-        rest_l, rest_b = F.col("node_l") - F.col("l"), F.col("node_b") - F.col("b")
-        pooled = F.col("node_b") / F.col("node_l")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / rest_l))
-        # one side without a label: whether there are labels at all tells the branches apart
-        alike = F.when((F.col("l") == 0) & (rest_l == 0), True).when((F.col("l") == 0) | (rest_l == 0), F.col("n") == F.col("node_n")).otherwise(F.abs(F.col("b") / F.col("l") - rest_b / rest_l) <= differs * error)
-        kept, joins = _small(often.join(node, ["host", "template"]).where((F.col("n") >= least_share * F.col("node_n")) & ~alike).select("host", "template", "segment", F.lit(True).alias("stays")))
+        joined = branch.join(node, ["host", "template"])
+        rest_n, rest_l, rest_b = F.col("node_n") - F.col("n"), F.col("node_l") - F.col("l"), F.col("node_b") - F.col("b")
+
+        def differ(part: Column, of: Column, rest_part: Column, rest_of: Column) -> Column:
+            pooled = (part + rest_part) / (of + rest_of)
+            error = F.sqrt(pooled * (1 - pooled) * (1 / of + 1 / rest_of))
+            return F.when((of > 0) & (rest_of > 0), F.abs(part / of - rest_part / rest_of) > differs * error).otherwise(False)  # noqa: B023
+
+        stays = differ(F.col("l"), F.col("n"), rest_l, rest_n) | differ(F.col("b"), F.col("l"), rest_b, rest_l)
+        # a row that has a label tells itself that its segment has; others ask
+        mixed = (F.col("l") > 0) & (F.col("l") < F.col("n"))
+        kept, joins = _small(joined.select("host", "template", "segment", stays.alias("stays"), mixed.alias("mixed")).where("stays OR mixed"))
         rows = rows.join(joins(kept), ["host", "template", "segment"], "left")
-        name = F.when(F.col("segment").isNull(), "").when(F.col("stays"), F.concat(F.lit("/"), F.col("segment"))).otherwise("/*")
-        rows = rows.withColumn("template", F.concat("template", name)).drop("segment", "stays")
+        shared = F.when(F.col("blocked").isNotNull() | F.coalesce("mixed", F.lit(False)), "/+").otherwise("/*")
+        name = F.when(F.col("segment").isNull(), "").when(F.col("stays"), F.concat(F.lit("/"), F.col("segment"))).otherwise(shared)
+        rows = rows.withColumn("template", F.concat("template", name)).drop("segment", "stays", "mixed")
     below = F.when(F.size("segments") > depth, "/**").otherwise("")
     rows = rows.withColumn("template", F.concat("template", below)).drop("segments")
     purities = rows.where(F.col("blocked").isNotNull()).groupBy("host", "template").agg(F.count("*").alias("l"), F.sum("blocked").alias("b"))

@@ -271,12 +271,33 @@ def test_templates(spark):
     got = url_filter.judge(pages, [*RULES, ("block", "y.net", "/FR/7")])
     by = {(r.host, r.template): r["count"] for r in got.groupBy("host", "template").count().collect()}
     # numbers become wildcards; a branch stays where its labels set it apart
-    assert by[("x.net", "/es/*")] == 40 and by[("x.net", "/en/*")] == 40 and by[("x.net", "/*/*")] == 3
+    assert by[("x.net", "/es/+")] == 40 and by[("x.net", "/en/*")] == 40 and by[("x.net", "/*/*")] == 3
     # all of y.net is blocked alike: its branches merge
-    assert {t for h, t in by if h == "y.net"} == {"/*/*"}
+    assert {t for h, t in by if h == "y.net"} == {"/+/+"}
     assert got.where("template = '/en/*' and verdict = 'block'").count() == 0
 
 
+@pytest.mark.parametrize("blocked", [("es", "fr"), ("es",)])
+@pytest.mark.parametrize("each", [40, 3, 1])
+def test_clean_sections_are_not_judged_by_blocked_ones(spark, blocked, each):
+    """However many sections a host has, and however few rows each: those without a label stay allowed."""
+    names = [*blocked, *(f"s{k}" for k in range(30 - len(blocked)))]
+    rows = [(f"http://x.net/{s}/{k}/", s in blocked) for s in names for k in range(each)]
+    pages = spark.createDataFrame([(k, u, b, "x", 0, "y") for k, (u, b) in enumerate(rows)], "page_id long, url string, expected boolean, template string, n long, stays string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, RULES).collect()}
+    assert got == {k: "block" if b else "allow" for k, (_, b) in enumerate(rows)}
+
+
+def test_a_rejected_template_takes_in_what_no_rule_fits(spark):
+    """Within a blocked section, rows that the rule's prefix misses go with the others."""
+    rows = [f"http://x.net/es/{k}" for k in range(30)] + [f"http://x.net//es/{k}" for k in range(4)] + [f"http://x.net/en/{k}" for k in range(30)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = [r.verdict for r in url_filter.judge(pages, RULES).orderBy("page_id").collect()]
+    assert got[:30] == ["block"] * 30 and got[34:] == ["allow"] * 30
+    same = spark.createDataFrame([(k, f"http://x.net{'' if k % 10 else '/'}/es/a") for k in range(40)], "page_id long, url string")
+    assert {r.verdict for r in url_filter.judge(same, RULES).collect()} == {"block"}
+
+
 def test_url_plan_is_native(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     plan = url_filter.judge(pages, RULES)._jdf.queryExecution().toString()
