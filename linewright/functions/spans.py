@@ -9,9 +9,11 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linewright.functions.predicates import Search
+from linewright.functions.predicates import Search, matches
 
 SPANS = "array<struct<start:int,end:int>>"
+#: Matches whose places are summed up together.
+BLOCK = 256
 
 
 def _empty_matches(search: Search) -> bool:
@@ -21,21 +23,54 @@ def _empty_matches(search: Search) -> bool:
     return any(m.start() == m.end() for m in regex.compile(body, flags).finditer("a 1"))
 
 
+def _blocks(pieces: Column) -> Column:
+    """The array in pieces of BLOCK entries."""
+    starts = F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK))
+    return F.transform(starts, lambda k: F.slice(pieces, k, F.lit(BLOCK)))
+
+
+def _placed(pieces: Column) -> Column:
+    """(at, spans) of pieces (gap, size) one after another: where the last ends, and all spans."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        first = acc["at"] + piece["gap"]
+        last = first + piece["size"]
+        return F.struct(last.alias("at"), F.concat(acc["spans"], F.array(F.struct(first.alias("start"), last.alias("end")))).alias("spans"))
+
+    return F.aggregate(pieces, none, step)
+
+
 def _sizes(text: Column, search: Search, measure) -> Column:
-    """Spans from the pieces between matches and the matches, measured by length or octet_length."""
+    """Spans from the pieces between matches and the matches, measured by length or octet_length.
+
+    Sums run within blocks of matches, then over the blocks: what a fold has gathered is copied
+    for each entry more, so that one fold over all would take the square of their number.
+    """
     pattern = F.lit(search.java())
-    between, found = F.split(text, search.java(), -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    # fold: the place so far, and the spans
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    indexes = F.sequence(F.lit(1), F.size(found))
-
-    def step(acc: Column, k: Column) -> Column:
-        begin = acc["at"] + measure(F.get(between, k - 1))
-        end = begin + measure(F.get(found, k - 1))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
-
-    made = F.aggregate(indexes, start, step, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, made).otherwise(F.array().cast(SPANS))
+    both = F.arrays_zip(F.split(text, search.java(), -1), F.regexp_extract_all(text, pattern, F.lit(0)))
+
+    def spans(pieces: Column) -> Column:
+        # the piece after the last match has none beside it
+        sized = F.transform(F.filter(pieces, lambda p: p["1"].isNotNull()), lambda p: F.struct(measure(p["0"]).alias("gap"), measure(p["1"]).alias("size")))
+        return F.transform(F.array(sized), _summed)[0]
+
+    # as variables of lambdas arrays are made once, not once for each entry
+    return F.when(matches(text, search), F.transform(F.array(both), spans)[0]).otherwise(F.array().cast(SPANS))
+
+
+def _summed(pieces: Column) -> Column:
+    """Spans of pieces (gap, size), one at least."""
+    few = _placed(pieces)["spans"]
+
+    def many(placed: Column) -> Column:
+        # each block as one piece, whose place is where its spans begin
+        bases = _placed(F.transform(placed, lambda b: F.struct(F.lit(0).alias("gap"), b["at"].alias("size"))))["spans"]
+        moved = lambda z: F.transform(z["placed"]["spans"], lambda s: F.struct((z["base"]["start"] + s["start"]).alias("start"), (z["base"]["start"] + s["end"]).alias("end")))
+        return F.flatten(F.transform(F.zip_with(placed, bases, lambda x, y: F.struct(x.alias("placed"), y.alias("base"))), moved))
+
+    placed = F.transform(_blocks(pieces), lambda block: _placed(block))
+    return F.when(F.size(pieces) <= BLOCK, few).otherwise(F.transform(F.array(placed), many)[0])
 
 
 def match_spans(text: Column, search: Search, unit: str = "bytes") -> Column:

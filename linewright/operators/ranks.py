@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linewright.functions.predicates import Search, in_range, matches
+from linewright.sources.tables import hits_from_table
+
 #: Lines of a range.
 RANGE_LINES = 1 << 16
 #: Below this a file's first rows are found by a limit in each task before the shuffle.
@@ -45,6 +48,18 @@ def rank(lines: DataFrame, hit: Column) -> DataFrame:
     return running(lines, F.when(hit, 1).otherwise(0), "rank")
 
 
+def rank_in_table(table: DataFrame, id_col: str, text_col: str, search: Search) -> DataFrame:
+    """(file_id, line_no, rank) of a table's texts, without a shuffle: lines from one match to the
+    next, that one included, have the same number of matches before them."""
+    search.checked(table.sparkSession)
+    whole = hits_from_table(table, id_col, text_col, lambda line, k: matches(line, search) & in_range(k, search.start, search.end))
+    # a last stretch ends with the text
+    ends = whole.select("file_id", F.concat("_hits", F.array(F.col("_n") - 1)).alias("_ends"))
+    begins = ends.select("file_id", "_ends", F.concat(F.array(F.lit(0)), F.transform("_ends", lambda k: k + 1)).alias("_begins"))
+    stretches = begins.select("file_id", F.posexplode(F.arrays_zip("_begins", "_ends")).alias("rank", "_s")).where("_s._begins <= _s._ends")
+    return stretches.select("file_id", F.explode(F.sequence(F.col("_s._begins").cast("long"), F.col("_s._ends").cast("long"))).alias("line_no"), F.col("rank").cast("long").alias("rank"))
+
+
 def numbered(lines: DataFrame) -> DataFrame:
     """Adds place: each row's place in its file's line order, from 0."""
     return running(lines, F.lit(1), "place")

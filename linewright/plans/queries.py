@@ -299,8 +299,7 @@ NEAR = f""", m AS (SELECT file_id, line_no FROM l WHERE {WORD_HIT}),
 
 
 def _near(spark, sf):
-    every = lines(spark, sf)
-    return context.with_context(every, s.find(every, WORD), before=2, after=1)
+    return context.context_in_table(docs(spark, sf), "doc_id", "text", WORD, before=2, after=1)
 
 
 @query(f"{NEAR} SELECT file_id, line_no, text, is_match FROM c")
@@ -349,8 +348,22 @@ def line_at(spark, sf):
 
 @query(f" SELECT file_id, line_no, CAST(coalesce(sum(CAST({WORD_HIT} AS INT)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank FROM l")
 def rank_of_line(spark, sf):
-    flagged = s.flag_matches(lines(spark, sf), WORD)
-    return keyed(ranks.rank(flagged, F.col("is_match")), "rank")
+    return ranks.rank_in_table(docs(spark, sf), "doc_id", "text", WORD)
+
+
+TURNS = "t AS (SELECT conv_id AS file_id, turn AS line_no, text, regexp_matches(text, '(an|er|en) ') AS hit FROM conversations)"
+TURN = Search("(an|er|en) ")
+
+
+@query(" SELECT file_id, line_no, CAST(coalesce(sum(CAST(hit AS INT)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank FROM t", prefix=TURNS)
+def rank_of_turn(spark, sf):
+    return keyed(ranks.rank(s.flag_matches(turns(spark, sf), TURN), F.col("is_match")), "rank")
+
+
+@query(" SELECT DISTINCT t.file_id, t.line_no, t.text, t.hit AS is_match FROM t JOIN t m ON m.hit AND m.file_id = t.file_id AND t.line_no BETWEEN m.line_no - 1 AND m.line_no + 2", prefix=TURNS)
+def context_of_turns(spark, sf):
+    every = turns(spark, sf)
+    return keyed(context.with_context(every, s.find(every, TURN), before=1, after=2), "text", "is_match")
 
 
 @query(f" SELECT file_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) - 1 AS k FROM l WHERE {WORD_HIT}) WHERE k = 3")

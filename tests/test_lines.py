@@ -13,6 +13,7 @@ from linewright.operators import changes, context, marks, pages, ranks, rules
 from linewright.operators import search as s
 from linewright.plans import render
 from linewright.sources import files
+from linewright.sources.tables import lines_from_table
 
 
 def numbers(df):
@@ -226,3 +227,41 @@ def test_history_and_pages(spark, app):
     assert s.history(s.forget(log, "pattern", ["ERROR"]), "pattern", "at").count() == 1
     assert [len(b) for b in render.batches(app, 50)] == [50, 50, 11]
     assert numbers(s.next_page(app, (0, 9), 3)) == [10, 11, 12]
+
+
+def test_context_and_ranks_in_a_table(spark):
+    """The same as by joins and windows, without a shuffle; nulls, empty texts, repeated and null ids."""
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["hit", "a", "", "é hit"]) for _ in range(rng.randrange(1, 30))) + "\n" * rng.randrange(2) for _ in range(60)]
+    table = spark.createDataFrame([*enumerate(texts), (100, ""), (101, None), (102, "\n"), (103, "hit")], "id long, text string")
+    lines = lines_from_table(table, "id", "text")
+    search = Search("hit", regex=False, start=1)
+    for sides in ({"before": 2, "after": 1}, {"around": 3}, {}):
+        joined = context.with_context(lines, s.find(lines, search), **sides)
+        inside = context.context_in_table(table, "id", "text", search, **sides)
+        assert inside.columns == [*lines.columns, "is_match"]
+        assert sorted(map(tuple, inside.collect())) == sorted(tuple(r[c] for c in inside.columns) for r in joined.collect())
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Generate") == 1
+    ranked = ranks.rank_in_table(table, "id", "text", search)
+    by_window = ranks.rank(s.flag_matches(lines, search), F.col("is_match"))
+    assert sorted(map(tuple, ranked.collect())) == sorted((r.file_id, r.line_no, r["rank"]) for r in by_window.collect())
+    assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("most", "block"), [(0, 256), (3, 1 << 40), (500_000, 256)])
+def test_context_by_join_chooses_ranges(spark, make_lines, monkeypatch, most, block):
+    monkeypatch.setattr(context, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(context, "BLOCK_LINES", block)
+    lines = make_lines("a\nhit\nb\nc\nhit\nd", "x\ny", "hit\nz")
+    got = context.with_context(lines, s.find(lines, Search("hit", regex=False)), after=1)
+    assert sorted((r.file_id, r.line_no, r.is_match) for r in got.collect()) == [(0, 1, True), (0, 2, False), (0, 4, True), (0, 5, False), (2, 0, True), (2, 1, False)]
+
+
+def test_many_matches_in_a_line(spark):
+    """Sums run in blocks: 100,000 matches take seconds, and every place is right."""
+    n = 100_000
+    frame = spark.createDataFrame([("a1é" * n,), ("no digits",), (None,), ("7",)], "text string")
+    got = [r[0] for r in frame.select(match_spans(F.col("text"), Search("[0-9]"), "chars")).collect()]
+    assert [tuple(x) for x in got[0]] == [(3 * k + 1, 3 * k + 2) for k in range(n)]
+    assert got[1:] == [[], None, [(0, 1)]]
