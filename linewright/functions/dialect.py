@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 # fixed values: named classes, ASCII only
 NAMED = {
@@ -117,3 +118,101 @@ def java_pattern(pattern: str) -> str:
             out.append(c)
             atom, i = (None if c == "|" else begin), i + 1
     return "".join(out)
+
+
+#: ASCII letters that other letters fold to, when case is ignored as Java does.
+FOLDED_TO = frozenset("iksIKS")
+#: Escapes of one character that stand for another.
+PLAIN = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\x0b", "a": "\a"}
+
+
+def required(pattern: str, ignore_case: bool = False) -> tuple[str, ...] | None:
+    """Texts of which every match of the pattern holds one; None if nothing can be told.
+
+    With ignore_case they are in lower case, and hold only what no letter beyond ASCII folds to.
+    Longer texts are preferred, and the best of what follows one another.
+    """
+    if re.search(r"\(\?(?![:P<])", pattern):
+        return None  # flags change what letters mean
+    found, end = _required(pattern, 0, ignore_case)
+    return found if end == len(pattern) else None
+
+
+def _better(a: tuple[str, ...] | None, b: tuple[str, ...] | None) -> tuple[str, ...] | None:
+    weight = lambda texts: (min(map(len, texts)), -len(texts)) if texts else (0, 0)
+    return a if weight(a) >= weight(b) else b
+
+
+def _required(pattern: str, at: int, ignore_case: bool) -> tuple[tuple[str, ...] | None, int]:
+    """What the alternatives from a place on need, up to the bracket that closes them."""
+    every: tuple[str, ...] | None = ()
+    best, run = None, ""
+
+    def alternative() -> None:
+        nonlocal every, best, run
+        own = _better(best, (run,) if run else None)
+        every = None if every is None or own is None else every + own
+        best, run = None, ""
+
+    while at < len(pattern) and pattern[at] != ")":
+        c, text, inner = pattern[at], None, None
+        if c == "|":
+            alternative()
+            at += 1
+            continue
+        if c == "(":
+            head = GROUP.match(pattern, at)
+            inner, at = _required(pattern, head.end() if head else at + 1, ignore_case)
+            at += 1
+        elif c == "[":
+            _, at = _bracket(pattern, at)
+        elif c == "\\":
+            escaped, at = _escape(pattern, at)
+            text = PLAIN.get(escaped[1:], escaped[1] if len(escaped) == 2 and not escaped[1].isalnum() else None)
+        else:
+            text, at = (None if c in ".^$" else c), at + 1
+        least = 1
+        while count := COUNT.match(pattern, at):
+            digits = re.match(r"\{([0-9]+)", count.group())
+            least = min(least, 0 if count.group() in "*?" else int(digits.group(1)) if digits else 1)
+            at = count.end() + pattern.startswith("?", count.end())
+            text = text and (text + "\0" if least else None)
+        if text and ignore_case and (not text[0].isascii() or text[0] in FOLDED_TO):
+            text = None
+        if text:
+            run += text[0].lower() if ignore_case else text[0]
+        if text is None or len(text) > 1:
+            # what follows need not come right after
+            best, run = _better(best, (run,) if run else None), ""
+        if inner is not None and least:
+            best = _better(best, inner)
+    alternative()
+    return every or None, at
+
+
+def trie(literals: Iterable[str]) -> str:
+    """A Java expression that finds a place where one of the literals begins, branching on one
+    character after another, so that their number hardly counts. Of those that begin another
+    the shorter suffices."""
+    root: dict = {}
+    for literal in literals:
+        node = root
+        for c in literal:
+            if node is None:
+                break
+            parent, node = node, node.setdefault(c, {})
+        else:
+            parent[literal[-1]] = None
+
+    def written(node: dict) -> str:
+        leaves = "".join(f"\\x{{{ord(c):x}}}" for c, child in sorted(node.items()) if child is None)
+        parts = [f"[{leaves}]"] if leaves else []
+        for c, child in sorted((c, n) for c, n in node.items() if n is not None):
+            text = f"\\x{{{ord(c):x}}}"
+            while child is not None and len(child) == 1:  # one way on
+                (c, child), text = next(iter(child.items())), text
+                text += f"\\x{{{ord(c):x}}}"
+            parts.append(text if child is None else text + written(child))
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return written(root)

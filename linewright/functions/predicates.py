@@ -9,10 +9,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linewright.functions.dialect import java_pattern
+from linewright.functions.dialect import java_pattern, required, trie
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: From this many literals on, one alternation is tried in place of a chain of searches.
+#: From this many literals on, one expression is tried in place of a chain of searches.
 MANY = 16
 
 
@@ -65,16 +65,33 @@ class Search:
         return ("(?iuUd)" if self.ignore_case else "(?Ud)") + body
 
 
+def may_match(text: Column, search: Search) -> Column | None:
+    """Whether the text holds what every match of one of the expressions needs; None if nothing
+    is needed, or too many things."""
+    needed = [required(p, search.ignore_case) for p in search.patterns]
+    if not all(needed) or sum(map(len, needed)) >= MANY:
+        return None
+    folded = F.lower(text) if search.ignore_case else text
+    return reduce(lambda a, b: a | b, [F.contains(folded, F.lit(n)) for some in needed for n in some])
+
+
 def matches(text: Column, search: Search) -> Column:
     """Whether the line holds any of the patterns; null lines hold none."""
     simple = not search.regex and len(search.patterns) < MANY
     if simple and not search.ignore_case:
         found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in search.patterns])
     elif simple and all(p.isascii() for p in search.patterns):
-        folded = fold_ascii(text)
-        found = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(p.translate(str.maketrans(UPPER, LOWER)))) for p in search.patterns])
+        needles = [F.lit(p.translate(str.maketrans(UPPER, LOWER))) for p in search.patterns]
+        # lower() is fast but folds more (the Kelvin sign to k), so it only chooses what is folded exactly
+        found = reduce(lambda a, b: a | b, [F.contains(F.lower(text), n) & F.contains(fold_ascii(text), n) for n in needles])
+    elif not search.regex:
+        flags = "" if not search.ignore_case else "(?i)" if all(p.isascii() for p in search.patterns) else "(?iu)"
+        found = text.rlike(flags + trie(search.patterns))
     else:
+        able = may_match(text, search)
         found = text.rlike(search.java())
+        # a search for what every match holds is faster than one for the match
+        found = found if able is None else able & found
     return F.coalesce(found, F.lit(False))
 
 

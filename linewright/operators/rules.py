@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from linewright.checkpoints import cut
+from linewright.functions.dialect import required
 from linewright.functions.display import expand_tabs, raw_range
-from linewright.functions.predicates import Search, fold_ascii, matches
+from linewright.functions.predicates import LOWER, UPPER, Search, fold_ascii, matches, quoted
 from linewright.functions.spans import match_spans
 
 COLOURED = "array<struct<start:int,end:int,color:bigint,priority:int>>"
@@ -16,6 +19,8 @@ COLOURED = "array<struct<start:int,end:int,color:bigint,priority:int>>"
 MOST_RULES = 200
 #: Patterns of a table that are tested on every line, rather than joined to lines.
 MOST_COLUMNS = 200
+#: Rules' beginnings that are broadcast to where the lines are.
+BROADCAST_RULES = 500_000
 
 
 @dataclass(frozen=True)
@@ -60,9 +65,9 @@ def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: (priority, pattern, color, anchor_line) and, if there, ignore_case (else true) and
     regex (else false). Anchored rules meet their line by an equi-join; each other literal's
-    first inner word leads to the lines that hold it, and only those are tested. Regular
-    expressions, and literals beyond ASCII that ignore case, are tested on every line, some
-    at a time. Rules of a blank pattern apply to no line.
+    first inner word leads to the lines that hold it, and only those are tested. So does, for
+    regular expressions and for literals beyond ASCII that ignore case, a text that each match
+    holds; those without one are tested on every line, some at a time. Rules of a blank pattern apply to no line.
     """
     given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in rules.columns else F.lit(default)
     rules = rules.select("priority", F.col("color").cast("long").alias("color"), "pattern", "anchor_line", given("ignore_case", True).alias("ignore_case"), given("regex", False).alias("regex"))
@@ -87,27 +92,56 @@ def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     elif few:
         # of many, each meets the lines that hold its first two characters
         short = short.withColumn("_gram", fold_ascii(F.left("pattern", F.least(F.length("pattern"), F.lit(2)))))
-        folded = fold_ascii(F.col("text"))
-        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(0))), lambda k: F.substring(folded, k, F.lit(n)))
-        none = F.array().cast("array<string>")
-        every = F.array_distinct(F.concat(F.when(F.length("text") > 0, grams(1)).otherwise(none), F.when(F.length("text") > 1, grams(2)).otherwise(none)))
+        every = F.concat(_grams(F.col("text"), 1), _grams(F.col("text"), 2))
         met = lines.select("file_id", "line_no", "text", F.explode(every).alias("_gram")).join(short, "_gram").where(hit)
         out = out.unionByName(met.select(*out.columns))
-    # a table of what people wrote: its rows come to the driver, as patterns to be compiled
-    listed = [r for r in free.where(each).collect() if r.pattern.strip()]
+    # an expression, of which every match holds some text of three characters, meets the lines
+    # that hold the beginning of that text
+    compile_rules = F.pandas_udf(_compiled, "java string, needed array<string>")
+    compiled = cut(free.where(each).withColumn("_c", compile_rules(F.col("pattern"), F.col("ignore_case"), F.col("regex"))))
+    able = compiled.where(F.size("_c.needed") > 0).select("priority", "color", F.col("_c.java").alias("_java"), F.col("_c.needed").alias("_needed"))
+    small = F.broadcast if able.count() <= BROADCAST_RULES else (lambda df: df)
+    # equal expressions are tested once, and only where the whole text that they need is
+    tests = able.select("_java", F.explode("_needed").alias("_text")).distinct().withColumn("_gram", F.left("_text", F.lit(3)))
+    met = lines.select("file_id", "line_no", "text", F.explode(_grams(F.col("text"), 3)).alias("_gram")).join(small(tests), "_gram")
+    met = met.where(F.when(F.contains(fold_ascii(F.col("text")), F.col("_text")), F.rlike("text", F.col("_java")))).select("file_id", "line_no", "_java")
+    out = out.unionByName(met.join(small(able.drop("_needed")), "_java").select(*out.columns))
+    # the others come to the driver, as columns that each line is tested by
+    listed = compiled.where(F.size("_c.needed") == 0).drop("_c").collect()
     for k in range(0, len(listed), MOST_COLUMNS):
         out = out.unionByName(_tested(lines, listed[k : k + MOST_COLUMNS]))
     return out.distinct()
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters, folded; what the text's end cuts is null."""
+
+    def runs(chars: Column) -> Column:
+        ahead = F.arrays_zip(*[F.slice(chars, k, F.size(chars)) for k in range(1, size + 1)])
+        return F.array_distinct(F.transform(ahead, lambda z: F.concat(*[z[str(k)] for k in range(size)])))
+
+    # as the variable of a lambda the text is taken apart once
+    return F.transform(F.array(F.split(fold_ascii(text), "")), runs)[0]
+
+
+def _compiled(patterns: pd.Series, ignore_case: pd.Series, is_regex: pd.Series) -> pd.DataFrame:
+    """Each rule's Java expression, and the texts, folded, of which each match holds one; none if
+    one of them has less than three characters."""
+    rows = []
+    for pattern, ignore, regex in zip(patterns, ignore_case, is_regex, strict=True):
+        needed = required(pattern if regex else quoted(pattern), ignore) or ()
+        folded = sorted({t.translate(str.maketrans(UPPER, LOWER)) for t in needed})
+        rows.append((Search(pattern, ignore, regex).java(), folded if all(len(t) > 2 for t in folded) else []))
+    return pd.DataFrame(rows, columns=["java", "needed"])
+
+
 def _tested(lines: DataFrame, listed: list[Row]) -> DataFrame:
     """The rules' patterns as columns of one projection."""
 
     def found(rule: Row) -> Column:
-        if rule.regex or not rule.pattern.isascii():
-            search = Search(rule.pattern, rule.ignore_case, rule.regex) if rule.pattern.strip() else None
-            return F.lit(False) if search is None else matches(F.col("text"), search.checked(lines.sparkSession))
-        return F.contains(fold_ascii(F.col("text")), fold_ascii(F.lit(rule.pattern))) if rule.ignore_case else F.contains("text", F.lit(rule.pattern))
+        if not rule.pattern.strip():
+            return F.lit(False)
+        return matches(F.col("text"), Search(rule.pattern, rule.ignore_case, rule.regex).checked(lines.sparkSession))
 
     parts = [F.when(found(r), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.color).cast("bigint").alias("color"))) for r in listed]
     rows = lines.select("file_id", "line_no", F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("_r"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linewright.functions.predicates import Search, in_range, matches
+from linewright.functions.predicates import Search, in_range, matches, may_match
 from linewright.operators.ranks import FEW
 from linewright.sources.tables import lines_from_table
 
@@ -30,11 +30,14 @@ def find(lines: DataFrame, search: Search) -> DataFrame:
 def find_in_table(table: DataFrame, id_col: str, text_col: str, search: Search) -> DataFrame:
     """The matching lines of a table's texts.
 
-    A literal that a line holds is in its whole text too, so that for literals only the texts
-    that hold one are split into lines at all.
+    What a line holds is in its whole text too, so that only the texts that hold a literal, or
+    what every match of an expression needs, are split into lines at all.
     """
-    if not search.regex and not any("\n" in p for p in search.patterns):
-        table = table.where(matches(F.col(text_col), search))
+    text = F.col(text_col)
+    if not search.regex:
+        table = table if any("\n" in p for p in search.patterns) else table.where(matches(text, search))
+    elif (able := may_match(text, search)) is not None:
+        table = table.where(able)
     return find(lines_from_table(table, id_col, text_col), search)
 
 
@@ -66,6 +69,17 @@ def search_status(lines: DataFrame, search: Search) -> DataFrame:
     return lines.agg(F.count_if(_hit(lines, search)).alias("matches_found"), F.count_if(inside).alias("processed_lines"), F.count("*").alias("total_lines")).withColumn("done", F.lit(True))
 
 
+def find_with_progress(lines: DataFrame, search: Search, name: str = "search") -> tuple[DataFrame, Observation]:
+    """find() without a limit, and what search_status() counts, gathered by the same pass: once an
+    action on the matches has ended, the observation's `get` has matches_found, processed_lines and
+    total_lines; on a stream each batch reports them to a StreamingQueryListener."""
+    progress = Observation(name)
+    inside = in_range(F.col("line_no"), search.start, search.end)
+    flagged = lines.withColumn("_hit", _hit(lines, search))
+    counted = flagged.observe(progress, F.count_if("_hit").alias("matches_found"), F.count_if(inside).alias("processed_lines"), F.count(F.lit(1)).alias("total_lines"))
+    return counted.where("_hit").drop("_hit"), progress
+
+
 def exists(lines: DataFrame, search: Search) -> bool:
     """Whether any line matches; the first match ends the work."""
     return not lines.where(_hit(lines, search)).select("line_no").limit(1).isEmpty()

@@ -53,7 +53,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "text")
 
 
-def literal(spark: SparkSession, sf_dir: str, search: Search) -> DataFrame:
+def searched(spark: SparkSession, sf_dir: str, search: Search) -> DataFrame:
     return s.find_in_table(docs(spark, sf_dir), "doc_id", "text", search)
 
 
@@ -122,12 +122,12 @@ def go_to_line(spark, sf):
 
 @query(f" SELECT file_id, line_no, text FROM l WHERE {HIT}")
 def search_ignore_case(spark, sf):
-    return keyed(literal(spark, sf, NEEDLE), "text")
+    return keyed(searched(spark, sf, NEEDLE), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ')")
 def search_literal(spark, sf):
-    return keyed(literal(spark, sf, Search("the ", regex=False)), "text")
+    return keyed(searched(spark, sf, Search("the ", regex=False)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(replace(text, 'É', 'é'), 'éle')")
@@ -138,42 +138,50 @@ def search_unicode_ignore_case(spark, sf):
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(lower(text), 'éau')")
 def search_folded(spark, sf):
-    return keyed(literal(spark, sf, Search("ÉAU", ignore_case=True, regex=False)), "text")
+    return keyed(searched(spark, sf, Search("ÉAU", ignore_case=True, regex=False)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'License') OR contains(text, '@') OR contains(text, 'http')")
 def search_multi_literal(spark, sf):
-    return keyed(literal(spark, sf, Search(["License", "@", "http"], regex=False)), "text")
+    return keyed(searched(spark, sf, Search(["License", "@", "http"], regex=False)), "text")
+
+
+@query(", v AS (SELECT DISTINCT lower(list_extract(string_split(text, ' '), 3)) || ' ' AS word FROM benchmark) SELECT DISTINCT file_id, line_no, text FROM l JOIN v ON contains(l.text, v.word) WHERE length(word) > 3")
+def search_thousands_of_literals(spark, sf):
+    """Needles from a table, as one expression that branches by their characters."""
+    word = F.concat(F.lower(F.get(F.split("text", " "), 2)), F.lit(" "))
+    needles = [r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select(word.alias("w")).where(F.length("w") > 3).distinct().collect()]
+    return keyed(searched(spark, sf, Search(needles, regex=False)), "text").distinct()
 
 
 @query("".join([" SELECT file_id, line_no, text FROM l WHERE ", " OR ".join(f"contains(text, '{chr(97 + k)}{chr(98 + k)}')" for k in range(20))]))
 def search_many_literals(spark, sf):
-    return keyed(literal(spark, sf, Search([f"{chr(97 + k)}{chr(98 + k)}" for k in range(20)], regex=False)), "text")
+    return keyed(searched(spark, sf, Search([f"{chr(97 + k)}{chr(98 + k)}" for k in range(20)], regex=False)), "text")
 
 
 @query(r" SELECT file_id, line_no, text FROM l WHERE regexp_matches(text, '[0-9]{3,}')")
 def search_regex(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search("[0-9]{3,}")), "text")
+    return keyed(searched(spark, sf, Search("[0-9]{3,}")), "text")
 
 
 @query(r" SELECT file_id, line_no, text FROM l WHERE regexp_matches(text, '(?:[0-9]+\.[0-9]+)|(?:^Th[a-z]+ )')")
 def search_multi_regex(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search([r"[0-9]+\.[0-9]+", "^Th[a-z]+ "])), "text")
+    return keyed(searched(spark, sf, Search([r"[0-9]+\.[0-9]+", "^Th[a-z]+ "])), "text")
 
 
 @query(r" SELECT file_id, line_no, text FROM l WHERE regexp_matches(text, '(?i)lic[a-z]+ed?')")
 def search_regex_ignore_case(spark, sf):
-    return keyed(s.find(lines(spark, sf), Search("lic[a-z]+ed?", ignore_case=True)), "text")
+    return keyed(searched(spark, sf, Search("lic[a-z]+ed?", ignore_case=True)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') AND line_no >= 2 AND line_no < 6")
 def search_line_range(spark, sf):
-    return keyed(literal(spark, sf, Search("the ", regex=False, start=2, end=6)), "text")
+    return keyed(searched(spark, sf, Search("the ", regex=False, start=2, end=6)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') AND line_no >= 9")
 def search_from_offset(spark, sf):
-    return keyed(literal(spark, sf, Search("the ", regex=False, start=9)), "text")
+    return keyed(searched(spark, sf, Search("the ", regex=False, start=9)), "text")
 
 
 @query(f" SELECT file_id, line_no, {HIT} AS is_match FROM l")
@@ -191,22 +199,22 @@ def conversation_search(spark, sf):
 
 @query(f" SELECT file_id, line_no, text FROM l WHERE {HIT} ORDER BY file_id, line_no")
 def ordered_matches(spark, sf):
-    return keyed(s.ordered(literal(spark, sf, NEEDLE)), "text")
+    return keyed(s.ordered(searched(spark, sf, NEEDLE)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') ORDER BY file_id, line_no LIMIT 25")
 def first_n(spark, sf):
-    return keyed(literal(spark, sf, Search("the ", regex=False, limit=25)), "text")
+    return keyed(searched(spark, sf, Search("the ", regex=False, limit=25)), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k FROM l WHERE contains(text, 'the ')) WHERE k <= 2")
 def first_n_of_each(spark, sf):
-    return keyed(s.first_n_of_each(literal(spark, sf, Search("the ", regex=False)), 2), "text")
+    return keyed(s.first_n_of_each(searched(spark, sf, Search("the ", regex=False)), 2), "text")
 
 
 @query(" SELECT file_id, line_no, text FROM l WHERE contains(text, 'the ') AND (file_id > 40 OR (file_id = 40 AND line_no > 2)) ORDER BY file_id, line_no LIMIT 100")
 def result_page(spark, sf):
-    return keyed(s.next_page(literal(spark, sf, Search("the ", regex=False)), (40, 2), 100), "text")
+    return keyed(s.next_page(searched(spark, sf, Search("the ", regex=False)), (40, 2), 100), "text")
 
 
 @query(", p AS (SELECT DISTINCT doc_id AS file_id, 0 AS line_no FROM labels WHERE toxic = 1) SELECT l.file_id, l.line_no, l.text FROM l JOIN p ON l.file_id = p.file_id AND l.line_no = p.line_no")
@@ -265,6 +273,14 @@ def search_status(spark, sf):
     return s.search_status(lines(spark, sf), Search("license", ignore_case=True, regex=False, start=1))
 
 
+@query(f" SELECT count(*) FILTER (WHERE line_no >= 1 AND {HIT}) AS matches_found, count(*) FILTER (WHERE line_no >= 1) AS processed_lines, count(*) AS total_lines FROM l")
+def search_progress(spark, sf):
+    """What a search counted while its matches were written."""
+    found, progress = s.find_with_progress(lines(spark, sf), Search("license", ignore_case=True, regex=False, start=1))
+    found.write.parquet(_folder(spark))
+    return spark.createDataFrame([(progress.get["matches_found"], progress.get["processed_lines"], progress.get["total_lines"])], "matches_found long, processed_lines long, total_lines long")
+
+
 @query(f" SELECT file_id, CAST(floor(line_no * 40 / n) AS BIGINT) AS bucket, count(*) AS n FROM l WHERE {WORD_HIT} GROUP BY ALL".replace("n) AS BIGINT", "CAST(n AS DOUBLE)) AS BIGINT"))
 def overview_strip(spark, sf):
     every = lines(spark, sf)
@@ -435,7 +451,7 @@ def ansi_matches(spark, sf):
 
 @query(f" SELECT file_id, line_no, line_no || ':' || text AS rendered FROM l WHERE {HIT}")
 def render_lines(spark, sf):
-    return render.render_lines(literal(spark, sf, NEEDLE))
+    return render.render_lines(searched(spark, sf, NEEDLE))
 
 
 @query(

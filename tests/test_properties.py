@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linewright.functions.dialect import java_pattern
+from linewright.functions.dialect import java_pattern, required, trie
 from linewright.functions.predicates import LOWER, UPPER, Search, matches
 from linewright.functions.spans import match_spans
 from linewright.operators import context, marks, ranks, rules
@@ -146,3 +150,70 @@ def test_groups_and_gaps_across_ranges(spark):
         assert gaps == {(f, n): None if k == 0 else n - numbers[k - 1] - 1 for f in (1, 2) for k, n in enumerate(numbers)}
         sums = {(r.file_id, r.line_no): (r.p, r.all) for r in ranks.running(rows, F.lit(1), "p", size, "all").collect()}
         assert sums == {(f, n): (k, len(numbers)) for f in (1, 2) for k, n in enumerate(numbers)}
+
+
+PARTS = st.sampled_from(["a", "b", "K", "i", "é", "[ab]", ".", "(ab|ba)", "(?:b|K)", "(a(bc)?)", "\\.", "\\d", "^", "$", "|", "ab", " ", "x"])
+PATTERNS = st.lists(st.tuples(PARTS, st.sampled_from(["", "", "", "?", "*", "+", "{0,2}", "{2}", "+?"])), min_size=1, max_size=6).map(lambda ps: "".join(p if p in "^$|" else p + q for p, q in ps))
+
+
+@settings(max_examples=400, deadline=None)
+@given(PATTERNS, st.lists(st.text(alphabet="abcKikıéKİ.1 x", max_size=12), max_size=8), st.booleans())
+def test_what_matches_need_is_in_them(pattern, texts, ignore_case):
+    try:
+        compiled = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
+        java_pattern(pattern)
+    except (re.error, ValueError):
+        return
+    needed = required(pattern, ignore_case)
+    for text in texts:
+        if needed and (found := compiled.search(text)):
+            held = found.group().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if ignore_case else found.group()
+            assert any(n in held for n in needed), (pattern, text, needed)
+
+
+def test_needed_texts():
+    assert required("(^|[ ,.])(the|der|les)([ ,.]|$)") == ("the", "der", "les") and required(r"[0-9]+\.[0-9]+") == (".",)
+    assert required("ab?c+d") == ("a",)
+    assert required("a|b*") is None and required("(?i)abc") is None and required("[0-9]{3,}") is None
+    assert required("ERROR .*timeout", True) == ("error ",) and required("Kiss", True) is None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abé.|", min_size=1, max_size=4), min_size=1, max_size=12), st.lists(st.text(alphabet="abé.|", max_size=9), max_size=8))
+def test_tries_find_what_literals_find(literals, texts):
+    compiled = regex.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: regex.escape(chr(int(m[1], 16)), special_only=False), trie(literals)))
+    assert [bool(compiled.search(t)) for t in texts] == [any(x in t for x in literals) for t in texts]
+
+
+def test_ten_thousand_needles(spark, make_lines):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(6, 12)))
+    lines = [" ".join(word() for _ in range(20)) for _ in range(2000)]
+    needles = [word() for _ in range(9_990)] + [x.split()[3] for x in lines[::200]]
+    frame = make_lines("\n".join(lines)).cache()
+    frame.count()
+    took = []
+    for few in (needles[-100:], needles):
+        began = time.perf_counter()
+        got = {r.line_no for r in s.find(frame, Search(few, regex=False)).collect()}
+        took.append(time.perf_counter() - began)
+    assert got == {k for k, x in enumerate(lines) if any(n in x for n in needles)} and len(got) >= 10
+    assert took[1] < 5 + 5 * took[0]
+
+
+def test_thousands_of_regular_expressions(spark, make_lines, monkeypatch):
+    """Rules whose matches hold a text meet its lines; only the others become columns."""
+    tested = []
+    monkeypatch.setattr(rules, "_tested", lambda lines, listed, plain=rules._tested: tested.append(len(listed)) or plain(lines, listed))
+    table = spark.createDataFrame([(k, f"[0-9]+ code{k:04}(x|y)?$", k, None, True, k % 2 == 0) for k in range(5000)] + [(5000, "^[a-z]$", 1, None, True, False)], "priority long, pattern string, color long, anchor_line long, regex boolean, ignore_case boolean")
+    lines = make_lines("12 CODE0010x\n7 code0011\n7 CODE0011\nx\n5 code4999y and more\n5 code4998Y", "a\nb1")
+    got = {(r.file_id, r.line_no, r.priority) for r in rules.rules_on_lines(lines, table).collect()}
+    assert got == {(0, 0, 10), (0, 1, 11), (0, 3, 5000), (0, 5, 4998), (1, 0, 5000)} and tested == [1]
+
+
+def test_progress_of_a_search(spark, make_lines):
+    lines = make_lines("hit\na\nhit", "b\nhit")
+    found, progress = s.find_with_progress(lines, Search("hit", regex=False, start=1))
+    status = s.search_status(lines, Search("hit", regex=False, start=1)).first()
+    assert len(found.collect()) == 2 and found.columns == lines.columns
+    assert progress.get == {"matches_found": 2, "processed_lines": 3, "total_lines": 5} == {k: status[k] for k in progress.get}
