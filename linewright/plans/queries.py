@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.checkpoints import cut, shared_folder
@@ -228,6 +228,13 @@ def history_topk(spark, sf):
     return s.history(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "ts", 20)
 
 
+@query(" SELECT pattern, max(used) AS last_used FROM (SELECT list_extract(string_split(text, ' '), 1) AS pattern, conv_id * 1000 + turn AS used FROM conversations) WHERE trim(pattern) <> '' GROUP BY pattern ORDER BY last_used DESC, pattern LIMIT 20", prefix="")
+def history_of_words(spark, sf):
+    """More distinct patterns than the history keeps."""
+    log = spark.read.parquet(f"{sf}/conversations.parquet").select(F.get(F.split("text", " "), 0).alias("word"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    return s.history(log, "word", "at", 20)
+
+
 @query(
     """p AS (SELECT page_id AS file_id, unnest(ls) AS text, unnest(range(len(ls))) AS line_no FROM (SELECT page_id, string_split(CASE WHEN suffix(html, chr(10)) THEN left(html, length(html) - 1) ELSE html END, chr(10)) AS ls FROM pages WHERE html <> '')),
  b AS (SELECT file_id, line_no, strlen(text) AS size, hex(encode(text)) AS h FROM p),
@@ -398,6 +405,12 @@ def restore_pins(spark, sf):
     return marks.restore_pins(pins(spark, sf), pins(spark, sf))
 
 
+@query(" SELECT file_id, line_no FROM l WHERE line_no % 7 = 0 OR line_no % 5 = 0")
+def restore_pins_of_sessions(spark, sf):
+    """Two stored sets that share some lines."""
+    return marks.restore_pins(pins(spark, sf), lines(spark, sf).where("line_no % 5 = 0").select("file_id", "line_no"))
+
+
 @query(" SELECT file_id, line_no FROM l WHERE line_no % 7 = 0 AND NOT (file_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND line_no BETWEEN 5 AND 15)")
 def unpin_range(spark, sf):
     ranges = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("file_id"), F.lit(5).cast("long").alias("first"), F.lit(15).cast("long").alias("last"))
@@ -648,7 +661,7 @@ def _stored(df: DataFrame, folder: str, form: Callable[..., tuple[str, bytes, by
     df.mapInPandas(write, "n long").count()
 
 
-def _encoded(spark: SparkSession, sf: str) -> str:
+def _encoded(spark: SparkSession, sf: str, without: Column | None = None) -> str:
     """documents' texts as files of several encodings, some per task, whose names hold odd characters."""
 
     def form(doc_id, text, narrow):
@@ -660,7 +673,9 @@ def _encoded(spark: SparkSession, sf: str) -> str:
 
     folder = _folder(spark)
     narrow = ~F.col("text").rlike(r"[^\x00-\x7F\xA0-\xFF]")
-    _stored(docs(spark, sf).where("text IS NOT NULL").select("doc_id", "text", narrow.alias("narrow")), folder, form)
+    rows = docs(spark, sf).where("text IS NOT NULL")
+    rows = rows if without is None else rows.where(~without)
+    _stored(rows.select("doc_id", "text", narrow.alias("narrow")), folder, form)
     return folder
 
 
@@ -760,6 +775,21 @@ def file_states(spark, sf):
     return change.join(info, "file_id").groupBy(kind.alias("kind"), "change", "encoding", "bom_width").agg(F.sum("line_count").alias("line_count"))
 
 
+@query(
+    f""" SELECT k AS file_id, '{{"path":"' || k || '","size":' || CAST(sum(size) AS BIGINT) || ',"line_count":' || CAST(sum(n) AS BIGINT) || ',"max_line_len":' || max(longest) || ',"encoding":"' || ['UTF-8', 'UTF-8', 'UTF-16 LE', 'UTF-16 BE', 'UTF-32LE', 'windows-1252'][k + 1] || '"}}' AS json FROM (SELECT k, len(ls) AS n, list_max(list_transform(ls, lambda t: u * length(t) + CASE WHEN k < 2 THEN strlen(t) ELSE 0 END)) AS longest, u * (length(text) + 1) + CASE WHEN k < 2 THEN strlen(text) + 1 ELSE 0 END AS size
+ FROM (SELECT *, {NARROW} AS k, string_split(text, chr(10)) AS ls, CASE {NARROW} WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 4 WHEN 5 THEN 1 ELSE 0 END AS u FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x{{00}}-\\x{{FFFF}}]'))) GROUP BY k""".replace("UTF-32LE", "UTF-32 LE"),
+    prefix="",
+)
+def info_json_encoding(spark, sf):
+    """Facts with the detected encoding's name, of all files of a form together: without their
+    first lines and marks."""
+    info = files.describe_files(spark, _encoded(spark, sf, F.col("text").rlike(r"[^\x{0}-\x{FFFF}]")))
+    first = F.when(F.col("encoding") == "UTF-8", 9).when(F.col("encoding").startswith("UTF-16"), 16).when(F.col("encoding").startswith("UTF-32"), 32).otherwise(8)
+    form = F.regexp_extract("file_id", "([0-9]) %20", 1).cast("long").alias("file_id")
+    every = info.groupBy(form).agg(F.sum(F.col("size") - F.col("bom_width") - first).alias("size"), F.sum(F.col("line_count") - 1).alias("line_count"), F.max("max_line_len").alias("max_line_len"), F.first(encoding_name(F.col("encoding"))).alias("encoding"))
+    return render.info_json(every, ("encoding",))
+
+
 def _streamed(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream has to give now, through Parquet in the shared folder."""
     folder = _folder(spark)
