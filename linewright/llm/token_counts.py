@@ -44,8 +44,11 @@ BEFORE, AFTER = 32, 96
 BLOCK_CHUNKS = 256
 #: Text that is counted at once; words read in lockstep.
 BATCH_BYTES, LANES = 8 << 20, 1 << 15
-#: Words of more bytes are read one by one.
-LONG_WORD = 128
+#: Runs of more bytes are read as stretches of STRETCH bytes side by side, each from the state
+#: in which a reading of the WARM bytes before it ends, which is checked.
+LONG_RUN, STRETCH, WARM = 1024, 256, 64
+#: Transitions that are kept apart until they are many.
+RECENT = 1 << 14
 #: Compiled states and known pairs of a worker; compiled anew when full, which changes no result.
 MAX_STATES, MAX_PAIRS = 200_000, 1_000_000
 
@@ -115,7 +118,9 @@ class WordTransducer:
         self.quick: dict[int, tuple[int, int]] = {}
         self.number: dict[bytes, int] = {}
         self.rows = np.zeros((3, 1024, self.wide + 1), np.int32)
-        self.steps, self.goes, self.changes = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        none = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        # transitions in order, and the latest ones: steps, the states they lead to, their changes
+        self.known, self.recent = none, none
         first = np.full((3, 1, self.wide + 1), -1, np.int32)
         first[2], first[:, 0, 0] = 0, (0, self.none, 0)
         self._named(first)
@@ -161,24 +166,25 @@ class WordTransducer:
 
     def _follows(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether each token comes right after the one before it, as those two alone are cut."""
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs.clear()
         out = np.empty(len(left), bool)
-        for k, (a, b) in enumerate(zip(left.tolist(), token.tolist(), strict=True)):
-            known = self.pairs.get(a << 32 | b)
+        for k, key in enumerate((left.astype(np.int64) << 32 | token).tolist()):
+            known = self.pairs.get(key)
             if known is None:
-                after = self.tokens[b]
-                known = self.merged(self.tokens[a] + after) == [self.tokens[a], after] if a != self.none else self.merged(after) == [after]
-                self.pairs[a << 32 | b] = known
+                before, after = key >> 32, self.tokens[key & 0xFFFFFFFF]
+                known = self.merged(self.tokens[before] + after) == [self.tokens[before], after] if before != self.none else self.merged(after) == [after]
+                self.pairs[key] = known
             out[k] = known
         return out
 
-    def _compile(self, steps: np.ndarray) -> None:
-        """Make the transitions (state * 512 + symbol), none of which is known."""
-        state, symbol = steps >> 9, steps & 511
-        node, last, less = self.rows[:, state]
+    def _advance(self, rows: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States (3, states, suffixes), each after a symbol more, and the changes in the number of tokens."""
+        node, last, less = rows
         at, there = _find(self.edges, (node.astype(np.int64) << 9 | symbol[:, None]).ravel())
         grown = np.where(there & (node.ravel() >= 0), self.child[at], -1).reshape(node.shape)
         token = np.where(grown >= 0, self.token_of[grown], -1)
-        chosen = np.full(len(steps), -1)
+        chosen = np.full(len(symbol), -1)
         # the shortest token that ends here and follows what comes before it is the only one
         for k in range(node.shape[1]):
             some = np.flatnonzero((chosen < 0) & (token[:, k] >= 0))
@@ -186,26 +192,43 @@ class WordTransducer:
             chosen[some] = k
         if (chosen < 0).any():
             raise ValueError(f"the vocabulary has no token for the symbol {int(symbol[chosen < 0][0])}")
-        rows = np.arange(len(steps))
-        change = less[rows, chosen] + 1
-        made = np.full((3, len(steps), node.shape[1]), -1, np.int32)
+        each = np.arange(len(symbol))
+        change = less[each, chosen] + 1
+        made = np.full((3, *node.shape), -1, np.int32)
         made[:, :, 1:] = grown[:, :-1], last[:, :-1], less[:, :-1] - change[:, None]
-        made[0, :, 0], made[1, :, 0], made[2, :, 0] = 0, token[rows, chosen], 0
+        made[0, :, 0], made[1, :, 0], made[2, :, 0] = 0, token[each, chosen], 0
         gone = (made[0] < 0) | ~self.inner[made[0]]
         made[0][gone], made[1][gone], made[2][gone] = -1, -1, 0
+        return made, change
+
+    def _compile(self, steps: np.ndarray) -> None:
+        """Make the transitions (state * 512 + symbol), none of which is known."""
+        symbol = steps & 511
+        made, change = self._advance(self.rows[:, steps >> 9], symbol)
         goes, within = np.zeros(len(steps), np.int32), symbol < 256
         goes[within] = self._named(made[:, within])
-        place = np.searchsorted(self.steps, steps)
-        self.steps, self.goes, self.changes = np.insert(self.steps, place, steps), np.insert(self.goes, place, goes), np.insert(self.changes, place, change)
+        new = steps, goes, change.astype(np.int32)
+        place = np.searchsorted(self.recent[0], steps)
+        self.recent = tuple(np.insert(old, place, more) for old, more in zip(self.recent, new, strict=True))
+        if len(self.recent[0]) > RECENT:
+            place = np.searchsorted(self.known[0], self.recent[0])
+            self.known = tuple(np.insert(old, place, more) for old, more in zip(self.known, self.recent, strict=True))
+            self.recent = tuple(part[:0] for part in self.recent)
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the states after, the changes in the number of tokens)."""
         wanted = states.astype(np.int64) << 9 | symbols
-        at, there = _find(self.steps, wanted)
-        if not there.all():
-            self._compile(np.unique(wanted[~there]))
-            at = np.searchsorted(self.steps, wanted)
-        return self.goes[at], self.changes[at]
+        after, change, missing = np.zeros(len(wanted), np.int32), np.zeros(len(wanted), np.int32), np.arange(len(wanted))
+        for _ in range(2):
+            for steps, goes, changes in (self.known, self.recent):
+                at, there = _find(steps, wanted[missing])
+                found = missing[there]
+                after[found], change[found] = goes[at[there]], changes[at[there]]
+                missing = missing[~there]
+            if not len(missing):
+                break
+            self._compile(np.unique(wanted[missing]))
+        return after, change
 
     def count(self, words: pa.StringArray) -> np.ndarray:
         """The number of tokens of each word; none is empty."""
@@ -214,11 +237,11 @@ class WordTransducer:
         raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
         sizes = np.diff(ends)
         order = np.argsort(-sizes, kind="stable")
-        alone = int((sizes > LONG_WORD).sum())
+        alone = int((sizes > LONG_RUN).sum())
         for k in order[:alone]:
             out[k] = self.read(0, raw[ends[k] : ends[k + 1]].tobytes(), True)[1]
         for begin in range(alone, len(words), LANES):
-            if len(self.number) > MAX_STATES or len(self.pairs) > MAX_PAIRS:
+            if self._full():
                 self.restart()
             lanes = order[begin : begin + LANES]
             size = sizes[lanes]
@@ -233,15 +256,59 @@ class WordTransducer:
             out[lanes] = total
         return out
 
+    def _full(self) -> bool:
+        return len(self.number) > MAX_STATES or len(self.quick) > MAX_STATES
+
     def read(self, state: int, raw: bytes, ends: bool = False) -> tuple[int, int]:
         """(the state after, the tokens) of one run of bytes; with `ends` the last is a word's last."""
+        symbols = np.frombuffer(raw, np.uint8).astype(np.int64)
+        if ends and len(raw):
+            symbols[-1] += 256
+        if len(raw) <= LONG_RUN:
+            return self._one_by_one(state, symbols)
+        starts = np.arange(0, len(raw), STRETCH)
+        first = np.repeat(self.rows[:, :1], len(starts), 1)
+        for t in range(WARM):
+            first[:, 1:] = self._advance(first[:, 1:], symbols[starts[1:] - WARM + t])[0]
+        first[:, 0] = self.rows[:, state]
+        after, tokens = np.empty_like(first), np.zeros(len(starts), np.int64)
+        wrong = np.arange(len(starts))
+        for _ in range(3):
+            after[:, wrong], tokens[wrong] = self._side_by_side(first[:, wrong], symbols, starts[wrong])
+            wrong = 1 + np.flatnonzero((after[:, :-1] != first[:, 1:]).any((0, 2)))
+            if not len(wrong):
+                break
+            first[:, wrong] = after[:, wrong - 1]
+        # what still depends on how the stretches before it were cut, as repetitions do, comes
+        # in order; they have few states
+        for k in range(int(wrong[0]) if len(wrong) else len(starts), len(starts)):
+            if (after[:, k - 1] != first[:, k]).any() or k in wrong:
+                first[:, k] = after[:, k - 1]
+                end, tokens[k] = self._one_by_one(int(self._named(first[:, [k]])[0]), symbols[starts[k] : starts[k] + STRETCH])
+                after[:, k] = self.rows[:, end]
+        return (0 if ends else int(self._named(after[:, [-1]])[0])), int(tokens.sum())
+
+    def _side_by_side(self, rows: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after, tokens) of stretches, from the states given for them."""
+        rows, tokens = rows.copy(), np.zeros(len(starts), np.int64)
+        for t in range(STRETCH):
+            here = np.flatnonzero(starts + t < len(symbols))
+            rows[:, here], change = self._advance(rows[:, here], symbols[starts[here] + t])
+            tokens[here] += change
+        return rows, tokens
+
+    def _one_by_one(self, state: int, symbols: np.ndarray) -> tuple[int, int]:
         total = 0
-        for k, symbol in enumerate(raw):
-            wanted = state << 9 | symbol + 256 * (ends and k == len(raw) - 1)
-            known = self.quick.get(wanted)
+        for symbol in symbols.tolist():
+            known = self.quick.get(state << 9 | symbol)
             if known is None:
-                after, change = self.step(np.array([wanted >> 9]), np.array([wanted & 511]))
-                known = self.quick[wanted] = int(after[0]), int(change[0])
+                if self._full():
+                    key = self.key(state)
+                    self.restart()
+                    state = self.state(key)
+                made, change = self._advance(self.rows[:, [state]], np.array([symbol]))
+                # no state follows a word's end
+                known = self.quick[state << 9 | symbol] = (int(self._named(made)[0]) if symbol < 256 else 0), int(change[0])
             state, total = known[0], total + known[1]
         return state, total
 

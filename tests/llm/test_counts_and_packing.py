@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,31 @@ def test_transducer_equals_the_library(word_library):
         assert count.text(text) == len(word_library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_long_runs_take_linear_time(word_library, monkeypatch):
+    """Unbroken runs, random or of few letters, are read in stretches; tables stay bounded."""
+    monkeypatch.setattr(token_counts, "MAX_STATES", 5000)
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    run = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    count = token_counts.Counter(WORD_BPE)
+    began = time.perf_counter()
+    texts = [run(letters, 250_000), run("acgt", 60_000), run("ab", 60_000), "a" * 60_000, "ab" * 30_000 + "c", ("ab" * 300 + "cd") * 100, "é" * 30_000, "=-" * 20_000, run(letters, 1025), run(letters, 1024), " ".join(run(letters, 900) for _ in range(40))]
+    got = [count.text(t) for t in texts]
+    assert time.perf_counter() - began < 60
+    assert got == [len(e.ids) for e in word_library.encode_batch(texts, add_special_tokens=False)]
+    assert len(count.transducer.number) <= 5000 + token_counts.LANES and len(count.transducer.quick) <= 5001
+
+
+def test_stretches_equal_a_plain_reading():
+    rng = random.Random(2)
+    count = token_counts.Counter(WORD_BPE).transducer
+    for pool, n in (("abcdefgh", 3000), ("ab", 3000), ("a", 2500), ("the", 4000)):
+        raw = "".join(rng.choice(pool) for _ in range(n)).encode()
+        state, had = count._one_by_one(0, np.frombuffer(raw[:7], np.uint8).astype(np.int64))
+        after, tokens = count.read(state, raw[7:])
+        assert (count.key(after), had + tokens) == (lambda s, t: (count.key(s), t))(*count._one_by_one(0, np.frombuffer(raw, np.uint8).astype(np.int64)))
+
+
 def test_chunks_compose(word_library):
     """Chunks' maps, evaluated at the states that occur, give the count of the whole text."""
     rng = random.Random(3)
@@ -61,7 +87,7 @@ def test_maps_compose_in_any_bracketing():
 def test_states_restart_without_effect(monkeypatch, word_library):
     monkeypatch.setattr(token_counts, "MAX_STATES", 5)
     monkeypatch.setattr(token_counts, "LANES", 3)
-    monkeypatch.setattr(token_counts, "LONG_WORD", 20)
+    monkeypatch.setattr(token_counts, "LONG_RUN", 300)
     count = token_counts.Counter(WORD_BPE)
     for text in ODD:
         assert count.text(text) == len(word_library.encode(text, add_special_tokens=False).ids)
