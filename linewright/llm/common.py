@@ -4,29 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewright.checkpoints import cut, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["BATCH_ROWS", "crc_mod", "cut", "fresh", "release", "resident", "shared_folder", "small_batches", "table", "tidy", "unit_hash"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder that all executors share, and go on from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a
-    single machine) a temporary one takes its place.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Rows of a batch that a Python worker gets at once: documents are long.

@@ -8,7 +8,7 @@ phrases, normalised by length, wins.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +23,8 @@ from linewright.llm.common import crc_mod, cut, fresh, resident, small_batches,
 #: Labelled text kept for each language: this many characters, of at most SAMPLE_ROWS rows,
 #: PIECE_CHARS of each before any gives more.
 MODEL_CHARS, SAMPLE_ROWS, PIECE_CHARS = 32_000, 64, 4_000
+#: Characters of all languages together: more than 125 languages give less than MODEL_CHARS each.
+TOTAL_CHARS = 4_000_000
 #: Automata are tables of states and symbols as long as those of a worker take no more bytes
 #: than this; the others are lists of steps, which are slower and find the same.
 TABLE_BYTES = 64 << 20
@@ -168,20 +170,29 @@ def labelled_texts(docs: DataFrame, known: Column, model_chars: int = MODEL_CHAR
     """A seeded, bounded sample of labelled text for each language.
 
     Of the rows with a language where `known` holds, each language's first in a hash order,
-    at most `rows` of them: PIECE_CHARS characters of each, then as many more and so on, until
+    at most `rows` of them that have letters: PIECE_CHARS characters of each, then as many more and so on, until
     model_chars are there. Rows are thinned by the languages' counts first, so that no task
     sorts a language whole.
     """
     labelled = docs.where(known & F.col("lang").isNotNull() & (F.length("text") > 0))
-    labelled = labelled.select("lang", F.left("text", F.lit(2 * model_chars)).alias("text"), unit_hash(F.col("doc_id"), 4).alias("h"))
+    labelled = labelled.select("lang", "text", unit_hash(F.col("doc_id"), 4).alias("h"))
     counts = cut(labelled.groupBy("lang").count())
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+    languages = counts.count()
+    counts = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts
+    # of many languages each gives less, so that what comes to the driver is bounded
+    model_chars = max(min(model_chars, TOTAL_CHARS // max(languages, 1)), 1)
     span = F.lit(2.0**64)
     thin = labelled.join(counts, "lang").where((F.col("h").cast("double") / span + 0.5) * F.col("count") <= 8.0 * rows)
+
+    def trim(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: letters_of(t)[:model_chars] if _LETTER.search(t) else "")
+
+    # texts are read whole, and their letters trimmed, by the executors
+    trimmed = thin.select("lang", "h", F.pandas_udf(trim, "string")("text").alias("text")).where("text <> ''")
     order = Window.partitionBy("lang").orderBy("h", "text")
-    first = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("lang", "k", "text").collect()
+    first = trimmed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("lang", "k", "text").collect()
     texts: dict[str, list[str]] = {}
-    rest = [(r.lang, letters_of(r.text)) for r in sorted(first, key=lambda r: (r.lang, r.k))]
+    rest = [(r.lang, r.text) for r in sorted(first, key=lambda r: (r.lang, r.k))]
     while rest:
         for lang, text in rest:
             had = texts.setdefault(lang, [])
@@ -202,7 +213,7 @@ def predictor(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     @tidy
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         texts = shared.value
-        key = zlib.crc32(repr(sorted(texts.items())).encode("utf-8", "surrogatepass"))
+        key = hashlib.blake2b(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).digest()
         model = resident(("language_id", key), lambda: Model(texts))
         for batch in batches:
             # about a megabyte of text at a time

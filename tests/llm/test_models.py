@@ -277,6 +277,17 @@ def test_templates(spark):
     assert got.where("template = '/en/*' and verdict = 'block'").count() == 0
 
 
+def test_letters_far_into_a_text_are_learned_from(make_docs, monkeypatch):
+    """A labelled text may begin with any amount of what are no letters; many languages share a bound."""
+    rows = [(k, "12 " * 60_000 + "hello and well met my friends", "en") for k in range(6)] + [(k, "bonjour et salut mes amis", "fr") for k in range(6, 12)] + [(20 + k, "abc def", f"junk{k}") for k in range(40)]
+    known = make_docs(*rows)
+    texts = language_id.labelled_texts(known, F.lit(True))
+    assert "".join(texts["en"]).startswith("hello") or "hello" in "".join(texts["en"])
+    monkeypatch.setattr(language_id, "TOTAL_CHARS", 42 * 5)
+    texts = language_id.labelled_texts(known, F.lit(True))
+    assert len(texts) == 42 and all(0 < sum(map(len, t)) <= 5 for t in texts.values())
+
+
 @pytest.mark.parametrize("blocked", [("es", "fr"), ("es",)])
 @pytest.mark.parametrize("each", [40, 3, 1])
 def test_clean_sections_are_not_judged_by_blocked_ones(spark, blocked, each):
