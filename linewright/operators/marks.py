@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.operators.ranks import numbered
+from linewright.operators.ranks import RANGE_LINES, numbered, over_ranges, ranged
 
 KEYS = ["file_id", "line_no"]
 #: The most lines of a range that is pinned at once.
@@ -70,13 +70,15 @@ def drop_overlap(found: DataFrame, resume: int) -> DataFrame:
     return found.where(F.col("line_no") != resume)
 
 
-def overview(rows: DataFrame, counts: DataFrame, height: int) -> DataFrame:
+def overview(rows: DataFrame, counts: DataFrame, height: int, range_lines: int = RANGE_LINES) -> DataFrame:
     """Per file and bucket of a strip `height` high: how many of the rows lie there.
 
-    counts: (file_id, line_count). A line lies at floor(line_no * height / line_count).
+    counts: (file_id, line_count). A line lies at floor(line_no * height / line_count). Rows
+    meet their file's count by range, so that one file isn't one key.
     """
     bucket = F.floor(F.col("line_no") * height / F.col("line_count"))
-    return rows.join(counts.select("file_id", "line_count"), "file_id").groupBy("file_id", bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = over_ranges(counts.select("file_id", "line_count"), F.lit(0).cast("long"), F.col("line_count") - 1, range_lines)
+    return ranged(rows, range_lines).join(counts, ["file_id", "_range"]).groupBy("file_id", bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def line_of_place(counts: DataFrame, y: int, height: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.operators.ranks import running
+from linewright.operators.ranks import RANGE_LINES, over_ranges, ranged, running
 
 
 def segment_lines(lines: DataFrame, budget: int) -> DataFrame:
@@ -28,14 +28,16 @@ def page_by_bytes(lines: DataFrame, start: int, budget: int = 8 << 20) -> DataFr
     return running(rest, size, "_before").where((F.col("_before") + size <= budget) | (F.col("line_no") == start)).drop("_before")
 
 
-def selection_text(lines: DataFrame, selections: DataFrame, cap: int = 20_000_000) -> DataFrame:
+def selection_text(lines: DataFrame, selections: DataFrame, cap: int = 20_000_000, range_lines: int = RANGE_LINES) -> DataFrame:
     """(file_id, selected, truncated): the text of each selection, lines joined by LF.
 
     selections: (file_id, first, first_col, last, last_col), columns being places in the
     line, null for whole lines. Text beyond `cap` characters is left out line by line; such
     text then ends in LF. The cap bounds what one row gathers.
     """
-    inside = lines.join(selections, "file_id").where(F.col("line_no").between(F.col("first"), F.col("last")))
+    # lines meet selections by range, so that one file isn't one key
+    spans = over_ranges(selections, F.greatest(F.col("first"), F.lit(0)).cast("long"), F.col("last").cast("long"), range_lines)
+    inside = ranged(lines, range_lines).join(spans, ["file_id", "_range"]).where(F.col("line_no").between(F.col("first"), F.col("last"))).drop("_range")
     whole = F.col("first_col").isNull() | F.col("last_col").isNull()
     begin = F.when(~whole & (F.col("line_no") == F.col("first")), F.least(F.col("first_col"), F.length("text"))).otherwise(0)
     end = F.when(~whole & (F.col("line_no") == F.col("last")), F.least(F.col("last_col"), F.length("text"))).otherwise(F.length("text"))

@@ -22,7 +22,14 @@ FEW = 1000
 
 def ranged(lines: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     """Adds _range, the range of a line's number."""
-    return lines.withColumn("_range", F.floor(F.col("line_no") / range_lines))
+    return lines.withColumn("_range", F.floor(F.col("line_no") / range_lines).cast("long"))
+
+
+def over_ranges(spans: DataFrame, first: Column, last: Column, range_lines: int = RANGE_LINES) -> DataFrame:
+    """A row for each range that holds a line of [first, last], with _range: what joins on file
+    and range spreads one huge file over its ranges."""
+    at = lambda c: F.floor(c / range_lines).cast("long")
+    return spans.withColumn("_range", F.explode(F.when(last >= first, F.sequence(at(first), at(last))).otherwise(F.array().cast("array<bigint>"))))
 
 
 def running(lines: DataFrame, value: Column, name: str, range_lines: int = RANGE_LINES, total: str | None = None) -> DataFrame:

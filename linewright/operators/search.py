@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linewright.functions.predicates import Search, in_range, matches, may_match
-from linewright.operators.ranks import FEW
+from linewright.operators.ranks import FEW, over_ranges, ranged
 from linewright.sources.tables import lines_from_table
 
 
@@ -106,7 +106,8 @@ def tail(lines: DataFrame, n: int = 10) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("line_no")))
         return lines.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")
     counts = lines.groupBy("file_id").agg(F.max("line_no").alias("_last"))
-    return lines.join(counts, "file_id").where(F.col("line_no") > F.col("_last") - n).drop("_last")
+    ends = over_ranges(counts, F.greatest(F.col("_last") - n + 1, F.lit(0).cast("long")), F.col("_last"))
+    return ranged(lines).join(ends, ["file_id", "_range"]).where(F.col("line_no") > F.col("_last") - n).drop("_last", "_range")
 
 
 def read_range(lines: DataFrame, start: int, count: int) -> DataFrame:

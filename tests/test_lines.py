@@ -265,3 +265,19 @@ def test_many_matches_in_a_line(spark):
     got = [r[0] for r in frame.select(match_spans(F.col("text"), Search("[0-9]"), "chars")).collect()]
     assert [tuple(x) for x in got[0]] == [(3 * k + 1, 3 * k + 2) for k in range(n)]
     assert got[1:] == [[], None, [(0, 1)]]
+
+
+@pytest.mark.parametrize("size", [3, 1 << 16])
+def test_one_file_is_many_keys(spark, make_lines, size):
+    """Overview, selections and long tails by ranges of lines, wherever these end."""
+    lines = make_lines("\n".join(f"line {k}" for k in range(50)), "a\nb")
+    info = s.file_info(lines)
+    strip = {(r.file_id, r.bucket): r.n for r in marks.overview(lines, info, 10, size).collect()}
+    assert strip == {(0, b): 5 for b in range(10)} | {(1, 0): 1, (1, 5): 1}
+    wanted = spark.createDataFrame([(0, 2, 5, 7, 4), (1, 0, None, 9, None)], "file_id long, first int, first_col int, last int, last_col int")
+    got = {r.file_id: r.selected for r in pages.selection_text(lines, wanted, range_lines=size).collect()}
+    assert got == {0: "2\nline 3\nline 4\nline 5\nline 6\nline", 1: "a\nb"}
+    plan = marks.overview(lines, info, 10, size)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan.split("Join Inner")[1].split("\n")[0]
+    long = s.tail(lines, 5000)
+    assert long.count() == 52 and "_range" not in long.columns
