@@ -14,6 +14,8 @@ from linewright.functions.dialect import java_pattern, required, trie
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: From this many literals on, one expression is tried in place of a chain of searches.
 MANY = 16
+#: Characters of a needed text that is looked for before the expression is tried.
+CHOOSING = 4
 
 
 def quoted(literal: str) -> str:
@@ -67,9 +69,9 @@ class Search:
 
 def may_match(text: Column, search: Search) -> Column | None:
     """Whether the text holds what every match of one of the expressions needs; None if nothing
-    is needed, or too many things."""
+    is needed, or too many things, or one so short that most texts hold it."""
     needed = [required(p, search.ignore_case) for p in search.patterns]
-    if not all(needed) or sum(map(len, needed)) >= MANY:
+    if not all(needed) or sum(map(len, needed)) >= MANY or min(len(n) for some in needed for n in some) < CHOOSING:
         return None
     folded = F.lower(text) if search.ignore_case else text
     return reduce(lambda a, b: a | b, [F.contains(folded, F.lit(n)) for some in needed for n in some])
