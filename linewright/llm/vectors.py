@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linewright.llm.common import cut, fresh
+from linewright.llm.common import cut, fresh, tidy
 from linewright.llm.components import Forest, named_components
 from linewright.llm.hnsw import Graph
 
-#: Vectors of a shard, and queries that search it in one task. Both bound a task's memory.
+#: Vectors of a shard, and queries that search it at once. Both bound a task's memory.
 SHARD_ROWS, QUERY_ROWS = 100_000, 100_000
 #: Least number of shards, so that a small table keeps several tasks busy.
 LEAST_SHARDS = 8
@@ -60,17 +60,53 @@ def _units(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.einsum("nd,nd->n", rows, rows))[:, None]
 
 
-def _dealt(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, shard_rows: int, query_rows: int):
-    """Each shard of rows beside each block of queries, grouped by (dim, shard, block).
+def _met(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, shard_rows: int, query_rows: int) -> DataFrame:
+    """The rows of each shard, and after them the queries, of which each goes to every shard.
 
-    Vectors of different lengths never meet. Shards and blocks are dealt by a hash of the id."""
+    A row carries its columns and `asked` (0 for a shard's, 1 for a query), dim, shard and lane.
+    A task streams its queries past the shard's rows, so that no row needs to be in several
+    tasks. Only while shards are fewer than the session's shuffle partitions, a shard with
+    more than query_rows queries is there in several lanes, which share the queries. Vectors
+    of different lengths never meet; shards and lanes are dealt by a hash of the row."""
     shards = max(LEAST_SHARDS, -(-n_rows // shard_rows))
     blocks = max(1, -(-n_queries // query_rows))
-    dim = F.octet_length("vec")
-    left = rows.select("*", dim.alias("dim"), F.pmod(F.xxhash64(F.lit(1), "id", "vec"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("*", dim.alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.lit(2), "id", "vec"), F.lit(blocks)).cast("int").alias("block"))
-    keys = ["dim", "shard", "block"]
-    return left.groupBy(keys).cogroup(right.groupBy(keys))
+    lanes = min(blocks, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    place = [F.octet_length("vec").alias("dim")]
+    dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id", "vec"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = rows.select("*", F.lit(0).alias("asked"), *place, dealt(1, shards).alias("shard"), every(lanes).alias("lane"))
+    all_ = queries.select("*", F.lit(1).alias("asked"), *place, every(shards).alias("shard"), dealt(2, lanes).alias("lane"))
+    met = own.unionByName(all_, allowMissingColumns=True)
+    # twice as many partitions as shards and lanes: fewer of them share one
+    return met.repartition(2 * shards * lanes, "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "asked", "id", "vec")
+
+
+def beside(batches: Iterator[pd.DataFrame], make, query_rows: int) -> Iterator[tuple]:
+    """(made, queries): what `make` makes of a shard's rows, once, beside at most query_rows of
+    its queries at a time. The batches are of _met: sorted, a shard's rows before its queries."""
+    key, rows, held, made = None, [], [], None
+    for batch in batches:
+        for (dim, shard, lane, asked), part in batch.groupby(["dim", "shard", "lane", "asked"], sort=True):
+            if key != (dim, shard, lane):
+                if held and made is not None:
+                    yield made, pd.concat(held)
+                key, rows, held, made = (dim, shard, lane), [], [], None
+            if not asked:
+                rows.append(part)
+                continue
+            if rows:
+                made, rows = make(pd.concat(rows)), []
+            if made is None:
+                continue  # queries of a shard without rows
+            held.append(part)
+            size = sum(map(len, held))
+            if size >= query_rows:
+                waiting, full = pd.concat(held), size - size % query_rows
+                for start in range(0, full, query_rows):
+                    yield made, waiting[start : start + query_rows]
+                held = [waiting[full:]] if full < size else []
+    if held and made is not None:
+        yield made, pd.concat(held)
 
 
 def planted(rows: np.ndarray, least: float, most: int = PLANTED, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -186,32 +222,34 @@ def near_duplicates(
     shard = F.pmod(F.xxhash64(F.lit(1), "id", "vec"), F.lit(shards)).cast("int")
     built = cut(nodes.groupBy(F.octet_length("vec").alias("dim"), shard.alias("shard")).applyInPandas(build, "id long, copies long, vec binary, placed binary"))
 
-    def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({c: np.empty(0, np.int64) for c in "abn"})
+    def restore(rows: pd.DataFrame) -> tuple:
         rows = rows.sort_values("id", kind="stable")
-        x, y = (_scaled(_matrix(f["vec"], "<f8")) for f in (rows, queries))
-        row_ids, query_ids, copies = rows["id"].to_numpy(), queries["id"].to_numpy(), rows["copies"].to_numpy()
-        nodes, ends = np.unique(np.concatenate([row_ids, query_ids]), return_inverse=True)
-        row_ends, query_ends = ends[: len(x)], ends[len(x) :]
-        place = np.full(len(nodes), -1)
-        place[row_ends] = np.arange(len(x))
-        counts, tree = np.zeros(len(y), np.int64), Forest(len(nodes))
-        graph = Graph.restored(_units(x).astype(np.float32), list(rows["placed"]))
-        for q, r in linked(graph, x, y, place[query_ends], least, width, audit, target):
-            np.add.at(counts, q, copies[r])
-            tree.join(query_ends[q], row_ends[r])
-        some = np.flatnonzero(counts)
-        low, high = (nodes[e] for e in tree.edges())
-        return pd.DataFrame(
-            {
-                "a": np.concatenate([query_ids[some], low]),
-                "b": np.concatenate([query_ids[some], high]),
-                "n": np.concatenate([counts[some], np.zeros(len(low), np.int64)]),
-            }
-        )
-
-    out = cut(_dealt(built, nodes.select("id", "vec"), n, n, shard_rows, query_rows).applyInPandas(search, "a long, b long, n long"))
+        x = _scaled(_matrix(rows["vec"], "<f8"))
+        return rows["id"].to_numpy(), rows["copies"].to_numpy().astype(np.int64), x, Graph.restored(_units(x).astype(np.float32), list(rows["placed"]))
+
+    @tidy
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (row_ids, copies, x, graph), queries in beside(batches, restore, query_rows):
+            query_ids, y = queries["id"].to_numpy(), _scaled(_matrix(queries["vec"], "<f8"))
+            nodes, ends = np.unique(np.concatenate([row_ids, query_ids]), return_inverse=True)
+            row_ends, query_ends = ends[: len(x)], ends[len(x) :]
+            place = np.full(len(nodes), -1)
+            place[row_ends] = np.arange(len(x))
+            counts, tree = np.zeros(len(y), np.int64), Forest(len(nodes))
+            for q, r in linked(graph, x, y, place[query_ends], least, width, audit, target):
+                np.add.at(counts, q, copies[r])
+                tree.join(query_ends[q], row_ends[r])
+            some = np.flatnonzero(counts)
+            low, high = (nodes[e] for e in tree.edges())
+            yield pd.DataFrame(
+                {
+                    "a": np.concatenate([query_ids[some], low]),
+                    "b": np.concatenate([query_ids[some], high]),
+                    "n": np.concatenate([counts[some], np.zeros(len(low), np.int64)]),
+                }
+            )
+
+    out = cut(_met(built, nodes.select("id", "vec"), n, n, shard_rows, query_rows).mapInPandas(search, "a long, b long, n long"))
     counts = out.where(F.col("n") > 0).groupBy("a").agg(F.sum("n").alias("links"))
     good = named_components(valid.select("doc_id", "name"), classes, counts, out.where(F.col("n") == 0).select("a", "b")).select("doc_id", "n_links", "component_id")
     bad = packed.where(F.col("vec").isNull()).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
@@ -297,17 +335,18 @@ def top_k(
     queries = packed.where(F.pmod("id", F.lit(every)) == 0)
     n, m = packed.count(), queries.count()
 
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(rows) and len(asked):
-            lists = Postings(rows["id"].to_numpy(), _matrix(rows["vec"], "<i8"))
+    @tidy
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        post = lambda rows: Postings(rows["id"].to_numpy(), _matrix(rows["vec"], "<i8"))
+        for lists, asked in beside(batches, post, query_rows):
+            out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
             for own, query in zip(asked["id"].tolist(), _matrix(asked["vec"], "<i8"), strict=True):
                 places, scores = lists.top(query, own, k)
                 out["query_id"].append(np.full(len(places), own))
                 out["vec_id"].append(lists.ids[places])
                 out["score"].append(scores)
-        return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()})
+            yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
 
-    found = _dealt(packed.where(F.col("id").isNotNull()), queries, n, m, shard_rows, query_rows).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = _met(packed.where(F.col("id").isNotNull()), queries, n, m, shard_rows, query_rows).mapInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from linewright.llm import set_join, vectors
 from linewright.llm.components import connected, forest
@@ -114,6 +116,32 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.n_links, r.component_id) for r in vectors.near_duplicates(twice).collect()) == [(0, 1), (2, 1), (2, 1), (2, 1)]
 
 
+def test_a_shard_stays_while_queries_pass(spark):
+    """However many queries there are, a shard's rows are in one place, or in as many lanes as
+    the session's partitions leave idle; every query meets every shard once."""
+    frame = spark.createDataFrame([(k, bytes([k % 7, 1])) for k in range(600)], "id long, vec binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions, lanes in (("8", 1), ("64", 3)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        met = vectors._met(frame.withColumn("copies", F.lit(2)), frame, 600, 600, 25, 50).toPandas()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        rows, asked = met[met.asked == 0], met[met.asked == 1]
+        assert len(rows) == 600 * lanes and len(asked) == 600 * 24
+        assert not rows.duplicated(["id", "lane"]).any() and not asked.duplicated(["id", "shard"]).any()
+
+
+@pytest.mark.parametrize("cut_at", [1, 7, 1000])
+def test_queries_come_beside_their_shard(cut_at):
+    """However the batches are cut: a shard is made once, and queries come in bounded parts."""
+    want = {(4, 0, 0): (3, 10), (4, 1, 0): (0, 5), (4, 2, 0): (2, 0), (8, 0, 0): (1, 4), (8, 0, 1): (1, 1)}
+    rows = [(*key, asked, 100 * n + j) for n, (key, sizes) in enumerate(want.items()) for asked in (0, 1) for j in range(sizes[asked])]
+    frame = pd.DataFrame(rows, columns=["dim", "shard", "lane", "asked", "id"])
+    made: list = []
+    parts = [(shard, list(q["id"])) for shard, q in vectors.beside((frame[k : k + cut_at] for k in range(0, len(frame), cut_at)), lambda f: made.append(list(f["id"])) or list(f["id"]), 4)]
+    assert made == [[0, 1, 2], [300], [400]]
+    assert parts == [([0, 1, 2], [0, 1, 2, 3]), ([0, 1, 2], [4, 5, 6, 7]), ([0, 1, 2], [8, 9]), ([300], [300, 301, 302, 303]), ([400], [400])]
+
+
 def found_by(graph, x, y, own, width=16):
     parts = list(vectors.linked(graph, x, y, own, 0.9, width, 96, 0.99))
     return {(int(a), int(b)) for q, r in parts for a, b in zip(q, r, strict=True)}, parts
