@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -124,6 +126,91 @@ def test_quality(make_docs, make_labels):
     assert quality.classify(make_docs(*rows).limit(0), make_labels(*labels)).count() == 0
 
 
+def slow_features(text):
+    """The features of a text of plain ASCII, letter by letter."""
+    letter = lambda c: "a" <= c.lower() <= "z"
+    kept = lambda c: letter(c) or c.isdigit()
+    words = text.split()
+    out = [0.0] * (len(quality.NAMES) + quality.SIGN_BUCKETS)
+    if not words:
+        out[len(quality.NAMES) - 1] = 1.0
+        return out
+    n, chars = len(words), sum(len(w) for w in words)
+    signs, run = [], ""
+    for c in text + " ":
+        if kept(c) or c.isspace():
+            signs += [run] if run else []
+            run = ""
+        else:
+            run += c
+    letters = sum(map(letter, text))
+    kinds = 0
+    for start in range(0, n, quality.WINDOW):
+        kinds += len(set(words[start : start + quality.WINDOW]))
+    lines = [line for line in text.split("\n") if line.strip()]
+    out[: len(quality.NAMES)] = [
+        math.log1p(n) / 10,
+        letters / chars,
+        (sum(c.isupper() for c in text) / max(letters, 1)) ** 0.5,
+        (sum(c.isdigit() for c in text) / chars) ** 0.5,
+        (sum(len(s) for s in signs) / chars) ** 0.5,
+        (sum(not any(map(kept, w)) for w in words) / n) ** 0.5,
+        min(1.0, len(signs) / n) ** 0.5,
+        sum(len(w) == 1 for w in words) / n,
+        sum(1 < len(w) < 5 for w in words) / n,
+        sum(len(w) > 12 for w in words) / n,
+        min(chars / n, 30) / 30,
+        (sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1)) ** 0.5 if n > 1 else 0.0,
+        kinds / n,
+        max(0.0, 1 - kinds / n) ** 0.5,
+        (1 - len(set(lines)) / max(len(lines), 1)) ** 0.5,
+        math.log1p(n / max(len(lines), 1)) / 10,
+        min(1.0, sum(s[-1] in ".!?" for s in signs) / n),
+        0,
+    ]
+    for sign in signs:
+        out[len(quality.NAMES) + zlib.crc32(sign[:2].encode()) % quality.SIGN_BUCKETS] += 1 / n
+    for k in range(len(quality.NAMES), len(out)):
+        out[k] = min(out[k], 1.0) ** 0.5
+    return out
+
+
+def test_quality_equals_brute_force(make_docs, make_labels):
+    """The query's scores, from features counted letter by letter, gradient descent on the
+    same pairs, and a threshold that is looked for among all midpoints."""
+    rows, labels = good_bad(make_docs, make_labels)
+    odd = [(900, None), (901, ""), (902, "One, two.\nOne, two.\n\n3 4"), (903, "x " * 500), (904, "...")]
+    got = {r.doc_id: r for r in quality.classify(make_docs(*rows, *odd), make_labels(*labels)).collect()}
+    texts, wanted = dict(rows + odd), {k: y for k, y, _ in labels}
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    known = sorted((k for k in wanted if not held(k)))
+    x, y = np.array([slow_features(texts[k]) for k in known]), np.array([wanted[k] for k in known])
+    middle, spread = x.mean(0), x.std(0) + 1e-6
+    z = (x - middle) / spread
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.default_rng(1)
+    wins = [(a, None) for a in good for _ in range(quality.OPPONENTS)], [(None, b) for b in bad for _ in range(quality.OPPONENTS)]
+    others = draw.choice(good, len(wins[1])), draw.choice(bad, len(wins[0]))
+    pairs = [(a, b) for (a, _), b in zip(wins[0], others[1], strict=True)] + [(a, b) for (_, b), a in zip(wins[1], others[0], strict=True)]
+    gap = np.array([z[a] - z[b] for a, b in pairs])
+    rate = 1 / (0.25 * np.linalg.norm(gap, 2) ** 2 / len(gap) + 1e-3)
+    w = v = np.zeros(z.shape[1])
+    for step in range(20_000):
+        slope = -(gap / (1 + np.exp(gap @ v))[:, None]).mean(0) + 1e-3 * v
+        w, last = v - rate * slope, w
+        v = w + 0.97 * (w - last)
+        if np.abs(slope).max() < 1e-11:
+            break
+    worth = np.sort(z @ w)
+    threshold = next((a + b) / 2 for k, (a, b) in enumerate(zip(worth, worth[1:], strict=False)) if k + 1 >= len(bad) - 1e-9)
+    assert set(got) == set(texts)
+    for k, text in texts.items():
+        edge = ((np.array(slow_features(text or "")) - middle) / spread) @ w - threshold
+        score = 0.7 / (0.7 + 0.3 * math.exp(-min(max(edge, -39), 39)))
+        assert got[k].held_out == held(k) and got[k].score == pytest.approx(score, abs=1e-6), k
+        assert got[k].predicted == (got[k].score >= 0.7)
+
+
 def test_quality_uses_the_text_only(make_docs, make_labels):
     rows, labels = good_bad(make_docs, make_labels)
     score = lambda docs: {r.score for r in quality.classify(docs, make_labels(*labels)).where("doc_id >= 5000").collect()}
