@@ -77,8 +77,8 @@ def _met(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, shard
     own = rows.select("*", F.lit(0).alias("asked"), *place, dealt(1, shards).alias("shard"), every(lanes).alias("lane"))
     all_ = queries.select("*", F.lit(1).alias("asked"), *place, every(shards).alias("shard"), dealt(2, lanes).alias("lane"))
     met = own.unionByName(all_, allowMissingColumns=True)
-    # twice as many partitions as shards and lanes: fewer of them share one
-    return met.repartition(2 * shards * lanes, "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "asked", "id", "vec")
+    # a partition for each, which a hash of them would not give
+    return met.repartitionById(shards * lanes, F.col("shard") * lanes + F.col("lane")).sortWithinPartitions("dim", "shard", "lane", "asked", "id", "vec")
 
 
 def beside(batches: Iterator[pd.DataFrame], make, query_rows: int) -> Iterator[tuple]:
