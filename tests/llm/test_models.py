@@ -211,6 +211,39 @@ def test_quality_equals_brute_force(make_docs, make_labels):
         assert got[k].predicted == (got[k].score >= 0.7)
 
 
+def test_quality_learns_from_every_label(make_docs, make_labels, monkeypatch):
+    """Thousands of labels of each class in many tasks: as learned from all of them in one array."""
+    monkeypatch.setattr(quality, "DRAW_BLOCK", 1000)
+    monkeypatch.setattr(quality, "TASK_ROWS", 800)
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(rng.choice(["a", "the", "Word", "longer", "7", "##", "yes."], rng.integers(2, 9)))) for k in range(7000)]
+    labels = [(k, int(("##" in text) == (rng.random() < 0.2)), 0) for k, text in rows]
+    got = {r.doc_id: r.score for r in quality.classify(make_docs(*rows), make_labels(*labels), held_out=F.col("doc_id") >= 6800).collect()}
+    x, y = np.array([quality.features(text) for _, text in rows]), np.array([label for _, label, _ in labels[:6800]])
+    z = (x - x[:6800].mean(0)) / (x[:6800].std(0) + 1e-6)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    assert min(len(good), len(bad)) > 3000
+    a, b = [], []
+    for block in range(0, max(len(good), len(bad)), 1000):
+        draw = np.random.default_rng([1, block // 1000])
+        mine, theirs = (np.repeat(c[block : block + 1000], quality.OPPONENTS) for c in (good, bad))
+        a += [mine, draw.choice(good, len(theirs))]
+        b += [draw.choice(bad, len(mine)), theirs]
+    worth = z @ quality.bradley_terry(z[np.concatenate(a)], z[np.concatenate(b)])
+    want = 0.7 / (0.7 + 0.3 * np.exp(-worth + quality.weighted_quantile(worth[:6800], np.ones(6800), len(bad) / 6800)))
+    assert np.allclose([got[k] for k in range(7000)], want, rtol=0, atol=1e-9)
+
+
+def test_values_at_a_place_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), 1e9 * rng.random(3), [0.1, np.nextafter(0.1, 1)]])
+    frame, order = spark.createDataFrame([(float(v),) for v in values], "value double").cache(), np.sort(values)
+    at = int(np.searchsorted(order, 0.25))
+    for place in (0, 1700, at - 1, at, at + 250, at + 499, int(np.searchsorted(order, 0.1)), len(values) - 2):
+        assert quality.values_at(frame, place) == (order[place], order[place + 1])
+    assert quality.values_at(frame, len(values) - 1) == (order[-1], order[-1])
+
+
 def test_quality_uses_the_text_only(make_docs, make_labels):
     rows, labels = good_bad(make_docs, make_labels)
     score = lambda docs: {r.score for r in quality.classify(docs, make_labels(*labels)).where("doc_id >= 5000").collect()}
