@@ -243,7 +243,8 @@ def _pairs(placed: DataFrame, counts: dict[int, int], seed: int) -> DataFrame:
         if counts[label] <= BROADCAST_ROWS:
             pairs = pairs.join(F.broadcast(side), name)
         else:
-            pairs = pairs.repartition(tasks, name).join(side.repartition(tasks, name), name)
+            # without the hint Spark takes the drawn pairs for as small as the numbers of their blocks
+            pairs = pairs.repartition(tasks, name).join(side.repartition(tasks, name).hint("merge"), name)
     if max(counts.values()) <= BROADCAST_ROWS:
         pairs = pairs.repartition(tasks, "n")
     return pairs.sortWithinPartitions("n").select(F.col("good_x").alias("good"), F.col("bad_x").alias("bad"))
