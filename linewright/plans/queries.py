@@ -541,6 +541,12 @@ def rules_on_lines(spark, sf):
     return rules.rules_on_lines(lines(spark, sf), table)
 
 
+def _upper(text: Column) -> Column:
+    """Upper case a character for a character, as the SQL has it: what would become several, such
+    as ß, stays."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -550,7 +556,7 @@ FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 )
 def rules_of_all_kinds(spark, sf):
     """Literals and regular expressions that ignore case, from one table of rules."""
-    word = F.upper(F.get(F.split("text", " "), 1))
+    word = _upper(F.get(F.split("text", " "), 1))
     plain = (F.col("item_id") % 2 == 0) | word.rlike("[^A-Z]")
     table = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("priority"), F.when(plain, word).otherwise(F.concat(F.lit("[[:digit:]]+ "), word)).alias("pattern"), F.col("item_id").alias("color"), F.lit(None).cast("bigint").alias("anchor_line"), (~plain).alias("regex"))
     return rules.rules_on_lines(lines(spark, sf), table)
