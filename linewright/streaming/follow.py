@@ -6,8 +6,8 @@ planned from offsets alone and read by the executors. A part of a line after the
 until its LF comes, or is flushed on request.
 
 What a stream has to remember of its files (how many lines came before, how far matches went)
-is a row for each file, written batch by batch: see `FileState`. Lines themselves are never
-grouped by file.
+is a number for each file, as its offset is, written batch by batch: see `FileState`. Lines
+themselves are never grouped by file.
 """
 
 from __future__ import annotations
@@ -20,9 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.window import Window
 
-from linewright.checkpoints import cut
 from linewright.functions.encodings import HEAD_BYTES, detect, line_feed_width
 from linewright.functions.predicates import Search, in_range, matches
 from linewright.sources.ranges import RANGE_BYTES, last_line_end, next_line_end, range_lines
@@ -31,17 +29,27 @@ from linewright.sources.stores import listed, open_file, read_text, write_bytes
 SCHEMA = "file_id string, generation int, range_start long, range_line long, byte_start long, text string, byte_len long, has_lf boolean"
 #: What a batch's ranges, or a state's files, may be to be broadcast.
 BROADCAST_ROWS = 200_000
+#: Short ranges are read by one task up to so many bytes.
+TASK_BYTES = 2 << 20
 
 
 class FileRewritten(RuntimeError):
     """A followed file became shorter, or its beginning changed."""
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, path: str, start: int, end: int, first: bool, to: dict):
         self.path, self.start, self.end, self.first, self.to = path, start, end, first, to
 
 
+class Ranges(InputPartition):
+    """What one task reads: a long range, or short ones of many files, so that a limited batch
+    takes no task for each file that grew."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options):
         self.pattern = options["path"]
@@ -126,15 +134,24 @@ class GrowingReader(DataSourceStreamReader):
                     raise FileRewritten(path)
             for at in range(begin, to["end"], self.range_bytes):
                 ranges.append(Range(path, at, min(at + self.range_bytes, to["end"]), at == begin, to))
-        return ranges
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        """The lines that begin in the range; one that runs on is read to its end."""
-        to = part.to
-        for rows in range_lines(part.path, part.start, part.end, to["end"], part.first, to["encoding"], to["bom"]):
-            n = len(rows)
-            named = [pa.array([part.path] * n, pa.string()), pa.array([to["generation"]] * n, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*named, *rows.columns], ["file_id", "generation", *rows.schema.names])
+        parts, room = [], 0
+        for own in ranges:
+            size = own.end - own.start
+            if size > room:
+                parts.append([])
+                room = min(TASK_BYTES, self.range_bytes)
+            parts[-1].append(own)
+            room -= size
+        return [Ranges(own) for own in parts]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        """The lines that begin in the ranges; one that runs on is read to its end."""
+        for own in part.ranges:
+            to = own.to
+            for rows in range_lines(own.path, own.start, own.end, to["end"], own.first, to["encoding"], to["bom"]):
+                n = len(rows)
+                named = [pa.array([own.path] * n, pa.string()), pa.array([to["generation"]] * n, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*named, *rows.columns], ["file_id", "generation", *rows.schema.names])
 
     def commit(self, end: dict) -> None:
         pass
@@ -181,34 +198,44 @@ def follow_new_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 class FileState:
-    """A table of a row for each file, rewritten by each batch of a stream in a shared folder.
+    """A number for each file, written by each batch of a stream to a shared folder.
 
     Two places take turns, so that a batch that is run again finds what the batch before it
-    left. A row without a file tells which batch wrote a place.
+    left; each tells which batch wrote it. The driver holds the numbers as it holds the files'
+    offsets: no job reads or writes them.
     """
 
     def __init__(self, folder: str, value: str):
         self.folder, self.value = folder, value
-        self.schema = f"file_id string, generation int, {value} long"
+        self.schema = pa.schema([("file_id", pa.string()), ("generation", pa.int32()), (value, pa.int64())])
+        self.held: tuple[int, dict] = (-1, {})
 
-    def before(self, spark: SparkSession, batch: int) -> DataFrame:
-        """What the batch before left: (file_id, generation, the value)."""
+    def values(self, batch: int) -> dict[str, tuple[int, int]]:
+        """What the batch before left: (generation, the number) of each file."""
         if batch == 0:
-            return spark.createDataFrame([], self.schema)
-        rows = spark.read.schema(self.schema).parquet(f"{self.folder}/{(batch - 1) % 2}")
-        if rows.where(F.col("file_id").isNull()).first()[2] != batch - 1:
-            raise ValueError(f"{self.folder} doesn't hold the state after batch {batch - 1}")
-        return rows.where(F.col("file_id").isNotNull())
+            return {}
+        if self.held[0] != batch - 1:
+            left = json.loads(read_text(f"{self.folder}/{(batch - 1) % 2}.json") or "{}")
+            if left.get("batch") != batch - 1:
+                raise ValueError(f"{self.folder} doesn't hold the state after batch {batch - 1}")
+            self.held = batch - 1, {path: tuple(value) for path, value in left["files"].items()}
+        return self.held[1]
 
-    def keep(self, rows: DataFrame, batch: int) -> None:
-        """Leave the values for the next batch; of a file's generations only the last."""
-        last = rows.groupBy("file_id").agg(F.max(F.struct("generation", self.value)).alias("last")).select("file_id", "last.*")
-        marker = rows.sparkSession.createDataFrame([(None, -1, batch)], self.schema)
-        last.unionByName(marker).write.mode("overwrite").parquet(f"{self.folder}/{batch % 2}")
+    def before(self, spark: SparkSession, batch: int) -> DataFrame:
+        """What the batch before left: (file_id, generation, the number)."""
+        return _local(spark, [(path, *value) for path, value in self.values(batch).items()], self.schema)
+
+    def keep(self, values: dict[str, tuple[int, int]], batch: int) -> None:
+        """Leave the numbers for the next batch."""
+        write_bytes(f"{self.folder}/{batch % 2}.json", json.dumps({"batch": batch, "files": values}).encode())
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows of the driver as a relation that takes no job; broadcast if they are few."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    df = spark.createDataFrame(table)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
 class Numbering:
@@ -218,43 +245,50 @@ class Numbering:
     Each range counts its lines; a running sum over a file's ranges, on top of what the file
     had before, gives the number at which each begins, and a line's place in its range gives the
     rest. So the lines of one file are numbered by as many tasks as there are ranges, and none
-    is shuffled. A generation is numbered from 0; a line that begins inside one already given
-    (flush) has its number.
+    is shuffled; the counts, one for each range that the driver planned, go to the driver. A
+    generation is numbered from 0; a line that begins inside one already given (flush) has its
+    number.
     """
 
+    BASE = pa.schema([("file_id", pa.string()), ("generation", pa.int32()), ("range_start", pa.int64()), ("_base", pa.int64())])
+
     def __init__(self, folder: str):
         self.state = FileState(folder, "lines")
 
     def __call__(self, batch: DataFrame, number: int) -> DataFrame:
-        file = ["file_id", "generation"]
-        before = self.state.before(batch.sparkSession, number)
-        counts = cut(batch.groupBy(*file, "range_start").agg(F.count_if("has_lf").alias("n")))
-        upto = Window.partitionBy(*file).orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
-        sums = counts.join(before, file, "left")
-        base = sums.select(*file, "range_start", (F.coalesce("lines", F.lit(0)) + F.coalesce(F.sum("n").over(upto), F.lit(0))).alias("_base"))
-        more = counts.select(*file, F.col("n").alias("lines")).unionByName(before)
-        self.state.keep(more.groupBy(*file).agg(F.sum("lines").alias("lines")), number)
-        rows = batch.join(_small(cut(base)), [*file, "range_start"])
+        key = ["file_id", "generation", "range_start"]
+        counts = batch.groupBy(*key).agg(F.count_if("has_lf").alias("n")).collect()
+        lines, base = dict(self.state.values(number)), []
+        for path, generation, start, n in sorted(counts):
+            last, upto = lines.get(path, (generation, 0))
+            upto = upto if last == generation else 0
+            base.append((path, generation, start, upto))
+            lines[path] = generation, upto + n
+        self.state.keep(lines, number)
+        rows = batch.join(_local(batch.sparkSession, base, self.BASE), key)
         return rows.select("file_id", "generation", (F.col("_base") + F.col("range_line")).alias("line_no"), "text", "byte_start", "byte_len", "has_lf")
 
 
 class OnceEach:
     """Rows of followed lines without those that a repeated read brings again, for foreachBatch:
     what begins before the end of the last row that came of a file and generation is dropped.
-    Remembered is a number for each file, however many rows came."""
+    Remembered is a number for each file, however many rows came. The rows are shuffled once,
+    when they are used; the ends are found from their places alone."""
 
     def __init__(self, folder: str):
         self.state = FileState(folder, "upto")
 
     def __call__(self, batch: DataFrame, number: int) -> DataFrame:
         file = ["file_id", "generation"]
-        before = cut(self.state.before(batch.sparkSession, number))
-        last = _small(before.select("file_id", F.col("generation").alias("_last"), F.col("upto").alias("_upto")))
+        ends = dict(self.state.values(number))
+        last = self.state.before(batch.sparkSession, number).select("file_id", F.col("generation").alias("_last"), F.col("upto").alias("_upto"))
         new = F.col("_last").isNull() | (F.col("generation") > F.col("_last")) | ((F.col("generation") == F.col("_last")) & (F.col("byte_start") >= F.col("_upto")))
-        fresh = cut(batch.join(last, "file_id", "left").where(new).drop("_last", "_upto").dropDuplicates([*file, "byte_start"]))
-        ends = fresh.groupBy(*file).agg(F.max(F.col("byte_start") + F.col("byte_len") + F.col("has_lf").cast("int")).alias("upto"))
-        self.state.keep(ends.unionByName(before), number)
-        return fresh
+        fresh = batch.join(last, "file_id", "left").where(new).drop("_last", "_upto")
+        found = fresh.groupBy(*file).agg(F.max(F.col("byte_start") + F.col("byte_len") + F.col("has_lf").cast("int")))
+        for path, generation, upto in found.collect():
+            ends[path] = max(ends.get(path, (-1, 0)), (generation, upto))
+        self.state.keep(ends, number)
+        return fresh.dropDuplicates([*file, "byte_start"])
 
 
 def follow_search(lines: DataFrame, search: Search, resume: int | None = None) -> DataFrame:
