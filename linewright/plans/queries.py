@@ -821,15 +821,47 @@ def follow_running_counts(spark, sf):
 
 # growing files: written whole by the executors, then copied in steps to a folder that is followed
 
-
-def _whole(spark: SparkSession, sf: str, encoding: str = "UTF-8", first: bytes = b"", mark: str = "") -> str:
-    """documents' texts, a file for each task; `mark` comes before each line."""
-    folder = _folder(spark)
+#: Shares of the documents, each of so many bytes of their table at least, whose files are on disk at a time.
+SHARES, SHARE_BYTES = 8, 32 << 20
+#: Whether shuffled files go when what they were made for has ended, not when the driver happens to collect garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _in_shares(spark: SparkSession, sf: str, work: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of work(texts, folder) for each share of the documents, one share after another:
+    together they are all documents. Rows are kept as Parquet; the files that a share was written
+    to and followed in are removed before the next, so that they need no more disk than its own."""
+    every = docs(spark, sf).where("text IS NOT NULL")
+    size = int(str(docs(spark, sf)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n, parts = max(1, min(SHARES, size // SHARE_BYTES)), every.rdd.getNumPartitions()
+    kept, cleaned = _folder(spark), spark.conf.get(CLEANED)
+    spark.conf.set(CLEANED, "true")
+    try:
+        for k in range(n):
+            texts = every if n == 1 else every.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k)
+            if k and texts.isEmpty():
+                continue
+            folder = _folder(spark)
+            tasks = max(-(-parts // n), min(parts, spark.sparkContext.defaultParallelism))
+            work(texts.select("text").coalesce(tasks), folder).write.mode("append").option("compression", "zstd").parquet(kept)
+            _removed(folder)
+    finally:
+        spark.conf.set(CLEANED, cleaned)
+    return spark.read.parquet(kept)
+
+
+def _removed(folder: str) -> None:
+    store, place, _ = store_of(folder)
+    store.delete_dir(place)
+
+
+def _whole(texts: DataFrame, folder: str, encoding: str = "UTF-8", first: bytes = b"", mark: str = "") -> str:
+    """Documents' texts, a file for each task; `mark` comes before each line."""
 
     def form(text):
         return "task", first, "".join(f"{mark}{line}\n" for line in text.split("\n")).encode(encoding)
 
-    _stored(docs(spark, sf).where("text IS NOT NULL").select("text"), folder, form)
+    _stored(texts, folder, form)
     return folder
 
 
@@ -879,7 +911,7 @@ def _agreeing(spark: SparkSession, folder: str, encoding: str) -> DataFrame:
     name = F.element_at(F.split("file_id", "/"), -1).alias("file")
     whole = files.read_lines(spark, folder, encoding=encoding, geometry=True).select(name, "line_no", "text", "byte_start")
     followed = spark.read.parquet(f"{folder}-out").where("generation = 0").select(name, "line_no", "text", "byte_start")
-    return followed.join(whole, ["file", "line_no", "text", "byte_start"]).groupBy("text").agg(F.count("*").alias("n"))
+    return followed.join(whole, ["file", "line_no", "text", "byte_start"]).select("text")
 
 
 SPLIT = "w AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL)"
@@ -888,32 +920,48 @@ SPLIT = "w AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents
 @query(" SELECT text, count(*) AS n FROM w GROUP BY text", prefix=SPLIT)
 def follow_growing_files(spark, sf):
     """Files cut within a line, followed in limited batches, completed, followed again."""
-    folder, whole = _folder(spark), _whole(spark, sf)
-    for part in (0.37, 0.8, 1.0):
-        _grown(spark, whole, folder, part)
-        _followed(spark, folder, max_bytes=1 << 22)
-    return _agreeing(spark, folder, "UTF-8")
+
+    def work(texts, folder):
+        whole, place = _whole(texts, f"{folder}/whole"), f"{folder}/in"
+        for part in (0.37, 0.8, 1.0):
+            _grown(spark, whole, place, part)
+            _followed(spark, place, max_bytes=1 << 22)
+        _removed(whole)
+        return _agreeing(spark, place, "UTF-8")
+
+    return _in_shares(spark, sf, work).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query(" SELECT text, count(*) AS n FROM (SELECT text FROM w UNION ALL SELECT 'first line') GROUP BY text HAVING text <> 'first line'", prefix=SPLIT)
 def follow_wide_files(spark, sf):
     """UTF-16LE files with a mark, whose growths end within lines and characters."""
-    folder, whole = _folder(spark), _whole(spark, sf, "utf-16-le", "\ufefffirst line\n".encode("utf-16-le"))
-    for part in (0.31, 0.7777, 1.0):
-        _grown(spark, whole, folder, part)
-        _followed(spark, folder)
-    return _agreeing(spark, folder, "UTF-16LE").where("text <> 'first line'")
+
+    def work(texts, folder):
+        whole, place = _whole(texts, f"{folder}/whole", "utf-16-le", "\ufefffirst line\n".encode("utf-16-le")), f"{folder}/in"
+        for part in (0.31, 0.7777, 1.0):
+            _grown(spark, whole, place, part)
+            _followed(spark, place)
+        _removed(whole)
+        return _agreeing(spark, place, "UTF-16LE").where("text <> 'first line'")
+
+    return _in_shares(spark, sf, work).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query(" SELECT generation, text, count(*) AS n FROM (SELECT 0 AS generation, text FROM w UNION ALL SELECT 1, 'again ' || text FROM w) GROUP BY ALL", prefix=SPLIT)
 def follow_rewritten_files(spark, sf):
     """Files that are followed, then replaced: the new ones' lines come from their beginnings as
     another generation, numbered from 0, and each once though some are read again."""
-    folder = _folder(spark)
-    for mark in ("", "again "):
-        _grown(spark, _whole(spark, sf, mark=mark), folder, 1.0)
-        _followed(spark, folder, twice=True)
-    rows = spark.read.parquet(f"{folder}-out")
-    # numbers without a gap, from 0, in each of a file's two lives
-    gapless = rows.groupBy("file_id", "generation").agg((F.max("line_no") + 1 == F.count_distinct("line_no")).alias("gapless"))
-    return rows.join(gapless.where("gapless"), ["file_id", "generation"]).groupBy("generation", "text").agg(F.count("*").alias("n"))
+
+    def work(texts, folder):
+        place = f"{folder}/in"
+        for k, mark in enumerate(("", "again ")):
+            whole = _whole(texts, f"{folder}/whole {k}", mark=mark)
+            _grown(spark, whole, place, 1.0)
+            _removed(whole)
+            _followed(spark, place, twice=True)
+        rows = spark.read.parquet(f"{place}-out")
+        # numbers without a gap, from 0, in each of a file's two lives
+        gapless = rows.groupBy("file_id", "generation").agg((F.max("line_no") + 1 == F.count_distinct("line_no")).alias("gapless"))
+        return rows.join(gapless.where("gapless"), ["file_id", "generation"]).select("generation", "text")
+
+    return _in_shares(spark, sf, work).groupBy("generation", "text").agg(F.count("*").alias("n"))
