@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.java_gateway import ensure_callback_server_started
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -821,33 +823,40 @@ def follow_running_counts(spark, sf):
 
 # growing files: written whole by the executors, then copied in steps to a folder that is followed
 
-#: Shares of the documents, each of so many bytes of their table at least, whose files are on disk at a time.
-SHARES, SHARE_BYTES = 8, 32 << 20
+#: Shares of the documents, each of so many bytes of their table at least, and how many shares' files are on disk at a time.
+SHARES, SHARE_BYTES, AT_ONCE = 12, 32 << 20, 3
 #: Whether shuffled files go when what they were made for has ended, not when the driver happens to collect garbage.
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _in_shares(spark: SparkSession, sf: str, work: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The rows of work(texts, folder) for each share of the documents, one share after another:
-    together they are all documents. Rows are kept as Parquet; the files that a share was written
-    to and followed in are removed before the next, so that they need no more disk than its own."""
+    """The rows of work(texts, folder) for each share of the documents: together they are all
+    documents. Of many shares some run side by side, as a stream's batches wait more than they
+    work; of few, one after another. Rows are kept as Parquet; the files that a share was written
+    to and followed in are removed when it ends."""
     every = docs(spark, sf).where("text IS NOT NULL")
     size = int(str(docs(spark, sf)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n, parts = max(1, min(SHARES, size // SHARE_BYTES)), every.rdd.getNumPartitions()
+    tasks = max(-(-parts // n), min(parts, spark.sparkContext.defaultParallelism))
     kept, cleaned = _folder(spark), spark.conf.get(CLEANED)
+
+    def share(k: int) -> str | None:
+        texts = every if n == 1 else every.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k)
+        if n > 1 and texts.isEmpty():
+            return None
+        folder = _folder(spark)
+        work(texts.select("text").coalesce(tasks), folder).write.option("compression", "zstd").parquet(f"{kept}/{k}")
+        _removed(folder)
+        return f"{kept}/{k}"
+
+    ensure_callback_server_started(spark.sparkContext._gateway)
     spark.conf.set(CLEANED, "true")
     try:
-        for k in range(n):
-            texts = every if n == 1 else every.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k)
-            if k and texts.isEmpty():
-                continue
-            folder = _folder(spark)
-            tasks = max(-(-parts // n), min(parts, spark.sparkContext.defaultParallelism))
-            work(texts.select("text").coalesce(tasks), folder).write.mode("append").option("compression", "zstd").parquet(kept)
-            _removed(folder)
+        with ThreadPoolExecutor(max(1, n * AT_ONCE // SHARES)) as pool:
+            done = [path for path in pool.map(share, range(n)) if path]
     finally:
         spark.conf.set(CLEANED, cleaned)
-    return spark.read.parquet(kept)
+    return spark.read.parquet(*done)
 
 
 def _removed(folder: str) -> None:

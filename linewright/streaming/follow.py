@@ -13,6 +13,7 @@ themselves are never grouped by file.
 from __future__ import annotations
 
 import json
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ SCHEMA = "file_id string, generation int, range_start long, range_line long, byt
 BROADCAST_ROWS = 200_000
 #: Short ranges are read by one task up to so many bytes.
 TASK_BYTES = 2 << 20
+REGISTERING = threading.Lock()
 
 
 class FileRewritten(RuntimeError):
@@ -184,12 +186,14 @@ def follow_lines(spark: SparkSession, path: str, flush: bool = False, on_truncat
     is detected at its first line unless one is given; LFs are looked for at whole characters.
     range_line numbers a range's lines from 0: see `Numbering`.
     """
-    spark.dataSource.register(GrowingFiles)
     given = {"flush": str(flush).lower(), "on_truncate": on_truncate, "max_bytes": max_bytes, "state": state, "encoding": encoding} | options
-    reader = spark.readStream.format("growing_files")
-    for name, value in given.items():
-        reader = reader.option(name, str(value)) if value is not None else reader
-    return reader.load(path)
+    # streams may be made side by side, and a name is registered by one at a time
+    with REGISTERING:
+        spark.dataSource.register(GrowingFiles)
+        reader = spark.readStream.format("growing_files")
+        for name, value in given.items():
+            reader = reader.option(name, str(value)) if value is not None else reader
+        return reader.load(path)
 
 
 def follow_new_files(spark: SparkSession, path: str) -> DataFrame:
