@@ -138,6 +138,27 @@ def required(pattern: str, ignore_case: bool = False) -> tuple[str, ...] | None:
     return found if end == len(pattern) else None
 
 
+#: ASCII digits, one at least.
+NUMBER = re.compile(r"(?:\[0-9\]|\[\[:digit:\]\])(?:\+|\{[1-9][0-9]*(?:,[0-9]*)?\})?")
+
+
+def after_number(pattern: str, ignore_case: bool = False) -> str | None:
+    """A text that in every match of the pattern stands right behind an ASCII digit; None if
+    nothing can be told. With ignore_case it is as those of required()."""
+    found = NUMBER.match(pattern)
+    if not found or "|" in pattern or re.search(r"\(\?(?![:P<])", pattern):
+        return None
+    rest, run = pattern[found.end() :], ""
+    for c in rest:
+        if c in "\\.^$?*+()[]{}" or ignore_case and (not c.isascii() or c in FOLDED_TO):
+            break
+        run += c.lower() if ignore_case else c
+    # what a quantifier follows may be left out
+    if len(run) < len(rest) and rest[len(run)] in "?*+{":
+        run = run[:-1]
+    return run or None
+
+
 def _better(a: tuple[str, ...] | None, b: tuple[str, ...] | None) -> tuple[str, ...] | None:
     weight = lambda texts: (min(map(len, texts)), -len(texts)) if texts else (0, 0)
     return a if weight(a) >= weight(b) else b

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from linewright.checkpoints import cut
-from linewright.functions.dialect import required
+from linewright.functions.dialect import after_number, required
 from linewright.functions.display import expand_tabs, raw_range
 from linewright.functions.predicates import LOWER, UPPER, Search, fold_ascii, matches, quoted
 from linewright.functions.spans import match_spans
@@ -17,6 +22,8 @@ from linewright.functions.spans import match_spans
 COLOURED = "array<struct<start:int,end:int,color:bigint,priority:int>>"
 #: Lines after the first for which a selection makes rules.
 MOST_RULES = 200
+#: Characters beyond ASCII that fold to ASCII letters when case is ignored as Java does.
+ASCII_TOO = frozenset("\u0130\u0131\u017f\u212a")
 #: Patterns of a table that are tested on every line, rather than joined to lines.
 MOST_COLUMNS = 200
 #: Rules' beginnings that are broadcast to where the lines are.
@@ -64,7 +71,8 @@ def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, line_no, priority, color) of a table of rules on the lines they apply to.
 
     rules: (priority, pattern, color, anchor_line) and, if there, ignore_case (else true) and
-    regex (else false). Anchored rules meet their line by an equi-join; each other literal's
+    regex (else false). Anchored rules meet their line by an equi-join; others, if they are few,
+    are searched for in batches of lines, all in one pass. Of many each literal's
     first inner word leads to the lines that hold it, and only those are tested. So does, for
     regular expressions and for literals beyond ASCII that ignore case, a text that each match
     holds; those without one are tested on every line, some at a time. Rules of a blank pattern apply to no line.
@@ -74,6 +82,9 @@ def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     anchored = rules.where(F.col("anchor_line").isNotNull()).select("priority", "color", F.col("anchor_line").alias("line_no"))
     out = lines.join(anchored, "line_no").select("file_id", "line_no", "priority", "color")
     free = rules.where(F.col("anchor_line").isNull() & (F.trim("pattern") != ""))
+    few = free.limit(MOST_COLUMNS + 1).collect()
+    if len(few) <= MOST_COLUMNS:
+        return out.unionByName(_met(lines, [r for r in few if r.pattern.strip()], rules.schema["priority"].dataType).select(*out.columns)).distinct()
     fold = lambda c, on: F.when(on, fold_ascii(c)).otherwise(c)
     hit = F.contains(fold(F.col("text"), F.col("ignore_case")), fold(F.col("pattern"), F.col("ignore_case")))
     each = F.col("regex") | (F.col("ignore_case") & F.col("pattern").rlike(r"[^\x00-\x7F]"))
@@ -113,6 +124,100 @@ def rules_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _met(lines: DataFrame, listed: list[Row], priority: DataType) -> DataFrame:
+    """Lines and the rules that apply to them: (file_id, line_no, priority, color).
+
+    The bytes of a batch of lines are searched for one text after another, at once for all
+    lines. Literals are found so; what needs an expression has its lines chosen by a text that
+    each match holds, if there is one, and is then tried by Java, expression by expression so
+    that each is compiled once for a batch.
+    """
+    tests = []
+    for rule in listed:
+        search = Search(rule.pattern, rule.ignore_case, rule.regex)
+        exact = not rule.regex and (rule.pattern.isascii() or not rule.ignore_case)
+        folds = rule.ignore_case or not exact
+        if exact:
+            needed = (rule.pattern,)
+        else:
+            search.checked(lines.sparkSession)
+            needed = required(rule.pattern if rule.regex else quoted(rule.pattern), rule.ignore_case) or ()
+        texts = [t.translate(str.maketrans(UPPER, LOWER)) if folds else t for t in needed]
+        behind = after_number(rule.pattern, rule.ignore_case) if rule.regex else None
+        if behind:
+            texts = [behind.translate(str.maketrans(UPPER, LOWER))]
+        wide = not exact and not rule.regex and any(not c.isascii() and c not in ASCII_TOO for c in rule.pattern)
+        tests.append((sorted({t.encode() for t in texts}), folds, exact, wide, behind is not None, None if exact else search.java()))
+    wanted = [test[:5] for test in tests]
+
+    def search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            found, tried = [], []
+            text = batch.column("text").cast(pa.large_string())
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = (text.buffers()[2] or pa.py_buffer(b""))[int(ends[0]) : int(ends[-1])].to_pybytes()
+            places = (ends - ends[0]).tolist()
+            folded = raw.lower()  # of bytes, A-Z alone
+            beyond = digits = None
+            for k, (texts, folds, exact, wide, behind) in enumerate(wanted):
+                if behind:
+                    if digits is None:
+                        units = np.frombuffer(folded, np.uint8)
+                        digits = np.flatnonzero((units >= 48) & (units <= 57))
+                    own = [_behind(units, digits, texts[0], places)]
+                else:
+                    own = [_holding(folded if folds else raw, t, places) for t in texts]
+                at = np.array(own[0], np.int64) if len(own) == 1 else np.unique(np.concatenate([np.array(o, np.int64) for o in own])) if own else np.arange(len(text))
+                if wide:
+                    if beyond is None:
+                        high = np.flatnonzero(np.frombuffer(raw, np.uint8) > 127)
+                        beyond = np.zeros(len(text) + 1, bool)
+                        beyond[np.searchsorted(places, high, "right") - 1] = True
+                    at = at[beyond[at]]
+                (found if exact else tried).append((k, at))
+            for some, with_text in ((found, False), (tried, True)):
+                if not some:
+                    continue
+                # rule by rule, some at a time
+                for of in range(0, len(some), 16):
+                    part = some[of : of + 16]
+                    at = pa.array(np.concatenate([at for _, at in part]))
+                    which = pa.array(np.concatenate([np.full(len(at), k, np.int32) for k, at in part]))
+                    yield pa.RecordBatch.from_arrays([batch.column("file_id").take(at), batch.column("line_no").take(at), which, batch.column("text").take(at) if with_text else pa.nulls(len(at), pa.string())], ["file_id", "line_no", "_rule", "text"])
+
+    rows = lines.where(F.col("text").isNotNull()).select("file_id", "line_no", "text")
+    schema = StructType([rows.schema["file_id"], rows.schema["line_no"], StructField("_rule", IntegerType()), StructField("text", StringType())])
+    named = [(k, r.priority, r.color, test[5]) for k, (r, test) in enumerate(zip(listed, tests, strict=True))]
+    kind = StructType([StructField("_rule", IntegerType()), StructField("priority", priority), StructField("color", LongType()), StructField("_java", StringType())])
+    met = rows.mapInArrow(search_batches, schema).join(F.broadcast(lines.sparkSession.createDataFrame(named, kind)), "_rule")
+    return met.where(F.col("_java").isNull() | (F.regexp_instr("text", F.col("_java")) > 0))
+
+
+def _holding(body: bytes, text: bytes, places: list[int]) -> list[int]:
+    """The lines, in order, that hold a text; they follow one another in the body, without LFs."""
+    out, size = [], len(text)
+    at = body.find(text)
+    while at >= 0:
+        line = bisect_right(places, at) - 1
+        if at + size <= places[line + 1]:
+            out.append(line)
+            at = body.find(text, places[line + 1])
+        else:  # astride two lines
+            at = body.find(text, at + 1)
+    return out
+
+
+def _behind(units: np.ndarray, digits: np.ndarray, text: bytes, places: list[int]) -> np.ndarray:
+    """The lines, in order, in which a text stands right behind one of the digits."""
+    at = digits[digits + len(text) < len(units)]
+    for k, c in enumerate(text):
+        at = at[units[at + 1 + k] == c]
+    line = np.searchsorted(places, at, "right") - 1
+    return np.unique(line[at + len(text) < np.asarray(places)[line + 1]])
+
+
 def _grams(text: Column, size: int) -> Column:
     """The distinct runs of `size` characters, folded; what the text's end cuts is null."""
 
